@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodevein.llm import langid, line_dedup, mixing, secrets, toxicity
+from lodevein.llm import embeddings, langid, line_dedup, mixing, secrets, toxicity
 from lodevein.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
@@ -34,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_toxicity": op2_toxicity,
+        "op3_embedding_dedup": op3_embedding_dedup,
         "op4_language_id": op4_language_id,
         "op8_secret_scan": op8_secret_scan,
         "op10_mixing": op10_mixing,
