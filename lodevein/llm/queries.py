@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodevein.llm import embeddings, langid, line_dedup, mixing, secrets, toxicity
+from lodevein.llm import embeddings, langid, line_dedup, mixing, pii, secrets, toxicity
 from lodevein.llm.common import read
 
 
@@ -26,6 +26,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.extract(read(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_toxicity": op2_toxicity,
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_language_id": op4_language_id,
+        "op5_pii": op5_pii,
         "op8_secret_scan": op8_secret_scan,
         "op10_mixing": op10_mixing,
     }
