@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodevein.llm import embeddings, langid, line_dedup, mixing, pii, secrets, toxicity
+from lodevein.llm import embeddings, jaccard, langid, line_dedup, mixing, pii, secrets, toxicity
 from lodevein.llm.common import read
 
 
@@ -34,6 +34,10 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_documents(read(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_pii": op5_pii,
         "op8_secret_scan": op8_secret_scan,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_mixing": op10_mixing,
     }
 
