@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodevein.llm import embeddings, jaccard, langid, line_dedup, mixing, pii, secrets, toxicity
+from lodevein.llm import embeddings, jaccard, langid, line_dedup, mixing, pii, secrets, substrings, toxicity
 from lodevein.llm.common import read
 
 
@@ -30,6 +30,10 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.extract(read(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.summary(read(spark, sf_dir, "documents"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_embedding_dedup": op3_embedding_dedup,
         "op4_language_id": op4_language_id,
         "op5_pii": op5_pii,
+        "op6_substring_dedup": op6_substring_dedup,
         "op8_secret_scan": op8_secret_scan,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_mixing": op10_mixing,
