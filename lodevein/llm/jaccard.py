@@ -54,11 +54,11 @@ def least_overlap(size: int) -> int:
     return -(-TOP * size // BOTTOM)
 
 
-def word_hashes(raw: np.ndarray) -> np.ndarray:
-    """Hashes of the words of UTF-8 bytes in order, A-Z as a-z."""
+def word_hashes(raw: np.ndarray, breaks: np.ndarray = _SPACE) -> np.ndarray:
+    """Hashes of the words of UTF-8 bytes in order, A-Z as a-z; ``breaks`` tells which bytes end a word."""
     if not len(raw):
         return np.array([], np.uint64)
-    space = _SPACE[raw]
+    space = breaks[raw]
     edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     out = np.empty(len(starts), np.uint64)

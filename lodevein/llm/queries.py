@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodevein.llm import embeddings, jaccard, langid, line_dedup, mixing, pii, secrets, substrings, toxicity
+from lodevein.llm import decontam, embeddings, jaccard, langid, line_dedup, mixing, pii, secrets, substrings, toxicity
 from lodevein.llm.common import read
 
 
@@ -34,6 +34,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.summary(read(spark, sf_dir, "documents"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminations(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(read(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_pii": op5_pii,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_decontamination": op7_decontamination,
         "op8_secret_scan": op8_secret_scan,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_mixing": op10_mixing,

@@ -74,10 +74,10 @@ def _pieces(row: dict, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.
         yield raw[a:b], minimizers(raw[a:b], length, gram)
 
 
-def runs(m: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def runs(m: np.ndarray, code: np.ndarray, hot_code: int = HOT_CODE) -> tuple[np.ndarray, np.ndarray]:
     """First window and number of windows of each run, from minimizers and their codes."""
     shared = code > 0
-    hot = code >= HOT_CODE
+    hot = code >= hot_code
     new = np.ones(len(m), bool)
     new[1:] = (m[1:] != m[:-1]) | hot[1:] | hot[:-1]
     first = np.flatnonzero(new)
@@ -185,7 +185,7 @@ def _bits(flags: np.ndarray) -> bytes:
     return np.packbits(flags).tobytes()
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_code: int = HOT_CODE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (null where nothing was removed) for every document."""
     packed = B.pack(docs)
 
@@ -207,13 +207,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
                 if not len(m):
                     continue
                 c = code[np.searchsorted(known, m)]
-                f, n = runs(m, c)
+                f, n = runs(m, c, hot_code)
                 if len(f):
                     data.append(gather(raw, f, n + length - 1))
                     first.append(f)
                     count.append(n)
                     doc.append(np.full(len(f), k))
-                    name.append(np.where(c[f] >= HOT_CODE, np.uint64(0), m[f]))
+                    name.append(np.where(c[f] >= hot_code, np.uint64(0), m[f]))
             out: dict[str, list] = {x: [] for x in ("bucket", "block", "names", "sizes", "docs", "data", "layout")}
 
             def add(bucket: int, block: str, names: bytes | None, sizes: bytes | None, doc_ids: bytes | None, blob: bytes | None, layout: dict | None, out: dict = out) -> None:
@@ -347,6 +347,6 @@ LAYOUT_ARROW = [
 ]
 
 
-def summary(docs: DataFrame) -> DataFrame:
+def summary(docs: DataFrame, hot_code: int = HOT_CODE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document."""
-    return remove_repeats(docs).drop("kept")
+    return remove_repeats(docs, hot_code=hot_code).drop("kept")
