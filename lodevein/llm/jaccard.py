@@ -8,8 +8,8 @@ without near copies drops out at once.  The boundary is the one of least cost, f
 mean length of lists; sets that can match over the boundary do both.
 
 Documents that share a subset or a list are candidates.  Each is first compared with one pivot of its lists, all that
-link are merged, and then only lists that still hold several components are compared, in chunks and by whole
-sets.  Pairs within a component are never listed.
+link are merged, and so on for some rounds; then lists that still hold several components are compared by whole sets,
+what isn't of the largest component with all, in chunks.  Pairs are never listed.
 
 Defined results: a null or wordless text has 0 shingles and links with nothing; fewer than four words are one
 shingle; rows that repeat an id are documents of their own with that id, linked if their texts are; a null id has 0 shingles and a
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodevein.llm import blocks as B
-from lodevein.llm.common import settle
+from lodevein.llm.common import discard, settle
 from lodevein.llm.graph import components
 
 GRAM = 4
@@ -38,6 +38,7 @@ TOP, BOTTOM = 85, 100
 MOST_LIGHT = 26
 CHUNK = 256
 GROUP = 2048
+PIVOTS = 3
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -143,13 +144,12 @@ def signatures(tokens: np.ndarray, codes: np.ndarray, light: int) -> list[int]:
     return sorted(set(out))
 
 
-def _linked(a: np.ndarray, sets: list[np.ndarray], sizes: np.ndarray) -> np.ndarray:
-    """Which of the sets link with set a."""
+def _shared(a: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Size of the intersection of set a with each of the sets."""
     ends = np.cumsum([len(x) for x in sets])
     flat = np.concatenate(sets)
     at = np.minimum(np.searchsorted(a, flat), len(a) - 1)
-    both = np.add.reduceat((a[at] == flat).astype(np.int64), np.concatenate([[0], ends[:-1]]))
-    return both
+    return np.add.reduceat((a[at] == flat).astype(np.int64), np.concatenate([[0], ends[:-1]]))
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -211,6 +211,7 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     found = settle(coded.mapInArrow(sized, "rep long, n_shingles long, tokens binary, codes binary, lists double"))
     B.release()
+    discard(packed, codes)
     near = found.filter("tokens is not null")
     histogram = {r["s"]: r["count"] for r in near.groupBy(F.least("n_shingles", F.lit(MOST_LIGHT + 1)).cast("int").alias("s")).count().collect()}
     entries, lists = near.agg(F.coalesce(F.sum(F.length("codes")), F.lit(0)), F.coalesce(F.sum("lists"), F.lit(0.0))).first()
@@ -229,57 +230,65 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     posts = near.select("rep", "n_shingles", "tokens", "codes").mapInArrow(signed, "rep long, sigs array<long>").select("rep", F.explode("sigs").alias("sig"))
     sets = near.select("rep", "n_shingles", "tokens")
-    listed = posts.groupBy("sig").agg(F.count("*").alias("n"), F.min("rep").alias("pivot")).filter("n > 1")
-    posts = settle(posts.join(listed, "sig"))
-    # First round: each document and the pivot that most of its lists have.
-    votes = posts.groupBy("rep", "pivot").agg(F.count("*").alias("votes")).filter("rep != pivot")
-    pairs = settle(votes.groupBy("rep").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("pivot")))
-    parts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    followers = pairs.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int").alias("part"), "rep")
-    leaders = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("rep"))
-    groups = followers.union(leaders).join(sets, "rep")
-
-    def first(group: pa.Table) -> pa.Table:
+    posts = settle(posts.join(posts.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig"), "sig"))
+    def star(group: pa.Table) -> pa.Table:
+        """Links of a pivot."""
         ids = group.column("rep").to_numpy()
         pivot = group.column("pivot")[0].as_py()
         own = [np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()]
         size = group.column("n_shingles").to_numpy()
         p = int(np.flatnonzero(ids == pivot)[0])
-        hit = _links(_linked(own[p], own, size), size[p], size)
+        hit = _links(_shared(own[p], own), size[p], size)
         return pa.table({"a": np.full(int(hit.sum()), pivot), "b": ids[hit]})
 
-    edges = settle(groups.groupBy("pivot", "part").applyInArrow(first, "a long, b long"))
-    merged = components(edges)
-    # Second round: lists that hold several components yet, each set of members once, in pairs of chunks.
-    now = settle(posts.join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("comp")))
-    mark = F.xxhash64("rep")
-    open_ = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum(mark.cast("decimal(38,0)")).alias("mark")).filter("lo < hi")
-    open_ = settle(open_.groupBy("n", "mark").agg(F.min("sig").alias("sig"), F.ceil(F.first("n") / CHUNK).cast("int").alias("chunks")).select("sig", "chunks"))
-    placed = now.join(open_, "sig").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks").cast("long")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    placed = placed.select("sig", "rep", "comp", "chunk", F.least("chunk", "other").alias("lo"), F.greatest("chunk", "other").alias("hi")).join(sets, "rep")
+    # Rounds of pivots: each document is compared with one other of its lists, which most of those lists have as theirs.
+    edges = None
+    now = posts.select("sig", "rep", F.col("rep").alias("comp"))
+    for turn in range(PIVOTS):
+        at = F.xxhash64("rep", F.lit(turn))
+        pivots = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("rep", "comp"), at).alias("p")).filter("lo < hi")
+        votes = now.join(pivots, "sig").filter("comp != p.comp").groupBy("rep", F.col("p.rep").alias("pivot")).agg(F.count("*").alias("votes"))
+        pairs = settle(votes.groupBy("rep").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("pivot")))
+        parts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+        followers = pairs.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int").alias("part"), "rep")
+        leaders = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("rep"))
+        found_edges = followers.union(leaders).join(sets, "rep").groupBy("pivot", "part").applyInArrow(star, "a long, b long")
+        edges = settle(found_edges if edges is None else edges.union(found_edges))
+        now = settle(posts.join(components(edges).withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("comp")))
+
+    # Lists that hold several components yet, each set of members once: what isn't of the list's largest component is compared
+    # with all members, in pairs of chunks.
+    mark = F.xxhash64("rep").cast("decimal(38,0)")
+    by_comp = now.groupBy("sig", "comp").agg(F.count("*").alias("n"), F.sum(mark).alias("mark"))
+    open_ = by_comp.groupBy("sig").agg(F.sum("n").alias("n"), F.sum("mark").alias("mark"), F.max(F.struct("n", "comp")).alias("main")).filter("n > main.n")
+    open_ = open_.groupBy("n", "mark").agg(F.min_by(F.struct("sig", "main"), "sig").alias("s"))
+    chunks = lambda c: F.ceil(c / CHUNK).cast("int")
+    open_ = settle(open_.select("s.sig", F.col("s.main.comp").alias("main"), chunks(F.col("n")).alias("all"), chunks(F.col("n") - F.col("s.main.n")).alias("few")))
+    placed = now.join(open_, "sig")
+    own = lambda n: F.pmod(F.xxhash64("rep"), n.cast("long")).cast("int")
+    few = placed.filter("comp != main").select("sig", "rep", "comp", own(F.col("few")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), F.lit(True).alias("apart"))
+    every = placed.select("sig", "rep", "comp", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), own(F.col("all")).alias("j"), F.lit(False).alias("apart"))
 
     def rest(group: pa.Table) -> pa.Table:
-        ids, comp, chunk, size = (group.column(c).to_numpy() for c in ("rep", "comp", "chunk", "n_shingles"))
-        out: tuple[list, list] = [], []
-        if comp.min() != comp.max():
-            own = [np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()]
-            left = np.flatnonzero(chunk == chunk.min())
-            right = np.flatnonzero(chunk == chunk.max())
-            for s in range(0, len(left), CHUNK):
-                for e in range(0, len(right), CHUNK):
-                    i, j = left[s : s + CHUNK], right[e : e + CHUNK]
-                    apart = comp[i, None] != comp[None, j]
-                    if apart.any():
-                        hit = apart & _links(_overlaps([own[k] for k in i], [own[k] for k in j]), size[i, None], size[None, j])
-                        x, y = np.nonzero(hit)
-                        pairs_ = np.unique(np.stack([np.minimum(comp[i[x]], comp[j[y]]), np.maximum(comp[i[x]], comp[j[y]])], 1), axis=0)
-                        out[0].extend(pairs_[:, 0].tolist())
-                        out[1].extend(pairs_[:, 1].tolist())
-        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
-
-    more = placed.groupBy("sig", "lo", "hi").applyInArrow(rest, "a long, b long").distinct()
-    return found.select("rep", "n_shingles"), edges.union(settle(more))
+        """A forest over the components that links join."""
+        comp, size, apart = (group.column(c).to_numpy(zero_copy_only=False) for c in ("comp", "n_shingles", "apart"))
+        own = [np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()]
+        names, index = np.unique(comp, return_inverse=True)
+        up = list(range(len(names)))
+        left, right = np.flatnonzero(apart), np.flatnonzero(~apart)
+        for s in range(0, len(left), CHUNK):
+            for e in range(0, len(right), CHUNK):
+                i, j = left[s : s + CHUNK], right[e : e + CHUNK]
+                hit = (comp[i, None] != comp[None, j]) & _links(_overlaps([own[k] for k in i], [own[k] for k in j]), size[i, None], size[None, j])
+                for x, y in np.unique(np.stack([index[i[np.nonzero(hit)[0]]], index[j[np.nonzero(hit)[1]]]], 1), axis=0).tolist():
+                    x, y = _root(up, x), _root(up, y)
+                    up[max(x, y)] = min(x, y)
+        root = np.array([_root(up, k) for k in range(len(up))])
+        moved = root != np.arange(len(up))
+        return pa.table({"a": names[moved], "b": names[root[moved]]})
+
+    more = few.union(every).join(sets, "rep").groupBy("sig", "i", "j").applyInArrow(rest, "a long, b long")
+    return found.select("rep", "n_shingles"), edges.union(settle(more.distinct()))
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
