@@ -33,32 +33,56 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of equal texts (a null text is empty): member(doc_id, key), classes(key, class, rep), once(class, doc_id, text).
+
+    ``rep`` is the smallest id of a class, null where all are null; ``class`` is 56 bits of the text's sha-256; ``once``
+    holds a row of each class with its ``rep``.
+    """
+    key = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
+    number = lambda k: F.conv(F.hex(F.substring(k, 1, 7)), 16, 10).cast("long")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), "text")
+    member = settle(keyed.select("doc_id", "key"))
+    classes = settle(member.groupBy("key").agg(F.min("doc_id").alias("rep")).withColumn("class", number("key")))
+    # The first id of a class stays.  Ids that go are few, so the texts needn't move where the optimizer can broadcast
+    # them.  An id of several rows, or none, doesn't tell them apart; there the key decides.
+    known = member.filter("doc_id is not null")
+    several = settle(known.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
+    gone = settle(known.join(classes, "key").filter(F.col("doc_id") > F.col("rep")).select("doc_id").union(several).distinct())
+    named = keyed.filter("doc_id is not null")
+    once = named.join(gone, "doc_id", "left_anti")
+    unclear = named.join(several, "doc_id", "left_semi").unionByName(keyed.filter("doc_id is null"))
+    unclear = unclear.join(classes, "key").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["key"]).select(once.columns)
+    return member, classes, once.union(unclear).select(number("key").alias("class"), "doc_id", "text")
+
+
 def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block, ids, ends, data: texts of docs(doc_id long, text) in blocks; a null text is empty.  Written, so that blocks stay as they are."""
+    """block, classes, ids, ends, data: texts of docs(class, doc_id, text) in blocks; a null text is empty.  Written, so that blocks stay as they are."""
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
-        ids, texts, size = [], [], 0
+        classes, ids, texts, size = [], [], [], 0
 
         def block() -> pa.RecordBatch:
             ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-            values = ([f"{part}-{made}"], [ids], [ends], [b"".join(texts)])
-            kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["block", "ids", "ends", "data"])
+            values = ([f"{part}-{made}"], [classes], [ids], [ends], [b"".join(texts)])
+            kinds = (pa.string(), *[pa.list_(pa.int64())] * 3, pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["block", "classes", "ids", "ends", "data"])
 
         for b in batches:
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            for c, i, t in zip(b.column("class").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 t = t or b""
                 if ids and size + len(t) > block_bytes:
                     yield block()
-                    ids, texts, size, made = [], [], 0, made + 1
+                    classes, ids, texts, size, made = [], [], [], 0, made + 1
+                classes.append(c)
                 ids.append(i)
                 texts.append(t)
                 size += len(t)
         if ids:
             yield block()
 
-    return settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(packed, "block string, ids array<long>, ends array<long>, data binary"))
+    return settle(docs.select("class", "doc_id", "text").mapInArrow(packed, "block string, classes array<long>, ids array<long>, ends array<long>, data binary"))
 
 
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -186,7 +186,7 @@ def _root(up: list[int], i: int) -> int:
 def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rep, n_shingles) of every class, and edges (a, b) between classes that span the components of all links.
 
-    docs(doc_id, text) holds each text once.
+    docs(class, doc_id, text) holds each text once; rep is its class.
     """
     packed = B.pack(docs)
     codes = B.frequency_codes(packed, shingle_sets)
@@ -198,7 +198,7 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             tokens = np.unique(np.concatenate(sets)) if sets else np.array([], np.uint64)
             code = B.codes_of(row)
             out: list[tuple] = []
-            for i, t in zip(row["ids"], sets, strict=True):
+            for i, t in zip(row["classes"], sets, strict=True):
                 c = code[np.searchsorted(tokens, t)]
                 shared = t[c > 0]
                 # Whether any partner can share enough: all that later steps need of the others is their size.
@@ -293,24 +293,12 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def similar_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for every document."""
-    key = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), "text")
-    member = settle(keyed.select("doc_id", "key"))
-    known = member.filter("doc_id is not null")
-    groups = settle(known.groupBy("key").agg(F.min("doc_id").alias("rep")).withColumn("class", F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long")))
-    # One row for each text: its class's first id stays.  Those that go are few, so the texts needn't move where
-    # the optimizer can broadcast them.  An id of several rows doesn't tell them apart; there the key decides.
-    several = settle(known.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"))
-    gone = settle(known.join(groups, "key").filter(F.col("doc_id") > F.col("rep")).select("doc_id").union(several).distinct())
-    text = keyed.filter("doc_id is not null")
-    class_ = F.conv(F.hex(F.substring("key", 1, 7)), 16, 10).cast("long").alias("doc_id")
-    once = text.join(gone, "doc_id", "left_anti").select(class_, "text")
-    twice = text.join(several, "doc_id", "left_semi").join(groups, "key").filter(F.col("doc_id") == F.col("rep")).dropDuplicates(["key"]).select(class_, "text")
-    sizes, edges = join_classes(once.union(twice))
+    member, groups, once = B.distinct_texts(docs)
+    sizes, edges = join_classes(once.filter("doc_id is not null"))
     linked = components(edges)
-    classes = groups.join(sizes.withColumnRenamed("rep", "class"), "class", "left").join(linked.withColumnRenamed("node", "class"), "class", "left")
-    classes = settle(classes.select("key", "rep", "n_shingles", F.coalesce("component", "class").alias("c")))
-    firsts = classes.groupBy("c").agg(F.min("rep").alias("first"))
-    joined = member.join(classes.join(firsts, "c").select("key", "n_shingles", "first"), "key", "left")
+    known = groups.filter("rep is not null").join(sizes.withColumnRenamed("rep", "class"), "class", "left").join(linked.withColumnRenamed("node", "class"), "class", "left")
+    known = settle(known.select("key", "rep", "n_shingles", F.coalesce("component", "class").alias("c")))
+    firsts = known.groupBy("c").agg(F.min("rep").alias("first"))
+    joined = member.join(known.join(firsts, "c").select("key", "n_shingles", "first"), "key", "left")
     size = F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_shingles", F.lit(0))).cast("long")
     return joined.select("doc_id", size.alias("n_shingles"), F.when(size > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -1,6 +1,7 @@
 """Suffix-array dedup: remove bytes that 50-byte strings of earlier documents cover.
 
-Texts are packed into blocks.  A window of 50 bytes is named by its minimizer, the least hash of its 26-byte grams; equal
+Documents of one text are one class, of which the first alone is looked at; the others are covered as a whole.  Texts are
+packed into blocks.  A window of 50 bytes is named by its minimizer, the least hash of its 26-byte grams; equal
 windows have equal minimizers, so windows whose minimizer occurs in a single document (an exact count over the
 corpus) can't repeat and are dropped.  The others are cut into maximal runs of one minimizer, and the bytes of a run go, once
 for each block, to the bucket of that minimizer.  Windows of very frequent minimizers go one by one to a bucket of their
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodevein.llm import blocks as B
-from lodevein.llm.common import settle
+from lodevein.llm.common import discard, settle
 
 LENGTH = 50
 GRAM = 26
@@ -186,7 +187,7 @@ def _bits(flags: np.ndarray) -> bytes:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_code: int = HOT_CODE) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (null where nothing was removed) for every document."""
+    """class, n_bytes, n_removed, n_spans, kept_sha256, kept (null where nothing was removed) for docs(class, doc_id, text), each text once."""
     packed = B.pack(docs)
 
     def tokens(row: dict) -> list[np.ndarray]:
@@ -250,8 +251,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
                     "first": first.astype(np.int64).tobytes(), "count": count.astype(np.int16).tobytes(), "doc": kept_doc[doc].astype(np.int32).tobytes(), "string": place[string].astype(np.int32).tobytes(),
                     "later": _bits(ids[doc] > least[string]), "strings": size[unique[by_bucket]].astype(np.int16).tobytes(),
                 }
-            layout["done"] = [{"doc_id": i, "n_bytes": len(raw), "sha": hashlib.sha256(raw).hexdigest()} for i, (raw, _), s in zip(row["ids"], pieces, some, strict=True) if not s]
-            layout["ids"] = [i for i, s in zip(row["ids"], some, strict=True) if s]
+            layout["done"] = [{"class": i, "n_bytes": len(raw), "sha": hashlib.sha256(raw).hexdigest()} for i, (raw, _), s in zip(row["classes"], pieces, some, strict=True) if not s]
+            layout["classes"] = [i for i, s in zip(row["classes"], some, strict=True) if s]
             layout["sizes"] = [len(raw) for (raw, _), s in zip(pieces, some, strict=True) if s]
             layout["raw"] = b"".join(raw.tobytes() for (raw, _), s in zip(pieces, some, strict=True) if s)
             add(-1, row["block"], None, None, None, None, layout)
@@ -260,6 +261,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
 
     laid = settle(packed.join(codes, "block", "left").mapInArrow(cut, LAYOUT))
     B.release()
+    discard(packed, codes)
     sent = laid.filter("bucket >= 0").drop("layout")
 
     def compare(group: pa.Table) -> pa.Table:
@@ -311,9 +313,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.rows(batches):
-            out = [(d["doc_id"], d["n_bytes"], 0, 0, d["sha"], None) for d in row["done"]]
+            out = [(d["class"], d["n_bytes"], 0, 0, d["sha"], None) for d in row["done"]]
             raw = np.frombuffer(row["raw"], np.uint8)
-            if row["ids"]:
+            if row["classes"]:
                 own = [np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=m["n"]) for m in row["masks"] or []]
                 flags = np.concatenate(own).astype(bool)
                 first, count, doc, string = (np.frombuffer(row[c], t).astype(np.int64) for c, t in (("first", np.int64), ("count", np.int16), ("doc", np.int32), ("string", np.int32)))
@@ -327,26 +329,34 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
                 place = np.repeat(base, count)[hit] + within[hit]
                 change = np.bincount(place, minlength=len(raw) + 1) - np.bincount(place + length, minlength=len(raw) + 1)[: len(raw) + 1]
                 gone = np.cumsum(change)[: len(raw)] > 0
-                for i, n, e in zip(row["ids"], row["sizes"], ends, strict=True):
+                for i, n, e in zip(row["classes"], row["sizes"], ends, strict=True):
                     g, r = gone[e - n : e], raw[e - n : e]
                     spans = int(np.count_nonzero(np.diff(g.view(np.int8), prepend=0) == 1))
                     kept = r[~g].tobytes()
                     out.append((i, n, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if spans else None))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["class", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return layouts.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return layouts.mapInArrow(finish, "class long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-_PARTS = "first binary, count binary, doc binary, string binary, later binary, strings binary, done array<struct<doc_id:long,n_bytes:long,sha:string>>, ids array<long>, sizes array<long>, raw binary"
+_PARTS = "first binary, count binary, doc binary, string binary, later binary, strings binary, done array<struct<class:long,n_bytes:long,sha:string>>, classes array<long>, sizes array<long>, raw binary"
 LAYOUT = f"{_SENT}, layout struct<{', '.join(f'{p.split()[0]}: {p.split()[1]}' for p in _PARTS.split(', '))}>"
-_DONE = pa.list_(pa.struct([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string())]))
+_DONE = pa.list_(pa.struct([("class", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string())]))
 LAYOUT_ARROW = [
     pa.field("bucket", pa.int32()), pa.field("block", pa.string()), *[pa.field(c, pa.binary()) for c in ("names", "sizes", "docs", "data")],
-    pa.field("layout", pa.struct([(c, pa.binary()) for c in ("first", "count", "doc", "string", "later", "strings")] + [("done", _DONE), ("ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("raw", pa.binary())])),
+    pa.field("layout", pa.struct([(c, pa.binary()) for c in ("first", "count", "doc", "string", "later", "strings")] + [("done", _DONE), ("classes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("raw", pa.binary())])),
 ]
 
 
 def summary(docs: DataFrame, hot_code: int = HOT_CODE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document."""
-    return remove_repeats(docs, hot_code=hot_code).drop("kept")
+    member, classes, once = B.distinct_texts(docs)
+    done = remove_repeats(once, hot_code=hot_code).drop("kept")
+    of_key = member.join(classes, "key").join(settle(done), "class")
+    # A later copy is covered by the first as a whole, if it has a window at all.
+    later = F.col("rep").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("rep"))) & (F.col("n_bytes") >= LENGTH)
+    return of_key.select(
+        "doc_id", "n_bytes", F.when(later, F.col("n_bytes")).otherwise(F.col("n_removed")).alias("n_removed"),
+        F.when(later, 1).otherwise(F.col("n_spans")).cast("long").alias("n_spans"), F.when(later, F.sha2(F.lit(""), 256)).otherwise(F.col("kept_sha256")).alias("kept_sha256"),
+    )
