@@ -85,9 +85,9 @@ def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return settle(docs.select("class", "doc_id", "text").mapInArrow(packed, "block string, classes array<long>, ids array<long>, ends array<long>, data binary"))
 
 
-def unpack(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids, starts (one more than texts) and bytes of a block's row."""
-    return np.array(row["ids"], np.int64), np.concatenate([[0], row["ends"]]).astype(np.int64), np.frombuffer(row["data"], np.uint8)
+def unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Starts (one more than texts) and bytes of a block's row."""
+    return np.concatenate([[0], row["ends"]]).astype(np.int64), np.frombuffer(row["data"], np.uint8)
 
 
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:

@@ -66,7 +66,7 @@ def codes(x: np.ndarray, tables: int = TABLES, hashes: int = 1, probes: int = PR
     wide = np.zeros((n, d), np.float64)
     wide[:, :dim] = x
     rng = np.random.default_rng(seed)
-    out = np.empty((n, tables, 1 + probes), np.int64)
+    out = np.full((n, tables, 1 + probes), -1)  # short vectors have fewer corners to probe
     for t in range(tables):
         own = np.zeros(n, np.int64)
         losses, deltas = [], []

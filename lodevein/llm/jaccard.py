@@ -101,7 +101,7 @@ def shingles(raw: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(row: dict) -> list[np.ndarray]:
-    _, starts, raw = B.unpack(row)
+    starts, raw = B.unpack(row)
     return [shingles(raw[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
 
 

@@ -70,7 +70,7 @@ def minimizers(raw: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.nd
 
 
 def _pieces(row: dict, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    _, starts, raw = B.unpack(row)
+    starts, raw = B.unpack(row)
     for a, b in zip(starts[:-1], starts[1:], strict=True):
         yield raw[a:b], minimizers(raw[a:b], length, gram)
 
