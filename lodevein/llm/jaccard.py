@@ -255,6 +255,7 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found_edges = followers.union(leaders).join(sets, "rep").groupBy("pivot", "part").applyInArrow(star, "a long, b long")
         edges = settle(found_edges if edges is None else edges.union(found_edges))
         now = settle(posts.join(components(edges).withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("comp")))
+        B.release()
 
     # Lists that hold several components yet, each set of members once: what isn't of the list's largest component is compared
     # with all members, in pairs of chunks.
