@@ -20,7 +20,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,9 @@ MOST_LIGHT = 26
 CHUNK = 256
 GROUP = 2048
 PIVOTS = 3
+#: Tokens that a batch of list comparisons may move: so many times those of all sets, or this number if it is larger.
+BATCH_TIMES = 4
+BATCH_TOKENS = 1 << 25
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -288,8 +291,16 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         moved = root != np.arange(len(up))
         return pa.table({"a": names[moved], "b": names[root[moved]]})
 
-    more = few.union(every).join(sets, "rep").groupBy("sig", "i", "j").applyInArrow(rest, "a long, b long")
-    return found.select("rep", "n_shingles"), edges.union(settle(more.distinct()))
+    # Sets travel once for each list, so this goes in batches whose shuffle stays a few times as large as all sets.
+    tasks = settle(few.union(every))
+    moved = tasks.join(sets.select("rep", "n_shingles"), "rep").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    batches = max(1, ceil(moved / max(BATCH_TOKENS, BATCH_TIMES * entries)))
+    for k in range(batches):
+        part = tasks.filter(F.pmod(F.xxhash64("sig", "i", "j"), F.lit(batches)) == k)
+        more = part.join(sets, "rep").groupBy("sig", "i", "j").applyInArrow(rest, "a long, b long")
+        edges = edges.union(settle(more.distinct()))
+        B.release()
+    return found.select("rep", "n_shingles"), edges
 
 
 def similar_documents(docs: DataFrame) -> DataFrame:
