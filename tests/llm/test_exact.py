@@ -66,6 +66,24 @@ def test_jaccard_join_small_sets_and_ties(spark):
     assert got == jaccard_brute(rows)
 
 
+def test_jaccard_join_in_batches(spark, monkeypatch):
+    """Documents that share tokens and don't link stay for the last comparison; small batches give the same result."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(40):
+        w = [f"t{k}" for k in range(60)]
+        for k in rng.integers(0, 60, int(rng.integers(0, 4))):
+            w[k] = f"u{rng.integers(1000)}"
+        rows.append((i, " ".join(w)))
+    released = []
+    monkeypatch.setattr(jaccard.B, "release", lambda: released.append(1))
+    monkeypatch.setattr(jaccard, "BATCH_TOKENS", 1)
+    monkeypatch.setattr(jaccard, "BATCH_TIMES", 0.5)
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.similar_documents(texts(spark, rows)).collect())
+    assert got == jaccard_brute(rows)
+    assert len(released) > 2 + jaccard.PIVOTS + 1  # more than one batch
+
+
 def test_jaccard_empty_and_repeated_ids(spark):
     assert jaccard.similar_documents(frame(spark, [])).count() == 0
     got = jaccard.similar_documents(texts(spark, [(1, "a b c d e"), (1, "q r s t u"), (2, "a b c d e")])).collect()
