@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from itertools import chain, combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -84,18 +85,29 @@ def roc_points(results: DataFrame) -> DataFrame:
     return results.select("descr", F.try_divide(F.col("n_sg") - F.col("pos_sg"), F.col("n") - F.col("pos")).alias("fpr"), F.try_divide("pos_sg", "pos").alias("tpr"))
 
 
-def fisher_two_sided(table: DataFrame, most: int) -> DataFrame:
+#: Logarithms of the first factorials; from there on the series is exact to the last digits of a double.
+_LOG_FACTORIALS = [math.lgamma(i + 1) for i in range(16)]
+
+
+def log_factorial(n: Column) -> Column:
+    """Stirling's series."""
+    x = n.cast("double")
+    tail = 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3))) + 1 / (1260 * F.pow(x, F.lit(5))) - 1 / (1680 * F.pow(x, F.lit(7)))
+    few = F.get(F.array(*map(F.lit, _LOG_FACTORIALS)), n.cast("int"))
+    return F.when(n < len(_LOG_FACTORIALS), few).otherwise((x + 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + tail)
+
+
+def fisher_two_sided(table: DataFrame) -> DataFrame:
     """p-values of 2 x 2 tables(a, b, c, d): the sum of the probabilities that don't exceed the observed one.
 
-    ``most`` bounds a + b + c + d; the logarithms of factorials are gamma values of a sequence, one row for each possible a.
+    Each possible a is a row, so tables with large margins are summed by parts.
     """
-    spark = table.sparkSession
-    logs = spark.range(most + 1).select(F.col("id").alias("i"), F.when(F.col("id") == 0, 0.0).otherwise(F.log(F.col("id").cast("double"))).alias("l"))
-    lf = logs.agg(F.array_sort(F.collect_list(F.struct("i", "l"))).alias("x"))
-    facts = lf.select(F.aggregate("x", F.array(F.lit(0.0)), lambda acc, s: F.concat(acc, F.array(F.element_at(acc, -1) + s["l"]))).alias("f")).select(F.slice("f", 2, most + 1).alias("f"))
-    t = table.withColumns({"r1": F.col("a") + F.col("b"), "r2": F.col("c") + F.col("d"), "c1": F.col("a") + F.col("c")}).crossJoin(F.broadcast(facts))
-    f = lambda x: F.element_at("f", (x + 1).cast("int"))
-    prob = lambda a: F.exp(f(F.col("r1")) + f(F.col("r2")) + f(F.col("c1")) + f(F.col("r1") + F.col("r2") - F.col("c1")) - f(F.col("r1") + F.col("r2")) - f(a) - f(F.col("r1") - a) - f(F.col("c1") - a) - f(F.col("r2") - F.col("c1") + a))
-    span = F.sequence(F.greatest(F.lit(0), F.col("c1") - F.col("r2")), F.least("r1", "c1"))
-    total = F.aggregate(span, F.lit(0.0), lambda acc, a: acc + F.when(prob(a) <= prob(F.col("a")) * (1 + 1e-7), prob(a)).otherwise(0.0))
-    return t.withColumn("p", F.least(total, F.lit(1.0))).drop("r1", "r2", "c1", "f")
+    f = log_factorial
+    r1, r2, c1 = (F.col(c) for c in ("__r1", "__r2", "__c1"))
+    t = table.withColumns({"__r1": F.col("a") + F.col("b"), "__r2": F.col("c") + F.col("d"), "__c1": F.col("a") + F.col("c"), "__id": F.monotonically_increasing_id()})
+    t = t.withColumn("__all", f(r1) + f(r2) + f(c1) + f(r1 + r2 - c1) - f(r1 + r2))
+    prob = lambda a: F.exp(F.col("__all") - f(a) - f(r1 - a) - f(c1 - a) - f(r2 - c1 + a))
+    t = t.withColumn("__bar", prob(F.col("a")) * (1 + 1e-7)).withColumn("__k", F.explode(F.sequence(F.greatest(F.lit(0), c1 - r2), F.least(r1, c1))))
+    t = t.withColumn("__p", prob(F.col("__k")))
+    total = F.sum(F.when(F.col("__p") <= F.col("__bar"), F.col("__p")).otherwise(0.0))
+    return t.groupBy("__id", *table.columns).agg(F.least(total, F.lit(1.0)).alias("p")).drop("__id")

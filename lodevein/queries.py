@@ -423,10 +423,10 @@ def post_roc(spark: SparkSession, sf: str) -> DataFrame:
 
 def enrichment_fisher(spark: SparkSession, sf: str) -> DataFrame:
     """Is a brand's share among the large parts unusual?  Two-sided exact tests."""
-    big = X.parts(spark, sf).filter("node_id < 2000").select("p_brand", (F.col("p_size") > 40).cast("long").alias("big"))
+    big = X.parts(spark, sf).select("p_brand", (F.col("p_size") > 40).cast("long").alias("big"))
     n, s = big.select(F.count("*"), F.sum("big")).first()
     t = big.groupBy("p_brand").agg(F.sum("big").alias("a"), F.count("*").alias("r")).select("p_brand", "a", (F.col("r") - F.col("a")).alias("b"), (F.lit(s) - F.col("a")).alias("c"), (F.lit(n - s) - F.col("r") + F.col("a")).alias("d"))
-    return post.fisher_two_sided(t, n).select("p_brand", F.round("p", 6).alias("p"))
+    return post.fisher_two_sided(t).select("p_brand", F.round("p", 6).alias("p"))
 
 
 FISHER_SQL = """WITH big AS (SELECT p_brand, (p_size > 40)::INT AS g FROM part WHERE p_partkey < 2000), tt AS (SELECT count(*) AS n, sum(g) AS s FROM big),

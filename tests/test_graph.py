@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lodevein import queries as registry
 from lodevein.functions import quality as Q
 from lodevein.functions.selectors import Interval, Negated, Nominal, cover, create_selectors, describe, equal_frequency_cuts, weighted_cuts
 from lodevein.operators import graph_stats as G
@@ -145,3 +146,21 @@ def test_relations_and_coordinates(spark):
 def test_chi_squared_tail(spark):
     got = [r[0] for r in spark.createDataFrame([(0.0,), (1.0,), (3.841458820694124,), (10.0,)], "x double").select(Q.chi_squared_p(F.col("x"))).collect()]
     assert np.allclose(got, [math.erfc(math.sqrt(x / 2)) for x in (0, 1, 3.841458820694124, 10)], atol=2e-7)
+
+
+def test_fisher_tests_every_part(spark, tmp_path):
+    """Ids of 2,000 and more count, too: the share of large parts is another there."""
+    rows = [(i, f"b{i % 3}", "t", 50 if i % (3 if i < 2000 else 7) == 1 or (i > 2000 and i % 9 == 2) else 1, 1.0) for i in range(5000)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(tmp_path / "part.parquet"))
+    got = {r["p_brand"]: r["p"] for r in registry.enrichment_fisher(spark, str(tmp_path)).collect()}
+    n, s = len(rows), sum(r[3] > 40 for r in rows)
+    assert len(got) == 3
+    for brand, p in got.items():
+        own = [r[3] > 40 for r in rows if r[1] == brand]
+        ways = [math.comb(len(own), k) * math.comb(n - len(own), s - k) for k in range(max(0, len(own) + s - n), min(len(own), s) + 1)]
+        assert p == pytest.approx(sum(w for w in ways if w <= ways[sum(own)]) / math.comb(n, s), abs=2e-6)
+
+
+def test_log_factorials(spark):
+    got = spark.createDataFrame([(n,) for n in (0, 1, 15, 16, 17, 100, 20_000, 30_000_000)], "n long").select("n", post.log_factorial(F.col("n")).alias("f")).collect()
+    assert all(r["f"] == pytest.approx(math.lgamma(r["n"] + 1), rel=1e-14, abs=1e-14) for r in got)
