@@ -4,7 +4,7 @@ Every stage works on all documents that the stage before kept.  The first four r
 
 1. toxicity: documents that the classifier rejects go.
 2. line_dedup: lines that are boilerplate in their source go; a document whose lines all go stays with an empty text.
-3. jaccard_join: of documents linked by near-equal texts the one with the smallest id stays; of rows that repeat an
+3. jaccard_join: of documents linked by near-equal texts (Jaccard of five-word shingles of 0.8 or more) the one with the smallest id stays; of rows that repeat an
    id and a text one stays.  Empty documents, and rows of null id, stay.
 4. decontamination: documents that hold a benchmark item go, by id; rows of null id are matched by null.
 5. mixing: doc_id, source, size, source_size, target and taken of the documents that the mix takes at least once.
@@ -32,8 +32,12 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
 
 
+#: Near copies share 80 of 100 shingles of five words; op9_jaccard_join has a contract of its own.
+NEAR_GRAM, NEAR_TOP = 5, 80
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = settle(jaccard.similar_documents(docs))
+    groups = settle(jaccard.similar_documents(docs, NEAR_GRAM, NEAR_TOP))
     gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     again = groups.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti")

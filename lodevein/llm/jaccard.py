@@ -1,6 +1,6 @@
 """N-gram Jaccard join: a size-aware heavy-light set similarity join with an exact result.
 
-The set of a document is its distinct word 4-grams.  Documents of one text are one class.  Sets up to a boundary are
+The set of a document is its distinct word n-grams (``gram`` words, four unless told otherwise).  Documents of one text are one class.  Sets up to a boundary are
 light: they enumerate the subsets that a partner must share, all subsets with as few left out as the threshold allows.
 Larger sets are heavy: they scan inverted lists, of which the rarest ``size - ceil(t size) + 1`` tokens suffice, in an
 order by exact document frequency; tokens of a single document come first and have no list, so a document
@@ -11,7 +11,7 @@ Documents that share a subset or a list are candidates.  Each is first compared
 link are merged, and so on for some rounds; then lists that still hold several components are compared by whole sets,
 what isn't of the largest component with all, in chunks.  Pairs are never listed.
 
-Defined results: a null or wordless text has 0 shingles and links with nothing; fewer than four words are one
+Defined results: a null or wordless text has 0 shingles and links with nothing; fewer than ``gram`` words are one
 shingle; rows that repeat an id are documents of their own with that id, linked if their texts are; a null id has 0 shingles and a
 null component; an empty table gives an empty result; further columns are ignored.
 """
@@ -19,6 +19,7 @@ null component; an empty table gives an empty result; further columns are ignore
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from itertools import combinations
 from math import ceil, comb
 
@@ -32,7 +33,7 @@ from lodevein.llm.common import discard, settle
 from lodevein.llm.graph import components
 
 GRAM = 4
-#: Threshold as a fraction: 100 * intersection >= 85 * union.
+#: Threshold as a fraction: 100 * intersection >= 85 * union; a caller may give another gram and numerator.
 TOP, BOTTOM = 85, 100
 #: Sets larger than this are never light.
 MOST_LIGHT = 26
@@ -49,13 +50,13 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_GRAM = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+_GRAM = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 SEGMENT = 1 << 20
 
 
-def least_overlap(size: int) -> int:
+def least_overlap(size: int, top: int = TOP) -> int:
     """Tokens that any partner must share with a set of that size."""
-    return -(-TOP * size // BOTTOM)
+    return -(-top * size // BOTTOM)
 
 
 def word_hashes(raw: np.ndarray, breaks: np.ndarray = _SPACE) -> np.ndarray:
@@ -86,50 +87,50 @@ def word_hashes(raw: np.ndarray, breaks: np.ndarray = _SPACE) -> np.ndarray:
     return out
 
 
-def shingles(raw: np.ndarray) -> np.ndarray:
+def shingles(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
     """Sorted distinct shingle hashes of a text's bytes."""
     w = word_hashes(raw)
     if not len(w):
         return w
-    if len(w) < GRAM:
+    if len(w) < gram:
         h = np.array([len(w)], np.uint64)
         for i in range(len(w)):
             h = B.mix(h * _GRAM[0] + w[i : i + 1])
         return h
-    n = len(w) - GRAM + 1
+    n = len(w) - gram + 1
     mixed = np.zeros(n, np.uint64)
-    for k in range(GRAM):
+    for k in range(gram):
         mixed += w[k : k + n] * _GRAM[k]
     return np.unique(B.mix(mixed))
 
 
-def shingle_sets(row: dict) -> list[np.ndarray]:
+def shingle_sets(row: dict, gram: int = GRAM) -> list[np.ndarray]:
     starts, raw = B.unpack(row)
-    return [shingles(raw[a:b]) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    return [shingles(raw[a:b], gram) for a, b in zip(starts[:-1], starts[1:], strict=True)]
 
 
-def light_rows(size: int) -> int:
+def light_rows(size: int, top: int = TOP) -> int:
     """Subsets that a light set of that size enumerates."""
-    return sum(comb(size, k) for k in range(size - least_overlap(size) + 1))
+    return sum(comb(size, k) for k in range(size - least_overlap(size, top) + 1))
 
 
-def heavy_rows(size: int) -> int:
-    return size - least_overlap(size) + 1
+def heavy_rows(size: int, top: int = TOP) -> int:
+    return size - least_overlap(size, top) + 1
 
 
-def boundary(histogram: dict[int, int], list_length: float) -> int:
+def boundary(histogram: dict[int, int], list_length: float, top: int = TOP) -> int:
     """The largest size of a light set, by least cost: subsets to enumerate against lists to scan."""
     best = (float("inf"), 0)
     for b in range(MOST_LIGHT + 1):
-        cost = sum(n * (light_rows(s) if s <= b else heavy_rows(s) * (1 + list_length)) for s, n in histogram.items())
+        cost = sum(n * (light_rows(s, top) if s <= b else heavy_rows(s, top) * (1 + list_length)) for s, n in histogram.items())
         best = min(best, (cost, b))
     return best[1]
 
 
-def signatures(tokens: np.ndarray, codes: np.ndarray, light: int) -> list[int]:
+def signatures(tokens: np.ndarray, codes: np.ndarray, light: int, top: int = TOP) -> list[int]:
     """Subsets and list tokens of a set; codes are its tokens' document frequencies."""
     s = len(tokens)
-    spare = s - least_overlap(s)
+    spare = s - least_overlap(s, top)
     order = np.lexsort((tokens, codes))
     shared = order[codes[order] > 0]
     alone = s - len(shared)
@@ -142,7 +143,7 @@ def signatures(tokens: np.ndarray, codes: np.ndarray, light: int) -> list[int]:
             picks = combinations(range(len(shared)), k)
             left = np.array([np.add.reduce(B.mix(tokens[shared[list(p)]])) if p else np.uint64(0) for p in picks], np.uint64)
             out += B.mix(whole - left + np.uint64(len(shared) - k)).view(np.int64).tolist()
-    if s > light or s >= least_overlap(light + 1):
+    if s > light or s >= least_overlap(light + 1, top):
         out += tokens[shared[: spare + 1 - alone]].view(np.int64).tolist()
     return sorted(set(out))
 
@@ -175,8 +176,8 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _links(both: np.ndarray, a: np.ndarray | int, b: np.ndarray) -> np.ndarray:
-    return (both > 0) & (BOTTOM * both >= TOP * (a + b - both))
+def _links(both: np.ndarray, a: np.ndarray | int, b: np.ndarray, top: int = TOP) -> np.ndarray:
+    return (both > 0) & (BOTTOM * both >= top * (a + b - both))
 
 
 def _root(up: list[int], i: int) -> int:
@@ -186,18 +187,20 @@ def _root(up: list[int], i: int) -> int:
     return i
 
 
-def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def join_classes(docs: DataFrame, gram: int = GRAM, top: int = TOP) -> tuple[DataFrame, DataFrame]:
     """(rep, n_shingles) of every class, and edges (a, b) between classes that span the components of all links.
 
     docs(class, doc_id, text) holds each text once; rep is its class.
     """
+    if not 0 < gram <= len(_GRAM):
+        raise ValueError(f"grams have 1 to {len(_GRAM)} words")
     packed = B.pack(docs)
-    codes = B.frequency_codes(packed, shingle_sets)
+    codes = B.frequency_codes(packed, partial(shingle_sets, gram=gram))
     coded = packed.join(codes, "block", "left")
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.rows(batches):
-            sets = shingle_sets(row)
+            sets = shingle_sets(row, gram)
             tokens = np.unique(np.concatenate(sets)) if sets else np.array([], np.uint64)
             code = B.codes_of(row)
             out: list[tuple] = []
@@ -205,7 +208,7 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 c = code[np.searchsorted(tokens, t)]
                 shared = t[c > 0]
                 # Whether any partner can share enough: all that later steps need of the others is their size.
-                near = len(t) > 0 and len(t) - len(shared) <= len(t) - least_overlap(len(t))
+                near = len(t) > 0 and len(t) - len(shared) <= len(t) - least_overlap(len(t), top)
                 c = c[c > 0]
                 lists = float((0.5 ** ((c.astype(np.float64) - 1) / 2)).sum())  # this document's part of the number of lists
                 out.append((i, len(t), shared.tobytes() if near else None, c.tobytes() if near else None, lists if near else None))
@@ -218,7 +221,7 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = found.filter("tokens is not null")
     histogram = {r["s"]: r["count"] for r in near.groupBy(F.least("n_shingles", F.lit(MOST_LIGHT + 1)).cast("int").alias("s")).count().collect()}
     entries, lists = near.agg(F.coalesce(F.sum(F.length("codes")), F.lit(0)), F.coalesce(F.sum("lists"), F.lit(0.0))).first()
-    light = boundary(histogram, entries / max(1.0, lists))
+    light = boundary(histogram, entries / max(1.0, lists), top)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -228,7 +231,7 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 alone = n - len(t)
                 # Tokens of this document alone stand before all others in the order.
                 full = np.concatenate([np.zeros(alone, np.uint64), t]), np.concatenate([np.zeros(alone, np.uint8), c])
-                marks.append(signatures(*full, light))
+                marks.append(signatures(*full, light, top))
             yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(marks, pa.list_(pa.int64()))], ["rep", "sigs"])
 
     posts = near.select("rep", "n_shingles", "tokens", "codes").mapInArrow(signed, "rep long, sigs array<long>").select("rep", F.explode("sigs").alias("sig"))
@@ -241,7 +244,7 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         own = [np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()]
         size = group.column("n_shingles").to_numpy()
         p = int(np.flatnonzero(ids == pivot)[0])
-        hit = _links(_shared(own[p], own), size[p], size)
+        hit = _links(_shared(own[p], own), size[p], size, top)
         return pa.table({"a": np.full(int(hit.sum()), pivot), "b": ids[hit]})
 
     # Rounds of pivots: each document is compared with one other of its lists, which most of those lists have as theirs.
@@ -283,7 +286,7 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         for s in range(0, len(left), CHUNK):
             for e in range(0, len(right), CHUNK):
                 i, j = left[s : s + CHUNK], right[e : e + CHUNK]
-                hit = (comp[i, None] != comp[None, j]) & _links(_overlaps([own[k] for k in i], [own[k] for k in j]), size[i, None], size[None, j])
+                hit = (comp[i, None] != comp[None, j]) & _links(_overlaps([own[k] for k in i], [own[k] for k in j]), size[i, None], size[None, j], top)
                 for x, y in np.unique(np.stack([index[i[np.nonzero(hit)[0]]], index[j[np.nonzero(hit)[1]]]], 1), axis=0).tolist():
                     x, y = _root(up, x), _root(up, y)
                     up[max(x, y)] = min(x, y)
@@ -303,10 +306,10 @@ def join_classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.select("rep", "n_shingles"), edges
 
 
-def similar_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for every document."""
+def similar_documents(docs: DataFrame, gram: int = GRAM, top: int = TOP) -> DataFrame:
+    """doc_id, n_shingles, component_id for every document; links have ``top`` hundredths of the union of ``gram`` words in common."""
     member, groups, once = B.distinct_texts(docs)
-    sizes, edges = join_classes(once.filter("doc_id is not null"))
+    sizes, edges = join_classes(once.filter("doc_id is not null"), gram, top)
     linked = components(edges)
     known = groups.filter("rep is not null").join(sizes.withColumnRenamed("rep", "class"), "class", "left").join(linked.withColumnRenamed("node", "class"), "class", "left")
     known = settle(known.select("key", "rep", "n_shingles", F.coalesce("component", "class").alias("c")))

@@ -84,6 +84,28 @@ def test_jaccard_join_in_batches(spark, monkeypatch):
     assert len(released) > 2 + jaccard.PIVOTS + 1  # more than one batch
 
 
+def test_jaccard_join_of_five_words(spark):
+    """Links by five words at 0.80 that four words at 0.85 miss, against brute force; three to five words are one shingle."""
+    rng = np.random.default_rng(3)
+    rows = [(0, "a b c d"), (1, "A b c d"), (2, "a b c d e"), (3, "a b c"), (4, None), (5, "")]
+    for i in range(6, 90):
+        n = int(rng.integers(5, 70))
+        w = [f"t{k}" for k in range(n)]
+        for k in rng.integers(0, n, int(rng.integers(0, 3))):
+            w[k] = f"u{rng.integers(40)}"
+        rows.append((i, " ".join(w)))
+    sets = [(i, frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if (w := words(t)) else frozenset()) for i, t in rows]
+    first = {i: i for i, _ in sets}
+    for i, a in sets:
+        for j, b in sets[:i]:
+            if a and b and 100 * len(a & b) >= 80 * len(a | b) and first[i] != first[j]:
+                lo, hi = sorted((first[i], first[j]))
+                first = {k: lo if v == hi else v for k, v in first.items()}
+    want = [(i, len(s), first[i]) for i, s in sets]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.similar_documents(texts(spark, rows), 5, 80).collect())
+    assert got == want
+
+
 def test_jaccard_empty_and_repeated_ids(spark):
     assert jaccard.similar_documents(frame(spark, [])).count() == 0
     got = jaccard.similar_documents(texts(spark, [(1, "a b c d e"), (1, "q r s t u"), (2, "a b c d e")])).collect()

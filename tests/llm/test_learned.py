@@ -109,6 +109,16 @@ def test_stage_decisions(spark, stages):
     assert 0 < mixed.count() <= safe.count() and mixed.filter("taken > 3 * size or taken = 0").count() == 0
 
 
+def test_stage_drops_near_copies_by_five_words(spark):
+    """A word replaced among 50: 41 of 51 shingles of five words (0.804), 43 of 51 of four (0.843); among 48: 39 of 49 of five (0.796)."""
+    base = [f"t{k}" for k in range(50)]
+    near = [*base[:25], "x", *base[26:]]
+    far = [f"s{k}" for k in range(48)]
+    rows = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join([*far[:24], "x", *far[25:]]))]
+    kept = corpus_pipeline.drop_near_copies(spark, texts(spark, rows), SF)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
+
+
 def test_stages_bear_odd_rows(spark):
     docs = frame(spark).select("doc_id", "text", "lang", "source", "n_chars", "key", "h")
     for _, f in corpus_pipeline.STAGES:
