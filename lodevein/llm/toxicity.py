@@ -2,7 +2,8 @@
 
 A logistic model over the presence of words and of word beginnings (an insult that is inflected keeps its stem).  Beside the usual loss, each labelled text that names a group of people is
 paired with texts in which the name is swapped for others of its kind, and the squared change of the logit is
-penalised, so that a neutral mention of a group doesn't move the score.
+penalised, so that a neutral mention of a group doesn't move the score.  A swap changes all features that differ between the
+two texts: the names and their beginnings, but for beginnings that another word of the text has, too.
 
 The model is fitted on a bounded sample of labelled rows (``sample``, by a hash of the id); its words are those that
 differ most between the classes (chi-squared), ``words`` at most.  Scoring reads every whole text.
@@ -52,11 +53,26 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall(text.lower())) if text else set()
 
 
-def features_of(text: str | None) -> set[str]:
-    words = words_of(text)
+def features(words: set[str]) -> set[str]:
     return words.union(*({"^" + w[:k] for w in words if len(w) > k} for k in STEMS))
 
 
+def features_of(text: str | None) -> set[str]:
+    return features(words_of(text))
+
+
+def swaps(words: set[str]) -> Iterator[tuple[list[str], list[str]]]:
+    """For each group named, and up to three others of its kind that the text lacks: the features that go and those that come."""
+    for w in sorted(words & _KIND.keys()):
+        kind = IDENTITY[_KIND[w]]
+        others = [v for v in kind if v not in words]
+        at = kind.index(w)
+        before, rest = features({w}), features(words - {w})
+        for v in (others[at % max(1, len(others)) :] + others)[:3] if others else []:
+            after = features({v})
+            yield sorted(before - after - rest), sorted(after - before - rest)
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
@@ -76,7 +92,7 @@ class Model:
 
 
 def labelled_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """key, y, words: the bounded training sample as sets of words."""
+    """y, words, swaps: the bounded training sample as sets of features, with what swaps of names change."""
     marks = labels.filter(F.col("toxic").isNotNull() & learns(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("y"))
     n = marks.count()
     share = min(1.0, sample / max(n, 1))
@@ -85,10 +101,12 @@ def labelled_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words = [sorted(features_of(t)) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(words, pa.list_(pa.string()))], ["y", "words"])
+            words = [words_of(t) for t in b.column("text").to_pylist()]
+            held = pa.array([sorted(features(w)) for w in words], pa.list_(pa.string()))
+            changes = pa.array([[{"gone": gone, "come": come} for gone, come in swaps(w)] for w in words], pa.list_(pa.struct({"gone": pa.list_(pa.string()), "come": pa.list_(pa.string())})))
+            yield pa.RecordBatch.from_arrays([b.column("y"), held, changes], ["y", "words", "swaps"])
 
-    return rows.select("y", "text").mapInArrow(split, "y int, words array<string>")
+    return rows.select("y", "text").mapInArrow(split, "y int, words array<string>, swaps array<struct<gone: array<string>, come: array<string>>>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = WORDS, penalty: float = SWAP_PENALTY) -> Model:
@@ -110,44 +128,41 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = W
         vocabulary = sorted({*vocabulary, *names})
         if not vocabulary:
             return Model({}, base)
-        held = F.array_intersect("words", F.array(*map(F.lit, vocabulary)))
+        known = F.array(*map(F.lit, vocabulary))
+        held = F.array_intersect("words", known)
         # Texts with the same words and label are one row with a count: bounded by the sample in any case.
         x = rows.groupBy("y", F.array_sort(held).alias("held")).count().collect()
+        changed = rows.select(F.explode("swaps").alias("s")).select(*(F.array_sort(F.array_intersect(f"s.{c}", known)).alias(c) for c in ("gone", "come")))
+        changes = {(tuple(r["gone"]), tuple(r["come"])): float(r["count"]) for r in changed.groupBy("gone", "come").count().orderBy("gone", "come").collect()}
     finally:
         rows.unpersist()
-    return train([r["held"] for r in x], np.array([r["y"] for r in x], float), np.array([r["count"] for r in x], float), vocabulary, base, penalty)
-
+    return train([r["held"] for r in x], np.array([r["y"] for r in x], float), np.array([r["count"] for r in x], float), vocabulary, base, penalty, changes=changes)
 
-def swaps(held: list[str], vocabulary: dict[str, int]) -> Iterator[tuple[int, int]]:
-    """For each group named: its column, and the columns of up to three others of its kind that the text lacks."""
-    for w in held:
-        if (kind := _KIND.get(w)) is not None:
-            others = [v for v in IDENTITY[kind] if v != w and v not in held]
-            at = IDENTITY[kind].index(w)
-            for v in (others[at % max(1, len(others)) :] + others)[:3] if others else []:
-                yield vocabulary[w], vocabulary.get(v, -1)
 
+def train(held: list[list[str]], y: np.ndarray, count: np.ndarray, words: list[str], base: float, penalty: float = SWAP_PENALTY, rounds: int = 30, changes: dict[tuple[tuple[str, ...], tuple[str, ...]], float] | None = None) -> Model:
+    """Newton steps on loss, ridge and swap penalty; the matrix has a column for each of a bounded number of words.
 
-def train(held: list[list[str]], y: np.ndarray, count: np.ndarray, words: list[str], base: float, penalty: float = SWAP_PENALTY, rounds: int = 30) -> Model:
-    """Newton steps on loss, ridge and swap penalty; the matrix has a column for each of a bounded number of words."""
+    ``changes`` counts the swaps by the features that go and come; where it isn't given, ``held`` are taken for whole texts.
+    """
     at = {w: i for i, w in enumerate(words)}
     k = len(words)
     x = np.zeros((len(held), k + 1), np.float32)
     x[:, k] = 1
-    pairs: dict[tuple[int, int], float] = {}
     for i, ws in enumerate(held):
         x[i, [at[w] for w in ws]] = 1
-        for p in swaps(ws, at):
-            pairs[p] = pairs.get(p, 0.0) + count[i]
+    if changes is None:
+        changes = {}
+        for ws, c in zip(held, count, strict=True):
+            for gone, come in swaps({w for w in ws if w[0] != "^"}):
+                changes[tuple(gone), tuple(come)] = changes.get((tuple(gone), tuple(come)), 0.0) + c
     n = count.sum()
     fixed = np.eye(k + 1) * RIDGE
     fixed[k, k] = 1e-6
-    for (i, j), c in pairs.items():  # a word that the model doesn't hold has weight 0
-        d = np.zeros(k + 1)
-        d[i] = 1
-        if j >= 0:
-            d[j] = -1
-        fixed += penalty * c / n * np.outer(d, d)
+    d = np.zeros((len(changes), k + 1))  # a feature that the model doesn't hold has weight 0
+    for row, (gone, come) in zip(d, changes, strict=True):
+        row[[at[w] for w in gone if w in at]] = 1
+        row[[at[w] for w in come if w in at]] = -1
+    fixed += penalty / n * d.T @ (d * np.array(list(changes.values()))[:, None])
     w = np.zeros(k + 1)
     w[k] = base
 

@@ -59,6 +59,32 @@ def test_swaps_keep_neutral_mentions_neutral():
     assert plain.score("a muslim neighbour") > 2 * fair.score("a muslim neighbour") and fair.score("an awful person") > 0.5
 
 
+def test_swaps_change_all_features():
+    gone, come = next(iter(toxicity.swaps({"muslim", "music", "nice"})))
+    before = toxicity.features_of("muslim music nice")
+    assert {"muslim", "^musl", "^musli"} == set(gone) and "^mus" not in gone  # music has it, too
+    other = next(w for w in come if w in toxicity.IDENTITY["faith"])
+    after = toxicity.features_of(f"{other} music nice")
+    assert (set(gone), set(come)) == (before - after, after - before)
+
+
+def test_fit_keeps_neutral_mentions_neutral(spark):
+    """Names of four letters and more are features with all their beginnings, and fit() penalises all of them."""
+    rng = np.random.default_rng(0)
+    rows, marks = [], []
+    for i in range(500):
+        toxic = i % 4 == 0
+        named = rng.random() < (0.7 if toxic else 0.05)
+        rows.append((i, " ".join([*(["muslim"] if named else []), *(["awful"] if toxic and rng.random() < 0.7 else []), *(["nice"] if rng.random() < 0.5 else []), "person"])))
+        marks.append((i, 1, int(toxic)))
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    plain, fair = (toxicity.fit(texts(spark, rows), labels, penalty=p) for p in (0.0, toxicity.SWAP_PENALTY))
+    shift = lambda m, name: np.subtract(*(np.log(p / (1 - p)) for p in (m.score(f"a {name} person"), m.score("a person"))))
+    assert {"muslim", "^mus", "^musl", "^musli"} <= fair.weights.keys()
+    assert shift(plain, "muslim") > 2 and abs(shift(fair, "muslim")) < 0.1 * shift(plain, "muslim")
+    assert fair.score("an awful person") > 0.5
+
+
 def test_common_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(60):
