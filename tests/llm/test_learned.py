@@ -110,6 +110,34 @@ def test_decontamination(spark):
     assert decontam.contaminations(frame(spark, []), bench).count() == 0 and decontam.contaminations(frame(spark), bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_edited_items(spark):
+    """Items with 0, 15 and 30 % of their words replaced: all that the subsequence confirms are found, whatever their cosine."""
+    rng = np.random.default_rng(4)
+    docs = read(spark, SF, "documents")
+    pool = " ".join(r["text"] for r in docs.filter("text is not null").orderBy("doc_id").limit(200).collect()).split()
+    items = [r for r in read(spark, SF, "benchmark").orderBy("item_id").collect() if len(decontam.word_ids(r["text"].encode())) >= decontam.LEAST_WORDS]
+    rows, want = [], set()
+    for n, share in enumerate((0.0, 0.15, 0.3)):
+        for k, item in enumerate(items):
+            x = [str(rng.choice(pool)) if rng.random() < share else w for w in item["text"].split()]
+            i = 10_000_000 + n * len(items) + k
+            rows.append((i, " ".join([*rng.choice(pool, 60), *x, *rng.choice(pool, 60)])))
+            a, b = (decontam.word_ids(t.encode()) for t in (item["text"], " ".join(x)))
+            if decontam.common_subsequence(a, b) >= decontam.HIGH * len(a):
+                want.add((i, item["item_id"]))
+    planted = docs.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminations(planted, read(spark, SF, "benchmark")).collect()}
+    assert len(want) > 1.5 * len(items) and want <= got
+
+
+def test_search_needs_no_cosine():
+    """In a space where all cosines are 0 a verbatim item is found."""
+    ids = decontam.word_ids(PASSAGE.encode())
+    index = decontam.Index([decontam.Item(7, ids, ids[-3:])], np.ones(decontam.FEATURES), np.zeros((decontam.FEATURES, decontam.RANK)), np.ones(decontam.FEATURES), decontam.LOW)
+    text = np.concatenate([decontam.word_ids(b"some words before it"), ids])
+    assert [x[:2] for x in index.search([1], np.array([len(text)]), text, decontam.COSINE, decontam.LOW)] == [(1, 7)]
+
+
 @pytest.fixture(scope="module")
 def stages(spark, tmp_path_factory):
     out = [read(spark, SF, "documents")]
