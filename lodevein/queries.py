@@ -187,8 +187,9 @@ def prior_degree_directed(spark: SparkSession, sf: str) -> DataFrame:
 def prior_rectangular(spark: SparkSession, sf: str) -> DataFrame:
     """Expected row margins of customers by suppliers."""
     cells = X.customer_supplier(spark, sf)
-    r = cells.groupBy("row_id").count().groupBy(F.col("count").alias("degree")).agg(F.count("*").alias("n")).orderBy("degree").limit(prior.MOST_CLASSES).collect()
-    c = cells.groupBy("col_id").count().groupBy(F.col("count").alias("degree")).agg(F.count("*").alias("n")).orderBy("degree").limit(prior.MOST_CLASSES).collect()
+    r, c = (cells.groupBy(k).count().groupBy(F.col("count").alias("degree")).agg(F.count("*").alias("n")).orderBy("degree").limit(prior.MOST_CLASSES + 1).collect() for k in ("row_id", "col_id"))
+    if max(len(r), len(c)) > prior.MOST_CLASSES:
+        raise ValueError(f"more than {prior.MOST_CLASSES} classes of nodes")
     # Rows are classes that only send, columns classes that only receive.
     out = np.array([x["degree"] for x in r] + [0] * len(c), float)
     in_ = np.array([0] * len(r) + [x["degree"] for x in c], float)

@@ -164,3 +164,9 @@ def test_fisher_tests_every_part(spark, tmp_path):
 def test_log_factorials(spark):
     got = spark.createDataFrame([(n,) for n in (0, 1, 15, 16, 17, 100, 20_000, 30_000_000)], "n long").select("n", post.log_factorial(F.col("n")).alias("f")).collect()
     assert all(r["f"] == pytest.approx(math.lgamma(r["n"] + 1), rel=1e-14, abs=1e-14) for r in got)
+
+
+def test_rectangular_prior_loses_no_class(spark, monkeypatch):
+    monkeypatch.setattr(prior, "MOST_CLASSES", 3)
+    with pytest.raises(ValueError, match="classes"):
+        registry.prior_rectangular(spark, "/root/testdata/sf0.001")
