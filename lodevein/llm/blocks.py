@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from lodevein.llm.common import settle
 
 BLOCK_BYTES = 2 << 20
-#: First bits of a token that name its bucket.
-BUCKET_BITS = 8
+#: Bytes of text whose tokens meet in a bucket, about; the number of buckets grows with the corpus.
+BUCKET_BYTES = 32 << 20
+LEAST_BITS = 8
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -103,11 +104,18 @@ def bucket_edges(tokens: np.ndarray, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(tokens, firsts), len(tokens))
 
 
-def frequency_codes(blocks: DataFrame, tokens_of: Callable[[dict], list[np.ndarray]], bits: int = BUCKET_BITS) -> DataFrame:
+def bucket_bits(blocks: DataFrame) -> int:
+    """First bits of a token that name its bucket, from the size of the corpus."""
+    size = blocks.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
+    return min(24, max(LEAST_BITS, (size // BUCKET_BYTES).bit_length()))
+
+
+def frequency_codes(blocks: DataFrame, tokens_of: Callable[[dict], list[np.ndarray]]) -> DataFrame:
     """block, codes: an array of (bucket, codes of the block's sorted distinct tokens in that bucket).
 
     ``tokens_of`` gives a sorted array of distinct uint64 tokens for each document of a block's row.
     """
+    bits = bucket_bits(blocks)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows(batches):

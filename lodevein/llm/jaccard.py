@@ -1,19 +1,24 @@
 """N-gram Jaccard join: a size-aware heavy-light set similarity join with an exact result.
 
 The set of a document is its distinct word n-grams (``gram`` words, four unless told otherwise).  Documents of one text are one class.  Sets up to a boundary are
-light: they enumerate the subsets that a partner must share, all subsets with as few left out as the threshold allows.
+light: for each size that a partner of theirs can ask of the intersection, they enumerate all their subsets of that size.
 Larger sets are heavy: they scan inverted lists, of which the rarest ``size - ceil(t size) + 1`` tokens suffice, in an
 order by exact document frequency; tokens of a single document come first and have no list, so a document
 without near copies drops out at once.  The boundary is the one of least cost, from the histogram of sizes and the
 mean length of lists; sets that can match over the boundary do both.
 
-Documents that share a subset or a list are candidates.  Each is first compared with one pivot of its lists, all that
-link are merged, and so on for some rounds; then lists that still hold several components are compared by whole sets,
-what isn't of the largest component with all, in chunks.  Pairs are never listed.
+Documents that share a subset or a list are candidates.  Each is first compared with one pivot of its lists, and all that link
+are merged.  Lists that still hold several components are then searched with a row of bits for each set: two sets of one
+list stay candidates only if their sizes, the places of the list's token in them and their bits (whose differences count
+differing tokens from below) leave room for enough common tokens.  What isn't of the largest component of its list asks
+for its best candidate over all lists, whole sets verify these pairs, links are merged, and so on, until all that is left
+was refuted.  If a document has several candidates left and nothing merges any more, the whole sets of what is open
+are compared in blocks.  Nothing is lost on that way, and pairs of a group are never listed.
 
 Defined results: a null or wordless text has 0 shingles and links with nothing; fewer than ``gram`` words are one
 shingle; rows that repeat an id are documents of their own with that id, linked if their texts are; a null id has 0 shingles and a
-null component; an empty table gives an empty result; further columns are ignored.
+null component; very long texts are read whole, and their bits grow with them; ids must be numbers that fit a long; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,37 +26,31 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 from itertools import combinations
-from math import ceil, comb
+from math import comb, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodevein.llm import blocks as B
 from lodevein.llm.common import discard, settle
 from lodevein.llm.graph import components
+from lodevein.llm.words import word_hashes
 
 GRAM = 4
 #: Threshold as a fraction: 100 * intersection >= 85 * union; a caller may give another gram and numerator.
 TOP, BOTTOM = 85, 100
-#: Sets larger than this are never light.
-MOST_LIGHT = 26
-CHUNK = 256
+#: Sizes from here on are one class of the histogram; their subsets are beyond any cost.
+LARGE = 256
+#: Members that meet in one comparison, and followers of a pivot in one task.
+CHUNK = 2048
 GROUP = 2048
-PIVOTS = 3
-#: Tokens that a batch of list comparisons may move: so many times those of all sets, or this number if it is larger.
-BATCH_TIMES = 4
-BATCH_TOKENS = 1 << 25
-
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+PIVOTS = 2
+#: Least and most binary logarithm of the bits of a set.
+BITS = (9, 16)
+
 _GRAM = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
-SEGMENT = 1 << 20
 
 
 def least_overlap(size: int, top: int = TOP) -> int:
@@ -59,54 +58,24 @@ def least_overlap(size: int, top: int = TOP) -> int:
     return -(-top * size // BOTTOM)
 
 
-def word_hashes(raw: np.ndarray, breaks: np.ndarray = _SPACE) -> np.ndarray:
-    """Hashes of the words of UTF-8 bytes in order, A-Z as a-z; ``breaks`` tells which bytes end a word."""
-    if not len(raw):
-        return np.array([], np.uint64)
-    space = breaks[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).view(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):  # in segments of whole words, for memory
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + SEGMENT, "right")))
-        lo, hi = int(starts[at]), int(ends[to - 1])
-        n = hi - lo
-        power = np.full(n + 1, _BASE)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum((_LOWER[raw[lo:hi]].astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-        s, e = starts[at:to] - lo, ends[at:to] - lo
-        # A word's polynomial must not depend on its place: divide by the power at its start.
-        back = np.full(n + 1, _INVERSE)
-        back[0] = 1
-        np.multiply.accumulate(back, out=back)
-        out[at:to] = B.mix((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64))
-        at = to
-    return out
-
-
-def shingles(raw: np.ndarray, gram: int = GRAM) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text's bytes."""
-    w = word_hashes(raw)
-    if not len(w):
-        return w
-    if len(w) < gram:
-        h = np.array([len(w)], np.uint64)
-        for i in range(len(w)):
-            h = B.mix(h * _GRAM[0] + w[i : i + 1])
-        return h
-    n = len(w) - gram + 1
-    mixed = np.zeros(n, np.uint64)
-    for k in range(gram):
-        mixed += w[k : k + n] * _GRAM[k]
-    return np.unique(B.mix(mixed))
-
-
 def shingle_sets(row: dict, gram: int = GRAM) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text of a block."""
     starts, raw = B.unpack(row)
-    return [shingles(raw[a:b], gram) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    w, at = word_hashes(raw, starts)
+    mixed = np.zeros(max(0, len(w) - gram + 1), np.uint64)
+    for k in range(gram):
+        mixed += w[k : k + len(mixed)] * _GRAM[k]
+    mixed = B.mix(mixed)
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b - a >= gram:
+            out.append(np.unique(mixed[a : b - gram + 1]))
+        else:
+            h = np.array([b - a][: b - a], np.uint64)
+            for i in range(a, b):
+                h = B.mix(h * _GRAM[0] + w[i : i + 1])
+            out.append(h)
+    return out
 
 
 def light_rows(size: int, top: int = TOP) -> int:
@@ -120,15 +89,19 @@ def heavy_rows(size: int, top: int = TOP) -> int:
 
 def boundary(histogram: dict[int, int], list_length: float, top: int = TOP) -> int:
     """The largest size of a light set, by least cost: subsets to enumerate against lists to scan."""
-    best = (float("inf"), 0)
-    for b in range(MOST_LIGHT + 1):
-        cost = sum(n * (light_rows(s, top) if s <= b else heavy_rows(s, top) * (1 + list_length)) for s, n in histogram.items())
-        best = min(best, (cost, b))
+    heavy = lambda s, n: n * heavy_rows(s, top) * (1 + list_length)
+    light, rest = 0, sum(heavy(s, n) for s, n in histogram.items())
+    best = (rest, 0)
+    for s in sorted(histogram):
+        light, rest = light + histogram[s] * light_rows(s, top), rest - heavy(s, histogram[s])
+        if light > best[0] or s >= LARGE:  # larger boundaries enumerate more
+            break
+        best = min(best, (light + rest, s))
     return best[1]
 
 
-def signatures(tokens: np.ndarray, codes: np.ndarray, light: int, top: int = TOP) -> list[int]:
-    """Subsets and list tokens of a set; codes are its tokens' document frequencies."""
+def signatures(tokens: np.ndarray, codes: np.ndarray, light: int, top: int = TOP) -> list[tuple[int, int]]:
+    """Subsets and list tokens of a set, with how many of its tokens come before; codes are its tokens' document frequencies."""
     s = len(tokens)
     spare = s - least_overlap(s, top)
     order = np.lexsort((tokens, codes))
@@ -136,16 +109,24 @@ def signatures(tokens: np.ndarray, codes: np.ndarray, light: int, top: int = TOP
     alone = s - len(shared)
     if alone > spare:  # no partner can share enough
         return []
-    out: list[int] = []
+    out: dict[int, int] = {}
+    if s > light or s >= least_overlap(light + 1, top):
+        lists = tokens[shared[: spare + 1 - alone]].view(np.int64).tolist()
+        out = dict(zip(lists, range(alone, alone + len(lists)), strict=True))
     if s <= light:
         whole = np.add.reduce(B.mix(tokens[shared]))
         for k in range(spare - alone + 1):
             picks = combinations(range(len(shared)), k)
             left = np.array([np.add.reduce(B.mix(tokens[shared[list(p)]])) if p else np.uint64(0) for p in picks], np.uint64)
-            out += B.mix(whole - left + np.uint64(len(shared) - k)).view(np.int64).tolist()
-    if s > light or s >= least_overlap(light + 1, top):
-        out += tokens[shared[: spare + 1 - alone]].view(np.int64).tolist()
-    return sorted(set(out))
+            out |= dict.fromkeys(B.mix(whole - left + np.uint64(len(shared) - k)).view(np.int64).tolist(), 0)
+    return sorted(out.items())
+
+
+def bits_of(tokens: np.ndarray, size: int) -> bytes:
+    """Whether each class of a set's tokens has an odd number; the classes grow with the size of the set."""
+    width = 1 << min(max(BITS[0], (size - 1).bit_length()), BITS[1])
+    odd = np.bincount((tokens >> np.uint64(8)).astype(np.int64) & (width - 1), minlength=width) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
 def _shared(a: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
@@ -187,6 +168,47 @@ def _root(up: list[int], i: int) -> int:
     return i
 
 
+def _folded(bits: list[bytes], widths: np.ndarray, w: int) -> np.ndarray:
+    """Rows of w words for all sets that have as many; those that have more are folded."""
+    out = np.zeros((len(bits), w), np.uint64)
+    for v in np.unique(widths[widths >= w]):
+        own = np.flatnonzero(widths == v)
+        out[own] = np.bitwise_xor.reduce(np.frombuffer(b"".join(bits[k] for k in own), np.uint64).reshape(len(own), v // w, w), axis=1)
+    return out
+
+
+def room(comp: np.ndarray, size: np.ndarray, alone: np.ndarray, place: np.ndarray, bits: list[bytes], left: np.ndarray, right: np.ndarray, top: int = TOP) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of left and right members of a list, of different components, that may link; with a bound of their common tokens."""
+    rest = size - place
+    widths = np.array([len(b) // 8 for b in bits])
+    words: dict[int, np.ndarray] = {}
+    strip = max(1, (1 << 20) // max(1, len(right)))
+    for s in range(0, len(left), strip):
+        own = left[s : s + strip]
+        i, j = np.nonzero((comp[own, None] != comp[right]) & (BOTTOM * size[right] >= top * size[own, None]) & (BOTTOM * size[own, None] >= top * size[right]))
+        i, j = own[i], right[j]
+        both = size[i] + size[j]
+        need = -(-top * both // (BOTTOM + top))
+        keep = np.minimum(rest[i], rest[j]) >= need
+        i, j, both, need = i[keep], j[keep], both[keep], need[keep]
+        differ = alone[i] + alone[j]  # tokens that the other can't have, and bits that tell two sets apart
+        narrow = np.minimum(widths[i], widths[j])
+        for w in np.unique(narrow).tolist():
+            if w not in words:
+                words[w] = _folded(bits, widths, w)
+            pairs = np.flatnonzero(narrow == w)
+            for a in range(0, len(pairs), step := max(1, (1 << 21) // w)):
+                k = pairs[a : a + step]
+                differ[k] += np.bitwise_count(words[w][i[k]] ^ words[w][j[k]]).sum(1, dtype=np.int64)
+        most = (both - differ) // 2
+        keep = most >= need
+        yield i[keep], j[keep], most[keep]
+
+
+def _numbers(group: pa.Table, *names: str) -> list[np.ndarray]:
+    return [group.column(c).to_numpy(zero_copy_only=False) for c in names]
+
+
 def join_classes(docs: DataFrame, gram: int = GRAM, top: int = TOP) -> tuple[DataFrame, DataFrame]:
     """(rep, n_shingles) of every class, and edges (a, b) between classes that span the components of all links.
 
@@ -208,84 +230,185 @@ def join_classes(docs: DataFrame, gram: int = GRAM, top: int = TOP) -> tuple[Dat
                 c = code[np.searchsorted(tokens, t)]
                 shared = t[c > 0]
                 # Whether any partner can share enough: all that later steps need of the others is their size.
-                near = len(t) > 0 and len(t) - len(shared) <= len(t) - least_overlap(len(t), top)
+                if not len(t) or len(shared) < least_overlap(len(t), top):
+                    out.append((i, len(t), None, None, None, None))
+                    continue
                 c = c[c > 0]
                 lists = float((0.5 ** ((c.astype(np.float64) - 1) / 2)).sum())  # this document's part of the number of lists
-                out.append((i, len(t), shared.tobytes() if near else None, c.tobytes() if near else None, lists if near else None))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["rep", "n_shingles", "tokens", "codes", "lists"])
+                out.append((i, len(t), shared.tobytes(), c.tobytes(), lists, bits_of(shared, len(t))))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["rep", "size", "tokens", "codes", "lists", "bits"])
 
-    found = settle(coded.mapInArrow(sized, "rep long, n_shingles long, tokens binary, codes binary, lists double"))
+    found = settle(coded.mapInArrow(sized, "rep long, size long, tokens binary, codes binary, lists double, bits binary"))
     B.release()
     discard(packed, codes)
     near = found.filter("tokens is not null")
-    histogram = {r["s"]: r["count"] for r in near.groupBy(F.least("n_shingles", F.lit(MOST_LIGHT + 1)).cast("int").alias("s")).count().collect()}
+    histogram = {r["s"]: r["count"] for r in near.groupBy(F.least("size", F.lit(LARGE)).cast("int").alias("s")).count().collect()}
     entries, lists = near.agg(F.coalesce(F.sum(F.length("codes")), F.lit(0)), F.coalesce(F.sum("lists"), F.lit(0.0))).first()
     light = boundary(histogram, entries / max(1.0, lists), top)
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             marks = []
-            for n, t, c in zip(*(b.column(k).to_pylist() for k in ("n_shingles", "tokens", "codes")), strict=True):
+            for n, t, c in zip(*(b.column(k).to_pylist() for k in ("size", "tokens", "codes")), strict=True):
                 t, c = np.frombuffer(t, np.uint64), np.frombuffer(c, np.uint8)
                 alone = n - len(t)
                 # Tokens of this document alone stand before all others in the order.
                 full = np.concatenate([np.zeros(alone, np.uint64), t]), np.concatenate([np.zeros(alone, np.uint8), c])
-                marks.append(signatures(*full, light, top))
-            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(marks, pa.list_(pa.int64()))], ["rep", "sigs"])
+                marks.append([{"sig": s, "place": p} for s, p in signatures(*full, light, top)])
+            yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(marks, pa.list_(pa.struct([("sig", pa.int64()), ("place", pa.int64())])))], ["rep", "sigs"])
 
-    posts = near.select("rep", "n_shingles", "tokens", "codes").mapInArrow(signed, "rep long, sigs array<long>").select("rep", F.explode("sigs").alias("sig"))
-    sets = near.select("rep", "n_shingles", "tokens")
+    signs = near.select("rep", "size", "tokens", "codes").mapInArrow(signed, "rep long, sigs array<struct<sig: long, place: long>>")
+    posts = signs.select("rep", F.explode("sigs").alias("s")).select("rep", "s.sig", "s.place")
     posts = settle(posts.join(posts.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig"), "sig"))
+    edges = _links_of(posts, near.select("rep", "size", "tokens"), near.select("rep", "size", (F.col("size") - F.length("tokens") / 8).cast("long").alias("alone"), "bits"), top)
+    return found.select("rep", F.col("size").alias("n_shingles")), edges
+
+
+def _with_components(posts: DataFrame, edges: DataFrame) -> DataFrame:
+    linked = components(edges).withColumnRenamed("node", "rep")
+    return settle(posts.join(linked, "rep", "left").select("sig", "rep", "place", F.coalesce("component", "rep").alias("comp")))
+
+
+def _links_of(posts: DataFrame, sets: DataFrame, marks: DataFrame, top: int) -> DataFrame:
+    """Edges that span the components of all links, from posts(sig, rep, place), sets(rep, size, tokens) and marks(rep, size, alone, bits)."""
+    now = posts.select("sig", "rep", "place", F.col("rep").alias("comp"))
+    edges = None
+    for turn in range(PIVOTS):
+        found = _pivot_links(now, sets, turn, top)
+        edges = settle(found if edges is None else edges.union(found))
+        now = _with_components(posts, edges)
+    while True:
+        open_ = _open_lists(now, marks, top)
+        found = settle(_candidates(open_, top))
+        asked = settle(found.groupBy("a").agg(F.max_by("b", F.struct("score", "b")).alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
+        hits = settle(_verified(asked, sets, top))
+        done = asked.filter("lo < hi").isEmpty()  # every document had one candidate at most, which was verified
+        if hits.isEmpty():
+            return edges if done else edges.union(settle(_compared(open_, sets, top)))
+        edges = settle(edges.union(hits))
+        if done:
+            return edges
+        # Merging takes candidates away and brings none, so lists without any are closed.
+        posts = settle(posts.join(found.select("sig").distinct(), "sig", "left_semi"))
+        now = _with_components(posts, edges)
+
+
+def _pivot_links(now: DataFrame, sets: DataFrame, turn: int, top: int) -> DataFrame:
+    """Links of documents with one other document of their lists, which most of those lists have as theirs."""
+
     def star(group: pa.Table) -> pa.Table:
-        """Links of a pivot."""
-        ids = group.column("rep").to_numpy()
+        ids, size = _numbers(group, "rep", "size")
         pivot = group.column("pivot")[0].as_py()
         own = [np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()]
-        size = group.column("n_shingles").to_numpy()
         p = int(np.flatnonzero(ids == pivot)[0])
-        hit = _links(_shared(own[p], own), size[p], size, top)
+        hit = _links(_shared(own[p], own), size[p], size, top) & (ids != pivot)
         return pa.table({"a": np.full(int(hit.sum()), pivot), "b": ids[hit]})
 
-    # Rounds of pivots: each document is compared with one other of its lists, which most of those lists have as theirs.
-    edges = None
-    now = posts.select("sig", "rep", F.col("rep").alias("comp"))
-    for turn in range(PIVOTS):
-        at = F.xxhash64("rep", F.lit(turn))
-        pivots = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("rep", "comp"), at).alias("p")).filter("lo < hi")
-        votes = now.join(pivots, "sig").filter("comp != p.comp").groupBy("rep", F.col("p.rep").alias("pivot")).agg(F.count("*").alias("votes"))
-        pairs = settle(votes.groupBy("rep").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("pivot")))
-        parts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-        followers = pairs.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int").alias("part"), "rep")
-        leaders = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("rep"))
-        found_edges = followers.union(leaders).join(sets, "rep").groupBy("pivot", "part").applyInArrow(star, "a long, b long")
-        edges = settle(found_edges if edges is None else edges.union(found_edges))
-        now = settle(posts.join(components(edges).withColumnRenamed("node", "rep"), "rep", "left").select("sig", "rep", F.coalesce("component", "rep").alias("comp")))
-        B.release()
-
-    # Lists that hold several components yet, each set of members once: what isn't of the list's largest component is compared
-    # with all members, in pairs of chunks.
-    mark = F.xxhash64("rep").cast("decimal(38,0)")
-    by_comp = now.groupBy("sig", "comp").agg(F.count("*").alias("n"), F.sum(mark).alias("mark"))
-    open_ = by_comp.groupBy("sig").agg(F.sum("n").alias("n"), F.sum("mark").alias("mark"), F.max(F.struct("n", "comp")).alias("main")).filter("n > main.n")
-    open_ = open_.groupBy("n", "mark").agg(F.min_by(F.struct("sig", "main"), "sig").alias("s"))
-    chunks = lambda c: F.ceil(c / CHUNK).cast("int")
-    open_ = settle(open_.select("s.sig", F.col("s.main.comp").alias("main"), chunks(F.col("n")).alias("all"), chunks(F.col("n") - F.col("s.main.n")).alias("few")))
-    placed = now.join(open_, "sig")
-    own = lambda n: F.pmod(F.xxhash64("rep"), n.cast("long")).cast("int")
-    few = placed.filter("comp != main").select("sig", "rep", "comp", own(F.col("few")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), F.lit(True).alias("apart"))
-    every = placed.select("sig", "rep", "comp", F.explode(F.sequence(F.lit(0), F.col("few") - 1)).alias("i"), own(F.col("all")).alias("j"), F.lit(False).alias("apart"))
+    at = F.xxhash64("rep", F.lit(turn))
+    pivots = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("rep", "comp"), at).alias("p")).filter("lo < hi")
+    votes = now.join(pivots, "sig").filter("comp != p.comp").groupBy("rep", F.col("p.rep").alias("pivot")).agg(F.count("*").alias("votes"))
+    pairs = settle(votes.groupBy("rep").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("pivot")))
+    parts = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
+    followers = pairs.join(parts, "pivot").select("pivot", F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int").alias("part"), "rep")
+    leaders = parts.select("pivot", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("pivot").alias("rep"))
+    return followers.union(leaders).join(sets, "rep").groupBy("pivot", "part").applyInArrow(star, "a long, b long")
+
+
+def _open_lists(now: DataFrame, marks: DataFrame, top: int) -> DataFrame:
+    """Members of the lists that hold several components, as (sig, band, i, j, asks, rep, comp, place, size, alone, bits).
+
+    Lists of the same members are one; the first in the order of tokens stands for them.  What isn't of a list's largest
+    component asks all its members.  Lists of over CHUNK members are cut into bands of sizes, of which only neighbours can
+    link, and these into chunks.
+    """
+    half = F.xxhash64("rep")
+    by_comp = now.groupBy("sig", "comp").agg(F.count("*").alias("n"), F.sum("place").alias("place"), F.sum(half.bitwiseAND(0x7FFFFFFF)).alias("x"), F.sum(F.shiftrightunsigned(half, 33)).alias("y"))
+    lists = by_comp.groupBy("sig").agg(*[F.sum(c).alias(c) for c in ("n", "place", "x", "y")], F.max(F.struct("n", "comp")).alias("main")).filter("n > main.n")
+    lists = lists.groupBy("n", "x", "y").agg(F.min_by(F.struct("sig", F.col("main.comp").alias("main")), F.struct("place", "sig")).alias("s")).select("s.*", "n")
+    large = F.col("n") > CHUNK
+    member = now.join(lists, "sig").join(marks, "rep").withColumn("at", F.when(large, F.floor(F.log("size") / (log(BOTTOM / top) * (1 + 1e-9)))).otherwise(0).cast("int"))
+    near = F.when(large, F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1)).otherwise(F.array("at"))
+    own = ("rep", "comp", "place", "size", "alone", "bits")
+    asks = member.filter("comp != main").select("sig", F.explode(near).alias("band"), F.lit(True).alias("asks"), "n", *own)
+    placed = asks.union(member.select("sig", F.col("at").alias("band"), F.lit(False).alias("asks"), "n", *own))
+    counts = placed.filter(large).groupBy("sig", "band").agg(F.count_if("asks").alias("few"), F.count_if(~F.col("asks")).alias("all"))
+    chunks = lambda c: F.greatest(F.lit(1), F.ceil(F.coalesce(c, F.lit(1)) / CHUNK)).cast("int")
+    placed = placed.join(counts, ["sig", "band"], "left")
+    mine = lambda n: F.pmod(F.xxhash64("rep"), n.cast("long")).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    few, all_ = chunks(F.col("few")), chunks(F.col("all"))
+    one: Column = F.when(F.col("asks"), F.transform(every(all_), lambda j: F.struct(mine(few).alias("i"), j.alias("j")))).otherwise(F.transform(every(few), lambda i: F.struct(i.alias("i"), mine(all_).alias("j"))))
+    return placed.select("sig", "band", F.explode(one).alias("c"), "asks", *own).select("sig", "band", "c.i", "c.j", "asks", *own)
+
+
+_BLOCK = ["sig", "band", "i", "j"]
+
+
+def _pairs_with_room(group: pa.Table, top: int) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Members of a block in order of id, and its candidate pairs."""
+    asks, rep, comp, place, size, alone = _numbers(group, "asks", "rep", "comp", "place", "size", "alone")
+    return rep, room(comp, size, alone, place, group.column("bits").to_pylist(), np.flatnonzero(asks), np.flatnonzero(~asks), top)
+
+
+def _candidates(open_: DataFrame, top: int) -> DataFrame:
+    """sig, a, b, score, lo, hi: for every document with candidates in a list the one that may have most in common, and the first and last of all."""
+
+    def best(group: pa.Table) -> pa.Table:
+        rep, pairs = _pairs_with_room(group, top)
+        size = group.column("size").to_numpy()
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
+        for i, j, most in pairs:
+            if not len(i):
+                continue
+            score = most / (size[i] + size[j] - most)
+            order = np.lexsort((rep[j], -score, i))
+            starts = np.flatnonzero(np.diff(i[order], prepend=-1))
+            i, j, score = i[order], j[order], score[order]
+            for column, x in zip(out, (rep[i[starts]], rep[j[starts]], score[starts], np.minimum.reduceat(rep[j], starts), np.maximum.reduceat(rep[j], starts)), strict=True):
+                column.append(x)
+        kinds = (np.int64, np.int64, np.float64, np.int64, np.int64)
+        a, b, score, lo, hi = (np.concatenate([np.array([], kind), *x]) for x, kind in zip(out, kinds, strict=True))
+        return pa.table({"sig": np.full(len(a), group.column("sig")[0].as_py()), "a": a, "b": b, "score": score, "lo": lo, "hi": hi})
+
+    return open_.groupBy(*_BLOCK).applyInArrow(best, "sig long, a long, b long, score double, lo long, hi long")
+
+
+def _verified(asked: DataFrame, sets: DataFrame, top: int) -> DataFrame:
+    """The pairs (a, b) that link."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y, m, n in zip(*(b.column(c).to_pylist() for c in ("x", "y", "m", "n")), strict=True):
+                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                keep.append(both > 0 and BOTTOM * both >= top * (m + n - both))
+            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    one = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x = sets.select(F.col("rep").alias("a"), F.col("size").alias("m"), F.col("tokens").alias("x"))
+    y = sets.select(F.col("rep").alias("b"), F.col("size").alias("n"), F.col("tokens").alias("y"))
+    return one.join(x, "a").join(y, "b").mapInArrow(check, "a long, b long")
+
+
+def _compared(open_: DataFrame, sets: DataFrame, top: int) -> DataFrame:
+    """A forest over the components that links join, from the whole sets of all that still have candidates in a block."""
+
+    def wanted(group: pa.Table) -> pa.Table:
+        use = np.zeros(len(group), bool)
+        for i, j, _ in _pairs_with_room(group, top)[1]:
+            use[i] = use[j] = True
+        return group.select([*_BLOCK, "asks", "rep", "comp"]).filter(pa.array(use))
 
     def rest(group: pa.Table) -> pa.Table:
-        """A forest over the components that links join."""
-        comp, size, apart = (group.column(c).to_numpy(zero_copy_only=False) for c in ("comp", "n_shingles", "apart"))
+        comp, size, asks = _numbers(group, "comp", "size", "asks")
         own = [np.frombuffer(t, np.uint64) for t in group.column("tokens").to_pylist()]
         names, index = np.unique(comp, return_inverse=True)
         up = list(range(len(names)))
-        left, right = np.flatnonzero(apart), np.flatnonzero(~apart)
-        for s in range(0, len(left), CHUNK):
-            for e in range(0, len(right), CHUNK):
-                i, j = left[s : s + CHUNK], right[e : e + CHUNK]
+        left, right = np.flatnonzero(asks), np.flatnonzero(~asks)
+        for s in range(0, len(left), 256):
+            for e in range(0, len(right), 256):
+                i, j = left[s : s + 256], right[e : e + 256]
                 hit = (comp[i, None] != comp[None, j]) & _links(_overlaps([own[k] for k in i], [own[k] for k in j]), size[i, None], size[None, j], top)
                 for x, y in np.unique(np.stack([index[i[np.nonzero(hit)[0]]], index[j[np.nonzero(hit)[1]]]], 1), axis=0).tolist():
                     x, y = _root(up, x), _root(up, y)
@@ -294,16 +417,8 @@ def join_classes(docs: DataFrame, gram: int = GRAM, top: int = TOP) -> tuple[Dat
         moved = root != np.arange(len(up))
         return pa.table({"a": names[moved], "b": names[root[moved]]})
 
-    # Sets travel once for each list, so this goes in batches whose shuffle stays a few times as large as all sets.
-    tasks = settle(few.union(every))
-    moved = tasks.join(sets.select("rep", "n_shingles"), "rep").agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
-    batches = max(1, ceil(moved / max(BATCH_TOKENS, BATCH_TIMES * entries)))
-    for k in range(batches):
-        part = tasks.filter(F.pmod(F.xxhash64("sig", "i", "j"), F.lit(batches)) == k)
-        more = part.join(sets, "rep").groupBy("sig", "i", "j").applyInArrow(rest, "a long, b long")
-        edges = edges.union(settle(more.distinct()))
-        B.release()
-    return found.select("rep", "n_shingles"), edges
+    todo = settle(open_.groupBy(*_BLOCK).applyInArrow(wanted, "sig long, band int, i int, j int, asks boolean, rep long, comp long"))
+    return todo.join(sets, "rep").groupBy(*_BLOCK).applyInArrow(rest, "a long, b long").distinct()
 
 
 def similar_documents(docs: DataFrame, gram: int = GRAM, top: int = TOP) -> DataFrame:

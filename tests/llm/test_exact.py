@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodevein.llm import embeddings, jaccard, line_dedup, mixing, pii, secrets, substrings
 from lodevein.llm.graph import components
@@ -66,22 +67,48 @@ def test_jaccard_join_small_sets_and_ties(spark):
     assert got == jaccard_brute(rows)
 
 
-def test_jaccard_join_in_batches(spark, monkeypatch):
-    """Documents that share tokens and don't link stay for the last comparison; small batches give the same result."""
+def near_but_apart():
+    """Documents that share most tokens; many of them don't link."""
     rng = np.random.default_rng(8)
     rows = []
-    for i in range(40):
+    for i in range(90):
         w = [f"t{k}" for k in range(60)]
         for k in rng.integers(0, 60, int(rng.integers(0, 4))):
             w[k] = f"u{rng.integers(1000)}"
         rows.append((i, " ".join(w)))
-    released = []
-    monkeypatch.setattr(jaccard.B, "release", lambda: released.append(1))
-    monkeypatch.setattr(jaccard, "BATCH_TOKENS", 1)
-    monkeypatch.setattr(jaccard, "BATCH_TIMES", 0.5)
+    return rows
+
+
+@pytest.mark.parametrize("chunk", [jaccard.CHUNK, 16])
+def test_jaccard_join_of_a_group_that_does_not_link(spark, monkeypatch, chunk):
+    rows = near_but_apart()
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
     got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.similar_documents(texts(spark, rows)).collect())
     assert got == jaccard_brute(rows)
-    assert len(released) > 2 + jaccard.PIVOTS + 1  # more than one batch
+
+
+def test_jaccard_join_where_bits_tell_nothing(spark, monkeypatch):
+    """All pairs of a list stay candidates, the best ones are refuted, and whole sets are compared in blocks."""
+    rows = near_but_apart()
+    search, compared, calls = jaccard._links_of, jaccard._compared, []
+    monkeypatch.setattr(jaccard, "CHUNK", 16)
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    monkeypatch.setattr(jaccard, "_compared", lambda *a: calls.append(1) or compared(*a))
+    blind = {"alone": F.lit(0).cast("long"), "bits": F.unhex(F.lit("00" * 8))}
+    monkeypatch.setattr(jaccard, "_links_of", lambda posts, sets, marks, top: search(posts, sets, marks.withColumns(blind), top))
+    got = sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in jaccard.similar_documents(texts(spark, rows)).collect())
+    assert got == jaccard_brute(rows) and calls
+
+
+def test_bits_bound_the_intersection():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        a = np.unique(rng.integers(1, 1 << 60, int(rng.integers(1, 1500))).astype(np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(1, 1 << 60, int(rng.integers(1, 200))).astype(np.uint64)]))
+        both, size, none = len(np.intersect1d(a, b)), np.array([len(a), len(b)]), np.zeros(2, int)
+        found = [int(m[0]) for *_, m in jaccard.room(np.array([0, 1]), size, none, none, [jaccard.bits_of(x, len(x)) for x in (a, b)], np.array([0]), np.array([1])) if len(m)]
+        if 100 * both >= 85 * (size.sum() - both):
+            assert found and found[0] >= both
 
 
 def test_jaccard_join_of_five_words(spark):
@@ -124,7 +151,7 @@ def test_signatures_meet_where_sets_link():
         both = len(np.intersect1d(a, b))
         if 100 * both >= 85 * (len(a) + len(b) - both):
             for light in (0, 6, 13, 26):
-                assert set(jaccard.signatures(a, code(a), light)) & set(jaccard.signatures(b, code(b), light))
+                assert dict(jaccard.signatures(a, code(a), light)).keys() & dict(jaccard.signatures(b, code(b), light)).keys()
 
 
 @pytest.mark.parametrize("hot", [substrings.HOT_CODE, 3])
