@@ -130,12 +130,37 @@ def test_decontamination_finds_edited_items(spark):
     assert len(want) > 1.5 * len(items) and want <= got
 
 
-def test_search_needs_no_cosine():
+def test_search_where_the_space_tells_nothing():
     """In a space where all cosines are 0 a verbatim item is found."""
     ids = decontam.word_ids(PASSAGE.encode())
     index = decontam.Index([decontam.Item(7, ids, ids[-3:])], np.ones(decontam.FEATURES), np.zeros((decontam.FEATURES, decontam.RANK)), np.ones(decontam.FEATURES), decontam.LOW)
     text = np.concatenate([decontam.word_ids(b"some words before it"), ids])
-    assert [x[:2] for x in index.search([1], np.array([len(text)]), text, decontam.COSINE, decontam.LOW)] == [(1, 7)]
+    assert [x[:2] for x in index.search([1], np.array([len(text)]), text, decontam.LOW)] == [(1, 7)]
+
+
+def test_short_items_and_batches(spark, monkeypatch):
+    """Items under the least window are found word for word, and not over the end of a document; batches give the same rows."""
+    docs = texts(spark, [(1, "He said: too SHORT, then left"), (2, "too"), (3, "short"), (4, "one"), (5, f"x {PASSAGE} y"), (6, "to short")])
+    bench = spark.createDataFrame([(1, "too short"), (2, "one"), (3, PASSAGE), (4, "..."), (5, None), (None, "left")], "item_id long, text string")
+    want = {(1, 1), (4, 2), (5, 3), (1, None)}
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminations(docs, bench).collect()} == want
+    monkeypatch.setattr(decontam, "BATCH_ITEMS", 2)
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminations(docs, bench).collect()} == want
+
+
+def test_sums_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "FAN_IN", 2)
+    words = decontam.tokenised(texts(spark, [(i, "a b c d " * i) for i in range(40)])).repartition(7)
+    brute = {}
+    for i in range(40):
+        w = "a b c d ".split() * i
+        for k in range(0, len(w), decontam.PASSAGE):
+            for x in set(w[k : k + decontam.PASSAGE]):
+                brute[x] = brute.get(x, 0) + 1
+    got = decontam.frequencies(words)
+    assert got[-1] == sum(-(-4 * i // decontam.PASSAGE) for i in range(40))
+    for x, n in brute.items():
+        assert got[decontam.features(decontam.word_ids(x.encode()))[0]] >= n
 
 
 @pytest.fixture(scope="module")
