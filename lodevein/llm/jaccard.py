@@ -44,7 +44,7 @@ TOP, BOTTOM = 85, 100
 #: Sizes from here on are one class of the histogram; their subsets are beyond any cost.
 LARGE = 256
 #: Members that meet in one comparison, and followers of a pivot in one task.
-CHUNK = 2048
+CHUNK = 512
 GROUP = 2048
 PIVOTS = 2
 #: Least and most binary logarithm of the bits of a set.
@@ -267,6 +267,7 @@ def join_classes(docs: DataFrame, gram: int = GRAM, top: int = TOP) -> tuple[Dat
 
 def _with_components(posts: DataFrame, edges: DataFrame) -> DataFrame:
     linked = components(edges).withColumnRenamed("node", "rep")
+    B.release()
     return settle(posts.join(linked, "rep", "left").select("sig", "rep", "place", F.coalesce("component", "rep").alias("comp")))
 
 
