@@ -223,6 +223,38 @@ def test_pii_patterns_discover(spark):
     assert got[50] == "email:21:40" and got[51] == ""
 
 
+def test_pii_bootstraps_over_generations(spark):
+    """Planted identifiers that no base pattern knows: found by left, right and gapped contexts, some of them in the second generation."""
+    rng = np.random.default_rng(6)
+    filler = [f"{a}{b}" for a in ("ka", "lo", "mi", "ru", "te") for b in ("na", "pe", "so", "vi", "wu")]
+    word = lambda: str(rng.choice(filler))
+    rows, planted, clean = [], set(), set()
+    for i in range(400):
+        left, right = " ".join(word() for _ in range(6)), " ".join(word() for _ in range(6))
+        kind = i % 8
+        odd = f"user{i}(at)site{i % 9}.org"
+        middle = {
+            0: f"reach me at {word()}{i}@mail.example.com today", 1: f"reach me at {odd} today",  # a seed's contexts
+            2: f"{word()} {word()}", 3: f"reply to: other{i}[at]site.org please",  # a context that only believed instances have
+            4: f"dial {word()} +1 (555) 555-{1000 + i} office", 5: f"dial {word()} 555/{1000 + i} office",  # a gap on the left
+            6: f"in {1900 + i % 100} they {word()}", 7: f"page {i} {word()}",
+        }[kind]
+        text = f"{left} {middle} {right}"
+        rows.append((i, text))
+        if kind == 1:
+            planted.add((i, f"email:{text.index(odd)}:{text.index(odd) + len(odd)}"))
+        if kind == 5:
+            planted.add((i, f"phone:{text.index('555/')}:{text.index('555/') + len(f'555/{1000 + i}')}"))
+        if kind >= 6:
+            clean.add(i)
+    # The same odd addresses stand in both contexts, so the second generation learns the new one.
+    rows += [(1000 + i, f"{word()} reply to: user{i}(at)site{i % 9}.org please {word()}") for i in range(1, 400, 8)]
+    got = {r["doc_id"]: r["spans"] for r in pii.extract(texts(spark, rows)).collect()}
+    assert all(s in got[i].split(",") for i, s in planted) and not any(got[i] for i in clean)
+    later = [got[i] for i in range(1001, 1400, 8)] + [got[i] for i in range(3, 400, 8)]
+    assert all(s.startswith("email:") for s in later)
+
+
 def secrets_brute(t):
     t = t or ""
     out = [("assign", *m.span()) for m in re.finditer(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 6]
