@@ -10,7 +10,7 @@ differ most between the classes (chi-squared), ``words`` at most.  Scoring reads
 
 Defined results: null and empty texts get the model's base score; rows of null label or null id teach nothing; with no
 labels, or labels of one class, the score is the smoothed base rate; repeated rows teach and are scored each time; an
-empty table gives an empty result; further columns are ignored.
+empty table gives an empty result; texts of any length are read whole; equal scores need no order; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from lodevein.llm.common import learns
 SAMPLE = 8_000
 WORDS = 1024
 LEAST_CHI2 = 10.0
-SWAP_PENALTY = 4.0
+SWAP_PENALTY = 12.0
 RIDGE = 0.0005
 
 #: Words that name groups of people, by kind; a swap stays within a kind.
@@ -41,7 +41,6 @@ IDENTITY = {
     "orientation": ("gay", "lesbian", "straight", "bisexual", "queer", "heterosexual", "homosexual"),
     "other": ("deaf", "blind", "disabled", "old", "young", "elderly"),
 }
-_KIND = {w: k for k, ws in IDENTITY.items() for w in ws}
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -61,16 +60,25 @@ def features_of(text: str | None) -> set[str]:
     return features(words_of(text))
 
 
-def swaps(words: set[str]) -> Iterator[tuple[list[str], list[str]]]:
-    """For each group named, and up to three others of its kind that the text lacks: the features that go and those that come."""
-    for w in sorted(words & _KIND.keys()):
-        kind = IDENTITY[_KIND[w]]
-        others = [v for v in kind if v not in words]
-        at = kind.index(w)
-        before, rest = features({w}), features(words - {w})
-        for v in (others[at % max(1, len(others)) :] + others)[:3] if others else []:
-            after = features({v})
-            yield sorted(before - after - rest), sorted(after - before - rest)
+def swaps(words: set[str], identity: dict[str, tuple[str, ...]] = IDENTITY) -> Iterator[tuple[list[str], list[str]]]:
+    """For each group named, and each other of its kind that the text lacks: the features that go and those that come."""
+    for kind in identity.values():
+        for w in sorted(words & set(kind)):
+            before, rest = features({w}), features(words - {w})
+            for v in kind:
+                if v not in words:
+                    after = features({v})
+                    yield sorted(before - after - rest), sorted(after - before - rest)
+
+
+def swap_weights(words: set[str], identity: dict[str, tuple[str, ...]] = IDENTITY) -> dict[tuple[tuple[str, ...], tuple[str, ...]], float]:
+    """The swaps of a text; those of all names together weigh as many as names are swapped."""
+    found = [(tuple(gone), tuple(come)) for gone, come in swaps(words, identity)]
+    named = sum(len(words & set(kind)) for kind in identity.values() if set(kind) - words)
+    out: dict = {}
+    for x in found:
+        out[x] = out.get(x, 0.0) + named / len(found)
+    return out
 
 
 @dataclass
@@ -91,7 +99,7 @@ class Model:
         return 1 / (1 + math.exp(-z)) if z > -700 else 0.0
 
 
-def labelled_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def labelled_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, identity: dict[str, tuple[str, ...]] = IDENTITY) -> DataFrame:
     """y, words, swaps: the bounded training sample as sets of features, with what swaps of names change."""
     marks = labels.filter(F.col("toxic").isNotNull() & learns(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("y"))
     n = marks.count()
@@ -103,14 +111,15 @@ def labelled_words(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
         for b in batches:
             words = [words_of(t) for t in b.column("text").to_pylist()]
             held = pa.array([sorted(features(w)) for w in words], pa.list_(pa.string()))
-            changes = pa.array([[{"gone": gone, "come": come} for gone, come in swaps(w)] for w in words], pa.list_(pa.struct({"gone": pa.list_(pa.string()), "come": pa.list_(pa.string())})))
+            changes = pa.array([[{"gone": gone, "come": come, "weight": x} for (gone, come), x in swap_weights(w, identity).items()] for w in words], pa.list_(pa.struct({"gone": pa.list_(pa.string()), "come": pa.list_(pa.string()), "weight": pa.float64()})))
             yield pa.RecordBatch.from_arrays([b.column("y"), held, changes], ["y", "words", "swaps"])
 
-    return rows.select("y", "text").mapInArrow(split, "y int, words array<string>, swaps array<struct<gone: array<string>, come: array<string>>>")
+    return rows.select("y", "text").mapInArrow(split, "y int, words array<string>, swaps array<struct<gone: array<string>, come: array<string>, weight: double>>")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = WORDS, penalty: float = SWAP_PENALTY) -> Model:
-    rows = labelled_words(docs, labels, sample).persist()
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = WORDS, penalty: float = SWAP_PENALTY, identity: dict[str, tuple[str, ...]] = IDENTITY) -> Model:
+    """The model; ``identity`` has the words that name groups, by kind."""
+    rows = labelled_words(docs, labels, sample, identity).persist()
     try:
         totals = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
         n1, n0 = totals.get(1, 0), totals.get(0, 0)
@@ -124,7 +133,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = W
         seen = rows.select("y", F.explode("words").alias("word")).groupBy("word").agg(F.sum("y").cast("double").alias("a"), F.count("*").cast("double").alias("n"))
         strong = seen.filter((both >= 3) & (both < n)).withColumn("chi2", chi2).filter(F.col("chi2") >= LEAST_CHI2)
         vocabulary = [r["word"] for r in strong.orderBy(F.desc("chi2"), "word").limit(words).collect()]
-        names = [r["word"] for r in seen.filter(F.col("word").isin(sorted(_KIND))).collect()]
+        names = [r["word"] for r in seen.filter(F.col("word").isin(sorted({w for kind in identity.values() for w in kind}))).collect()]
         vocabulary = sorted({*vocabulary, *names})
         if not vocabulary:
             return Model({}, base)
@@ -132,8 +141,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = W
         held = F.array_intersect("words", known)
         # Texts with the same words and label are one row with a count: bounded by the sample in any case.
         x = rows.groupBy("y", F.array_sort(held).alias("held")).count().collect()
-        changed = rows.select(F.explode("swaps").alias("s")).select(*(F.array_sort(F.array_intersect(f"s.{c}", known)).alias(c) for c in ("gone", "come")))
-        changes = {(tuple(r["gone"]), tuple(r["come"])): float(r["count"]) for r in changed.groupBy("gone", "come").count().orderBy("gone", "come").collect()}
+        changed = rows.select(F.explode("swaps").alias("s")).select(*(F.array_sort(F.array_intersect(f"s.{c}", known)).alias(c) for c in ("gone", "come")), "s.weight")
+        # Rounded, as the order of a sum isn't fixed.
+        summed = changed.groupBy("gone", "come").agg(F.round(F.sum("weight"), 6).alias("weight")).orderBy("gone", "come")
+        changes = {(tuple(r["gone"]), tuple(r["come"])): r["weight"] for r in summed.collect()}
     finally:
         rows.unpersist()
     return train([r["held"] for r in x], np.array([r["y"] for r in x], float), np.array([r["count"] for r in x], float), vocabulary, base, penalty, changes=changes)
@@ -142,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, words: int = W
 def train(held: list[list[str]], y: np.ndarray, count: np.ndarray, words: list[str], base: float, penalty: float = SWAP_PENALTY, rounds: int = 30, changes: dict[tuple[tuple[str, ...], tuple[str, ...]], float] | None = None) -> Model:
     """Newton steps on loss, ridge and swap penalty; the matrix has a column for each of a bounded number of words.
 
-    ``changes`` counts the swaps by the features that go and come; where it isn't given, ``held`` are taken for whole texts.
+    ``changes`` weighs the swaps by the features that go and come; where it isn't given, ``held`` are taken for whole texts.
     """
     at = {w: i for i, w in enumerate(words)}
     k = len(words)
@@ -153,8 +164,8 @@ def train(held: list[list[str]], y: np.ndarray, count: np.ndarray, words: list[s
     if changes is None:
         changes = {}
         for ws, c in zip(held, count, strict=True):
-            for gone, come in swaps({w for w in ws if w[0] != "^"}):
-                changes[tuple(gone), tuple(come)] = changes.get((tuple(gone), tuple(come)), 0.0) + c
+            for swap, weight in swap_weights({w for w in ws if w[0] != "^"}).items():
+                changes[swap] = changes.get(swap, 0.0) + weight * c
     n = count.sum()
     fixed = np.eye(k + 1) * RIDGE
     fixed[k, k] = 1e-6
