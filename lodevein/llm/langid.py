@@ -29,15 +29,14 @@ SLICE = 1024
 BLOCK = 2048
 LEVEL = 3
 MARGIN = 0.01
-MOST_LANGS = 512
+#: Bytes of all dictionaries together: of many languages each has a smaller one.
+ALL_BYTES = 64 << 20
 
 
 def sample_texts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, list[str]]:
     """At most about ``sample_docs`` distinct texts of each language, chosen by a hash of the id."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & learns(F.col("doc_id"))).select("lang", "text", F.xxhash64("doc_id").alias("h"))
-    counts = known.groupBy("lang").count().limit(MOST_LANGS + 1).collect()
-    if len(counts) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return {}
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * sample_docs / r["count"])))])
@@ -55,6 +54,7 @@ def sample_texts(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> dict[str, l
 def dictionaries(texts: dict[str, list[str]], dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """Slices of the sample texts, in turn, until each dictionary has its size."""
     made = {}
+    dict_bytes = min(dict_bytes, max(SLICE, ALL_BYTES // max(1, len(texts))))
     for lang, own in sorted(texts.items()):
         parts, size, at = [], 0, 0
         while size < dict_bytes and at < 4:
