@@ -10,9 +10,13 @@ A pair that meets in several buckets counts in the first alone: every vector car
 can tell.  A bucket thus returns, for each vector, its number of links and one vector that it hangs together with,
 never the pairs; large buckets are dealt out as pairs of chunks.
 
+A table that joins more hashes for a larger corpus finds less pairs; so many tables are taken that a pair at the threshold is
+found with probability ``RECALL``, which is measured for the dimension and the number of hashes.
+
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing, have
 themselves as component and are kept; vectors of different lengths don't link; a null id has no links, a null component
-and isn't kept; rows that repeat an id are vectors of their own with that id; further columns are ignored.
+and isn't kept; rows that repeat an id are vectors of their own with that id; equal cosines need no order, as every link counts; vectors of
+any length are read whole; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +32,9 @@ from lodevein.llm.common import settle
 from lodevein.llm.graph import components
 
 THRESHOLD = 0.9
+#: Tables at least; and the share of pairs at the threshold that some table joins.
 TABLES = 8
+RECALL = 0.995
 PROBES = 3
 CHUNK = 2048
 STRIP = 256
@@ -44,6 +50,24 @@ def hashes_for(n: int, dim: int) -> int:
     return k
 
 
+def tables_for(dim: int, hashes: int, threshold: float, probes: int = PROBES) -> int:
+    """Tables of which one at least joins a pair at the threshold with probability RECALL, TABLES at least.
+
+    The share of pairs that one table joins is measured on random pairs of exactly that cosine.
+    """
+    rng = np.random.default_rng(SEED + 1)
+    x, n = rng.normal(size=(2, 1024, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    n -= (n * x).sum(1, keepdims=True) * x
+    n /= np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1e-12)
+    y = threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * n
+    a, b = (codes(v, 2, hashes, probes, SEED + 1) for v in (x, y))
+    met = np.mean([_met(a[:, t], b[:, t]) < np.iinfo(np.int64).max for t in range(2)])
+    if met >= 1:
+        return TABLES
+    return max(TABLES, int(np.ceil(np.log(1 - RECALL) / np.log(1 - max(met, 1e-3)))))
+
+
 def padded(dim: int) -> int:
     return 1 << max(1, (dim - 1).bit_length())
 
@@ -147,7 +171,7 @@ def classes(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", F.when(F.coalesce(fine, F.lit(False)), key).alias("key"), "embedding")
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: int | None = None, probes: int = PROBES) -> DataFrame:
     """vec_id, n_links, component_id, kept for every vector."""
     keyed = classes(vectors)
     member = settle(keyed.select("vec_id", "key"))
@@ -157,6 +181,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     reps = settle(one.select("rep", "copies", F.col("embedding").cast("array<double>").alias("x"), F.size("embedding").alias("dim")))
     size = reps.groupBy("dim").count().orderBy(F.desc("count")).limit(1).collect()
     k = hashes_for(size[0]["count"], size[0]["dim"]) if size else 1
+    tables = tables or (tables_for(size[0]["dim"], k, threshold, probes) if size else TABLES)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

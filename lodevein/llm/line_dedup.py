@@ -10,11 +10,14 @@ list of their hashes is bounded whatever the number of pages; it is joined to th
 
 Defined results: white space around a line doesn't count for equality, and lines without any other character are
 never boilerplate; a null text stays null; null hosts are one host of their own; a page whose lines all go keeps an
-empty text; repeated rows are pages of their own; an empty table gives an empty result; further columns pass through.
+empty text; repeated rows are pages of their own; texts of any length are read whole; an empty table gives an empty result; further
+columns pass through, whatever their names; a column that has the name of a count is an error that says so.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,18 +53,26 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def dedup_lines(docs: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """``docs`` with boilerplate lines gone from column ``text``, and columns n_lines, n_dropped beside it."""
+def dedup_lines(docs: DataFrame, host: Column, text: str = "text", ratio: float = RATIO, least_pages: int = LEAST_PAGES, counts: tuple[str, str] | None = ("n_lines", "n_dropped")) -> DataFrame:
+    """``docs`` with boilerplate lines gone from column ``text``, and beside it two columns of ``counts``: lines, and lines that went."""
+    if clash := {c.lower() for c in docs.columns} & {c.lower() for c in counts or ()}:
+        raise ValueError(f"docs have columns {sorted(clash)} already; name others in counts, or none")
     keys = F.transform(_lines(F.col(text)), line_key)
     bad = settle(boilerplate(docs.select(host.alias("host"), F.coalesce(keys, F.array().cast("array<binary>")).alias("keys")), ratio, least_pages))
-    bad = bad.select(F.col("host").alias("__host"), F.col("bad").alias("__bad"))
+    # Names of this call's own, so that no column of the documents can clash.
+    at, gone = (f"{c}_{uuid.uuid4().hex}" for c in ("host", "bad"))
+    bad = bad.select(F.col("host").alias(at), F.col("bad").alias(gone))
     # The optimizer knows the size of the settled lists: it broadcasts them where they are small and splits hot hosts where not.
-    joined = docs.join(bad, host.eqNullSafe(bad["__host"]), "left")
-    kept = F.filter(_lines(F.col(text)), lambda line: ~F.array_contains("__bad", line_key(line)))
+    joined = docs.join(bad, host.eqNullSafe(F.col(at)), "left")
+    lines = _lines(docs[text])
+    kept = F.filter(lines, lambda line: ~F.array_contains(F.col(gone), line_key(line)))
+    own = [F.when(F.col(gone).isNull(), docs[text]).otherwise(F.array_join(kept, "\n")).alias(text) if c == text else docs[f"`{c}`"] for c in docs.columns]
+    if counts is None:
+        return joined.select(*own)
     return joined.select(
-        *[F.when(F.col("__bad").isNull(), docs[text]).otherwise(F.array_join(kept, "\n")).alias(text) if c == text else docs[f"`{c}`"] for c in docs.columns],
-        F.coalesce(F.size(_lines(F.col(text))), F.lit(0)).cast("long").alias("n_lines"),
-        F.when(F.col("__bad").isNull(), 0).otherwise(F.size(_lines(F.col(text))) - F.size(kept)).cast("long").alias("n_dropped"),
+        *own,
+        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(counts[0]),
+        F.when(F.col(gone).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long").alias(counts[1]),
     )
 
 

@@ -306,12 +306,24 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(empty, empty["source"]).count() == 0
 
 
+def test_line_dedup_bears_clashing_names(spark):
+    schema = "doc_id long, text string, host string, __bad string, n_lines int, n_dropped int, bad int"
+    df = spark.createDataFrame([(i, f"same\nown {i}", "h", "x", 1, 2, 3) for i in range(4)], schema)
+    got = line_dedup.dedup_lines(df, df["host"], counts=None)
+    assert got.columns == df.columns and {(r["text"], r["n_lines"], r["__bad"]) for r in got.collect()} == {(f"own {i}", 1, "x") for i in range(4)}
+    with pytest.raises(ValueError, match="n_dropped"):
+        line_dedup.dedup_lines(df, df["host"])
+
+
 def test_page_lines(spark):
     html = '<html><head><title>T</title><script>var t="</p>";</script></head><body><!-- <p>no</p> --><p>One <b>bold</b></p><P class="x">Two<br>Three</body>'
     df = spark.createDataFrame([(1, "https://user@WWW.Example.org:80/a?b", html), (2, None, None), (3, "no url", "")], "page_id long, url string, html string")
     got = {r["page_id"]: (r["host"], r["text"]) for r in line_dedup.dedup_pages(df).collect()}
     assert got[1][0] == "www.example.org" and [x for x in got[1][1].split("\n") if x] == ["T", "One bold", "Two", "Three"]
     assert got[2] == (None, None) and got[3] == ("", "")
+    assert line_dedup.dedup_pages(df.limit(0)).count() == 0
+    twice = df.union(df).union(df).withColumn("host", F.lit("x")).withColumn("text", F.lit(None)).withColumn("bad", F.lit(1))
+    assert [r["n_dropped"] > 0 for r in line_dedup.dedup_pages(twice).filter("page_id = 1").collect()] == [True] * 3
 
 
 def test_mixing(spark):
@@ -369,18 +381,25 @@ def test_large_buckets_are_dealt_out(spark, monkeypatch):
     assert {r["n_links"] for r in got} == {299} and {r["component_id"] for r in got} == {0}
 
 
-def test_recall_of_cross_polytopes():
+@pytest.mark.parametrize(("dim", "hashes"), [(64, 1), (64, 2), (64, 3), (64, 4), (256, 2), (256, 3), (768, 2)])
+def test_recall_of_cross_polytopes(dim, hashes):
+    """Pairs at the threshold that some table joins, for as many hashes as ever larger corpora ask for."""
     rng = np.random.default_rng(1)
-    x = rng.normal(size=(4000, 64))
+    x = rng.normal(size=(400, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     n = rng.normal(size=x.shape)
     n -= (n * x).sum(1, keepdims=True) * x
     n /= np.linalg.norm(n, axis=1, keepdims=True)
     y = 0.9 * x + np.sqrt(1 - 0.81) * n
-    for k in (1, 2):
-        a, b = embeddings.codes(x, hashes=k), embeddings.codes(y, hashes=k)
-        met = np.stack([embeddings._met(a[:, t], b[:, t]) < np.iinfo(np.int64).max for t in range(embeddings.TABLES)])
-        assert met.any(0).mean() > 0.99
+    tables = embeddings.tables_for(dim, hashes, 0.9)
+    a, b = (embeddings.codes(v, tables, hashes) for v in (x, y))
+    met = np.stack([embeddings._met(a[:, t], b[:, t]) < np.iinfo(np.int64).max for t in range(tables)])
+    assert met.any(0).mean() > 0.97
+
+
+def test_embeddings_bear_clashing_names(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0], 1, 2, 3, 4), (2, [1.0, 2.0], 1, 2, 3, 4)], "vec_id long, embedding array<float>, key int, rep int, dim int, code int")
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()) == [(1, 1, 1), (2, 1, 1)]
 
 
 def test_schema_is_the_fixture(spark):
