@@ -9,7 +9,8 @@ Every stage works on all documents that the stage before kept.  The first four r
 4. decontamination: documents that hold a benchmark item go, by id; rows of null id are matched by null.
 5. mixing: doc_id, source, size, source_size, target and taken of the documents that the mix takes at least once.
 
-Empty tables give empty results, and further columns of the documents pass through stages 1 to 4.
+Empty tables give empty results, and further columns of the documents, whatever their names, pass through stages 1 to 4.
+Column n_chars, where there is one, follows the text.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    clean = line_dedup.dedup_lines(docs, docs["source"]).drop("n_lines", "n_dropped")
+    clean = line_dedup.dedup_lines(docs, docs["source"], counts=None)
+    if "n_chars" not in docs.columns:
+        return clean
     return clean.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
 
 
@@ -39,10 +42,13 @@ NEAR_GRAM, NEAR_TOP = 5, 80
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = settle(jaccard.similar_documents(docs, NEAR_GRAM, NEAR_TOP))
     gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     again = groups.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
-    once = kept.join(again, "doc_id", "left_anti")
-    return once.unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
+    if again.isEmpty():  # else texts would move for nothing
+        return kept
+    again = settle(again)
+    once = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +68,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mix_sources),
 ]
 
-#: The first stage is a trained classifier, which SQL can't express; tests hold each stage against brute force.
+#: The first stage is a trained classifier, which SQL can't express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
