@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 from itertools import chain, combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lodevein.functions.quality import standard
+
 
 def minimum_quality(results: DataFrame, least: float) -> DataFrame:
     return results.filter(F.col("quality") >= least)
@@ -111,3 +113,81 @@ def fisher_two_sided(table: DataFrame) -> DataFrame:
     t = t.withColumn("__p", prob(F.col("__k")))
     total = F.sum(F.when(F.col("__p") <= F.col("__bar"), F.col("__p")).otherwise(0.0))
     return t.groupBy("__id", *table.columns).agg(F.least(total, F.lit(1.0)).alias("p")).drop("__id")
+
+
+def result_table(results: DataFrame, counts: DataFrame) -> DataFrame:
+    """Results with the statistics of counts(descr, n, pos, n_sg, pos_sg)."""
+    n, pos, a, b = (F.col(c).cast("double") for c in ("n", "pos", "n_sg", "pos_sg"))
+    shares = {"relative_size_sg": a / n, "target_share_sg": F.try_divide(b, a), "target_share_complement": F.try_divide(pos - b, n - a), "lift": F.try_divide(F.try_divide(b, a), pos / n)}
+    return results.select("rank", "quality", "descr").join(counts.select("descr", F.col("n_sg").alias("size_sg"), F.col("pos_sg").alias("positives_sg"), *[c.alias(x) for x, c in shares.items()]), "descr")
+
+
+def sg_bars(table: DataFrame, base: float = 0.8, dynamic: bool = False) -> DataFrame:
+    """descr, share_sg, share_complement, width_sg, width_complement of a result table: the bars of a chart."""
+    width = 0.02 + base * F.col("relative_size_sg") if dynamic else F.lit(base / 2)
+    return table.select("descr", F.col("target_share_sg").alias("share_sg"), F.col("target_share_complement").alias("share_complement"), width.alias("width_sg"), (base - width).alias("width_complement"))
+
+
+def np_space(counts: DataFrame) -> DataFrame:
+    """descr, negatives, positives: where each subgroup lies between the rows that hit and that miss."""
+    return counts.select("descr", (F.col("n_sg") - F.col("pos_sg")).alias("negatives"), F.col("pos_sg").alias("positives"))
+
+
+def roc_grid(spark: SparkSession, n: float, pos: float, a: float = 0.5, steps: int = 100) -> DataFrame:
+    """fpr, tpr, quality over a grid from 0.01 to 0.99: the contours behind a ROC plot."""
+    at = lambda c: (0.01 + F.col(c) * (0.98 / (steps - 1)))
+    grid = spark.range(steps).select(F.col("id").alias("i")).crossJoin(spark.range(steps).select(F.col("id").alias("j"))).select(at("i").alias("fpr"), at("j").alias("tpr"))
+    n_sg, pos_sg = F.col("fpr") * (n - pos) + F.col("tpr") * pos, F.col("tpr") * pos
+    return grid.withColumn("quality", standard(a, F.lit(float(n)), F.lit(float(pos)), n_sg, pos_sg))
+
+
+def histogram(values: DataFrame, column: str, group: str, bins: int, low: float, high: float) -> DataFrame:
+    """group, bin, n: equal bins from low to high, ends included; other values and nulls are left out."""
+    c = F.col(column).cast("double")
+    at = F.least(F.floor((c - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int")
+    return values.filter(c.between(low, high)).groupBy(group, at.alias("bin")).agg(F.count("*").alias("n"))
+
+
+def block_histogram(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """block, label, n, p: members of each label in a block, and whether that is more or less than chance (exact two-sided test)."""
+    joined = blocks.join(labels, "node")
+    cells = joined.groupBy("block", "label").agg(F.count("*").alias("a"))
+    rows = joined.groupBy("block").agg(F.count("*").alias("r"))
+    columns = joined.groupBy("label").agg(F.count("*").alias("c"))
+    total = joined.agg(F.count("*").alias("t"))
+    # As many rows as blocks by labels.
+    t = rows.crossJoin(columns).crossJoin(total).join(cells, ["block", "label"], "left").withColumn("a", F.coalesce("a", F.lit(0).cast("long")))
+    t = t.select("block", "label", "a", (F.col("r") - F.col("a")).alias("b"), (F.col("c") - F.col("a")).alias("c"), (F.col("t") - F.col("r") - F.col("c") + F.col("a")).alias("d"))
+    return fisher_two_sided(t).select("block", "label", F.col("a").alias("n"), "p")
+
+
+def density_plot(density: DataFrame, sizes: DataFrame, least: int = 10, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Nodes (block, size, width) of blocks of more than ``least`` members, and edges (bi, bj, density, width) between them."""
+    large = sizes.filter(F.col("size") > least)
+    ends = large.select("block")
+    edges = density.join(ends.withColumnRenamed("block", "bi"), "bi", "left_semi").join(ends.withColumnRenamed("block", "bj"), "bj", "left_semi")
+    return large.select("block", "size", (scale * F.sqrt("size") + 0.1).alias("width")), edges.select("bi", "bj", "density", (scale * F.col("density")).alias("width"))
+
+
+def percent(c: Column, digits: int = 1) -> Column:
+    return F.concat(F.format_number(100 * c, digits), F.lit("%"))
+
+
+def set_bits(number: Column) -> Column:
+    """Places of the bits that are set, the lowest first."""
+    return F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: F.getbit(number, i) == 1)
+
+
+def ordered_intersection(a: Column, b: Column) -> Column:
+    """Common elements of two sorted arrays, in order."""
+    return F.array_intersect(a, b)
+
+
+def effective_sample_size(weight: Column) -> Column:
+    """(sum of weights) squared over the sum of their squares."""
+    return F.try_divide(F.pow(F.sum(weight), F.lit(2)), F.sum(weight * weight))
+
+
+def outside(members: DataFrame, group: DataFrame) -> DataFrame:
+    """Members that the group lacks."""
+    return members.join(group.select("node"), "node", "left_anti")

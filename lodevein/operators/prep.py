@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 #: Countries of one word and what other words stand for them.
 COUNTRIES = ("Argentina", "Australia", "Austria", "Belgium", "Brazil", "Canada", "Chile", "China", "Denmark", "Egypt", "Finland", "France", "Germany", "Greece", "India", "Indonesia", "Iran", "Ireland", "Israel", "Italy", "Japan", "Kenya", "Mexico", "Morocco", "Netherlands", "Norway", "Peru", "Poland", "Portugal", "Romania", "Russia", "Singapore", "Spain", "Sweden", "Switzerland", "Thailand", "Turkey", "Ukraine", "Vietnam")
-ALIASES = {"US": "United States", "USA": "United States", "America": "United States", "UK": "United Kingdom", "HK": "China", "Macao": "China", "Taiwan": "Taiwan"}
+STATES = ("AK", "AL", "AR", "AS", "AZ", "CA", "CO", "CT", "DC", "DE", "FL", "GA", "GU", "HI", "IA", "ID", "IL", "IN", "KS", "KY", "LA", "MA", "MD", "ME", "MI", "MN", "MO", "MP", "MS", "MT", "NA", "NC", "ND", "NE", "NH", "NJ", "NM", "NV", "NY", "OH", "OK", "OR", "PA", "PR", "RI", "SC", "SD", "TN", "TX", "UT", "VA", "VI", "VT", "WA", "WI", "WV", "WY")
+ALIASES = {"US": "United States", "USA": "United States", "America": "United States", "UK": "United Kingdom", "HK": "China", "Macao": "China", "Taiwan": "China"}
 
 
 def top_tags(tags: DataFrame, k: int) -> DataFrame:
@@ -22,14 +23,15 @@ def multi_hot(tags: DataFrame, top: DataFrame) -> DataFrame:
 
 
 def countries_of(orgs: DataFrame) -> DataFrame:
-    """id, country: countries whose name is a word of orgs(id, org)."""
-    names = F.create_map(*[x for c in COUNTRIES for x in (F.lit(c), F.lit(c))], *[x for a, c in ALIASES.items() for x in (F.lit(a), F.lit(c))])
+    """id, country: countries whose name is a word of orgs(id, org); a state stands for itself and for its country."""
+    known = {**{c: [c] for c in COUNTRIES}, **{a: [c] for a, c in ALIASES.items()}, **{s: [s, "United States"] for s in STATES}}
+    names = F.create_map(*[x for w, cs in known.items() for x in (F.lit(w), F.array(*map(F.lit, cs)))])
     words = orgs.select("id", F.explode(F.split(F.regexp_replace("org", "#TAB#", ""), r"\s+")).alias("w"))
-    return words.select("id", F.element_at(names, F.trim(F.col("w"), F.lit(" ,"))).alias("country")).filter("country is not null").distinct()
+    return words.select("id", F.explode(F.element_at(names, F.trim(F.col("w"), F.lit(" ,")))).alias("country")).distinct()
 
 
-def subsample(rows: DataFrame, order: str, step: int) -> DataFrame:
-    """Every ``step``-th row of the order, by exact ranks from partition offsets."""
+def ranked(rows: DataFrame, order: str) -> DataFrame:
+    """``rows`` with their exact rank from 0 in a column rank, by offsets of range partitions; equal rows of the order rank in any order."""
     ranged = rows.repartitionByRange(order).withColumn("__p", F.spark_partition_id()).persist()
     sizes = {r["__p"]: r["count"] for r in ranged.groupBy("__p").count().collect()}
     before, run = {}, 0
@@ -37,10 +39,14 @@ def subsample(rows: DataFrame, order: str, step: int) -> DataFrame:
         before[p] = run
         run += sizes[p]
     if not before:
-        return rows
+        return rows.withColumn("rank", F.lit(0).cast("long"))
     offset = F.create_map(*[x for p, s in before.items() for x in (F.lit(p), F.lit(s))])[F.col("__p")]
-    rank = F.row_number().over(W.partitionBy("__p").orderBy(order)) - 1 + offset
-    return ranged.withColumn("__r", rank).filter(F.col("__r") % step == 0).drop("__p", "__r")
+    return ranged.withColumn("rank", F.row_number().over(W.partitionBy("__p").orderBy(order)) - 1 + offset.cast("long")).drop("__p")
+
+
+def subsample(rows: DataFrame, order: str, step: int) -> DataFrame:
+    """Every ``step``-th row of the order."""
+    return ranked(rows, order).filter(F.col("rank") % step == 0).drop("rank")
 
 
 def votes_support(votes: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -87,6 +93,37 @@ def k_means(vectors: DataFrame, key: str, column: str, k: int, seed: int = 0) ->
 
 def dbscan_cores(points: DataFrame, key: str, columns: list[str], eps: float, least: int = 10) -> DataFrame:
     """key, neighbours: points with ``least`` others or more within ``eps`` (themselves count), through a grid of cells of size eps."""
+    return _near(points, key, columns, eps).groupBy(key).agg(F.count("*").alias("neighbours")).filter(F.col("neighbours") >= least)
+
+
+def dbscan(points: DataFrame, key: str, columns: list[str], eps: float, least: int = 10) -> DataFrame:
+    """key, cluster, core: clusters are cores that hang together, named by their smallest key; border points join the smallest of theirs; noise has null."""
+    cores = dbscan_cores(points, key, columns, eps, least).select(key)
+    near = _near(points, key, columns, eps)
+    links = near.join(cores.select(F.col(key).alias("o")), "o", "left_semi").select(key, "o")
+    inner = _materialised(links.join(cores, key, "left_semi"))
+    label = _materialised(cores.select(F.col(key), F.col(key).alias("cluster")))
+    while True:  # each round takes the smallest label around, and that label's own
+        around = inner.join(label.select(F.col(key).alias("o"), F.col("cluster").alias("c")), "o").groupBy(key).agg(F.min("c").alias("c"))
+        up = around.join(label.select(F.col(key).alias("c"), F.col("cluster").alias("top")), "c", "left").select(key, F.least("c", "top").alias("c"))
+        new = _materialised(label.join(up, key, "left").select(key, F.least("cluster", F.coalesce("c", "cluster")).alias("cluster")))
+        if new.join(label.withColumnRenamed("cluster", "old"), key).filter("cluster != old").isEmpty():
+            break
+        label = new
+    border = links.join(label.select(F.col(key).alias("o"), "cluster"), "o").groupBy(key).agg(F.min("cluster").alias("cluster"))
+    out = points.select(key).join(border, key, "left").join(cores.withColumn("core", F.lit(True)), key, "left")
+    own = label.select(key, F.col("cluster").alias("mine"))
+    return out.join(own, key, "left").select(key, F.coalesce("mine", "cluster").alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))
+
+
+def _materialised(df: DataFrame) -> DataFrame:
+    from lodevein.operators.model import _cut
+
+    return _cut(df)
+
+
+def _near(points: DataFrame, key: str, columns: list[str], eps: float) -> DataFrame:
+    """Pairs (key, o) of points within ``eps``, themselves included, through a grid of cells of that size."""
     cell = [F.floor(F.col(c) / eps) for c in columns]
     at = points.select(F.col(key), *columns, F.struct(*[x.alias(f"g{i}") for i, x in enumerate(cell)]).alias("cell"))
     near = F.array(F.struct(*[F.lit(0).cast("long").alias(f"g{i}") for i in range(len(columns))]))
@@ -94,7 +131,7 @@ def dbscan_cores(points: DataFrame, key: str, columns: list[str], eps: float, le
         near = F.flatten(F.transform(near, _spread(i, len(columns))))
     other = at.select(F.col(key).alias("o"), *[F.col(c).alias(f"o_{c}") for c in columns], F.explode(F.transform(near, _shift(len(columns)))).alias("cell"))
     square = sum((F.pow(F.col(c) - F.col(f"o_{c}"), 2) for c in columns), F.lit(0.0))
-    return at.join(other, "cell").filter(square <= eps * eps).groupBy(key).agg(F.count("*").alias("neighbours")).filter(F.col("neighbours") >= least)
+    return at.join(other, "cell").filter(square <= eps * eps).select(key, "o")
 
 
 def _spread(i: int, n: int):

@@ -49,6 +49,39 @@ SIX_NODES = [(0, 1), (0, 2), (2, 3), (2, 4), (2, 5), (3, 1)]
 STAR = [(0, 1), (0, 2), (0, 3), (0, 4), (0, 5)]
 
 
+#: Three small graphs in compressed rows (where each row begins, columns), and their binary attributes by node.
+OLD_ROWS, OLD_COLUMNS = [0, 4, 7, 9, 11, 12, 13, 16, 18, 19, 19], [1, 2, 3, 6, 2, 3, 4, 3, 5, 4, 5, 5, 8, 7, 8, 9, 8, 9, 9]
+OLD_ATTRIBUTES = {"a": [1, 0, 1, 0, 1, 0, 0, 1, 0, 0], "b": [0, 0, 1, 0, 0, 1, 1, 1, 1, 1], "c": [1, 1, 0, 1, 0, 1, 0, 0, 0, 0], "d": [0, 0, 0, 0, 1, 0, 0, 0, 1, 0], "e": [0, 1, 0, 0, 0, 0, 1, 1, 1, 1]}
+NEW_ROWS, NEW_COLUMNS = [0, 4, 6, 8, 8, 10, 11, 14, 16, 18, 18, 18], [1, 2, 3, 4, 2, 3, 3, 9, 5, 7, 6, 8, 9, 10, 8, 10, 9, 10]
+NEW_ATTRIBUTES = {"a": [0, 0, 0, 0, 1, 0, 0, 1, 0, 1, 1], "b": [1, 1, 1, 1, 1, 0, 0, 1, 0, 0, 0], "c": [0, 0, 1, 0, 0, 0, 1, 1, 1, 1, 1], "d": [1, 0, 1, 1, 1, 0, 0, 0, 0, 1, 0]}
+TWO_SIDED = {0: [1, 2], 1: [0, 2], 2: [0, 1], 3: [6, 7, 8, 9], 4: [6, 7, 8, 9], 5: [6, 7, 8, 9], 6: [0, 1], 7: [0, 2], 8: [1, 2], 9: [2]}
+TWO_SIDED_ATTRIBUTES = {"a": [0, 0, 0, 1, 1, 1, 1, 1, 0, 0], "b": [1, 1, 1, 0, 0, 0, 1, 1, 0, 1], "c": [0, 1, 0, 0, 1, 0, 1, 1, 1, 1], "d": [1, 1, 0, 1, 1, 0, 0, 0, 0, 0]}
+
+
+def _attributes(spark: SparkSession, columns: dict[str, list[int]]) -> DataFrame:
+    rows = [(i, *r) for i, r in enumerate(zip(*columns.values(), strict=True))]
+    return spark.createDataFrame(rows, "node_id long, " + ", ".join(f"{c} int" for c in columns))
+
+
+def _compressed(starts: list[int], columns: list[int]) -> list[tuple[int, int]]:
+    return [(i, c) for i in range(len(starts) - 1) for c in columns[starts[i] : starts[i + 1]]]
+
+
+def old_synthetic(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Ten nodes, undirected: nodes with five binary attributes, and edges."""
+    return _attributes(spark, OLD_ATTRIBUTES), literal(spark, _compressed(OLD_ROWS, OLD_COLUMNS), undirected=True)
+
+
+def new_synthetic(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Eleven nodes, undirected, four attributes."""
+    return _attributes(spark, NEW_ATTRIBUTES), literal(spark, _compressed(NEW_ROWS, NEW_COLUMNS), undirected=True)
+
+
+def two_sided_synthetic(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Ten nodes, directed, with a dense pair of groups; four attributes."""
+    return _attributes(spark, TWO_SIDED_ATTRIBUTES), literal(spark, [(a, b) for a, bs in TWO_SIDED.items() for b in bs])
+
+
 def literal(spark: SparkSession, pairs: list[tuple[int, int]], undirected: bool = False) -> DataFrame:
     edges = spark.createDataFrame(pairs, "src long, dst long")
     return symmetric(edges) if undirected else edges

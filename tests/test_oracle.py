@@ -5,8 +5,10 @@ import os
 
 import pytest
 
-from lodevein import queries as registry
+from lodevein import model_queries, queries
 
+QUERIES = {**queries.queries(), **model_queries.queries()}
+SQL = {**queries.oracle_sql(), **model_queries.oracle_sql()}
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -27,12 +29,12 @@ def norm(v):
     return tuple(map(norm, v)) if isinstance(v, list | tuple) else v
 
 
-@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows(spark, con, name):
-    df = registry.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     got = sorted(repr(tuple(norm(r[c]) for c in cols)) for r in df.collect())
-    res = con.execute(registry.oracle_sql()[name])
+    res = con.execute(SQL[name])
     names = [c[0] for c in res.description]
     assert sorted(names) == cols
     want = sorted(repr(tuple(norm(r[names.index(c)]) for c in cols)) for r in res.fetchall())
