@@ -430,7 +430,7 @@ def enrichment_fisher(spark: SparkSession, sf: str) -> DataFrame:
     return post.fisher_two_sided(t).select("p_brand", F.round("p", 6).alias("p"))
 
 
-FISHER_SQL = """WITH big AS (SELECT p_brand, (p_size > 40)::INT AS g FROM part WHERE p_partkey < 2000), tt AS (SELECT count(*) AS n, sum(g) AS s FROM big),
+FISHER_SQL = """WITH big AS (SELECT p_brand, (p_size > 40)::INT AS g FROM part), tt AS (SELECT count(*) AS n, sum(g) AS s FROM big),
 t AS (SELECT p_brand, sum(g)::BIGINT AS a, count(*)::BIGINT AS r FROM big GROUP BY 1), x AS (SELECT p_brand, a, r, n, s::BIGINT AS s, unnest(range(greatest(0, r + s::BIGINT - n), least(r, s::BIGINT) + 1)) AS k FROM t, tt),
 p AS (SELECT *, exp(lgamma(r + 1) + lgamma(n - r + 1) + lgamma(s + 1) + lgamma(n - s + 1) - lgamma(n + 1) - lgamma(k + 1) - lgamma(r - k + 1) - lgamma(s - k + 1) - lgamma(n - r - s + k + 1)) AS pr FROM x),
 o AS (SELECT p_brand, pr AS po FROM p WHERE k = a) SELECT p_brand, round(least(sum(pr) FILTER (WHERE pr <= po * (1 + 1e-7)), 1), 6) AS p FROM p JOIN o USING (p_brand) GROUP BY 1"""

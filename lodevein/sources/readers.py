@@ -11,7 +11,7 @@ from lodevein.operators.prep import countries_of, multi_hot, ranked, subsample,
 CORPUS = "id string, title string, venue struct<id:string,raw:string>, references array<string>, fos array<struct<name:string,w:double>>, authors array<struct<name:string,org:string>>"
 
 
-def separated(spark: SparkSession, path: str, sep: str = "\t", encoding: str = "latin1", header: bool = True) -> DataFrame:
+def separated(spark: SparkSession, path: str, sep: str = "\t", encoding: str = "ISO-8859-1", header: bool = True) -> DataFrame:
     return spark.read.csv(path, sep=sep, encoding=encoding, header=header)
 
 
@@ -37,7 +37,7 @@ def contents(spark: SparkSession, path: str) -> DataFrame:
 
 def regions(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Areas with decimal-comma numbers, and edges from their lists of neighbours."""
-    raw = spark.read.csv(path, sep=";", header=True, encoding="latin1")
+    raw = spark.read.csv(path, sep=";", header=True, encoding="ISO-8859-1")
     code, name, near = raw.columns[:3]
     numbers = [F.regexp_replace(F.col(f"`{c}`"), ",", ".").cast("double").alias(c) for c in raw.columns[3:]]
     nodes = raw.select(F.col(f"`{code}`").cast("long").alias("node_id"), F.col(f"`{name}`").alias("name"), *numbers)
