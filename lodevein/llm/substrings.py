@@ -113,21 +113,22 @@ def slice_hashes(raw: np.ndarray, size: np.ndarray) -> np.ndarray:
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """Suffix array of an integer text of distinct separators, by doubling."""
     n = len(text)
-    _, rank = np.unique(text, return_inverse=True)
-    rank = rank.astype(np.int64)
-    step = 1
-    order = np.argsort(rank, kind="stable")
+    bits = int(text.max()).bit_length()
+    step = max(1, 62 // max(1, bits))  # as many symbols as one number holds come first
+    key = np.zeros(n, np.int64)
+    for i in range(step):
+        key <<= bits
+        key[: max(0, n - i)] |= text[i:]
     while True:
-        ahead = np.zeros(n, np.int64)
-        ahead[: n - step] = rank[step:] + 1
-        key = rank * (n + 2) + ahead
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys get one rank, so their order doesn't matter
         ranked = key[order]
-        new = np.empty(n, np.int64)
-        new[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]]))
-        rank = new
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]]))
         if rank[order[-1]] == n - 1:
             return order
+        ahead = np.zeros(n, np.int64)
+        ahead[: max(0, n - step)] = rank[step:] + 1
+        key = rank * (n + 2) + ahead
         step *= 2
 
 
@@ -140,7 +141,8 @@ def equal_windows(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray
     n = len(text)
     order = suffix_order(text)
     bwt = text[order - 1]  # the text is taken as a circle; its last symbol is a separator that occurs once
-    lf_order = np.argsort(bwt, kind="stable")  # place k of this list maps to row k
+    small = bwt.astype(np.uint16) if text.max() < 1 << 16 else bwt  # short numbers sort by their digits
+    lf_order = np.argsort(small, kind="stable")  # place k of this list maps to row k
     before = np.empty(n, np.int64)  # the row that the place before, of the same symbol, has
     before[0] = -1
     before[1:] = np.where(bwt[lf_order[1:]] == bwt[lf_order[:-1]], lf_order[:-1], -1)
