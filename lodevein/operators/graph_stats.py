@@ -53,13 +53,15 @@ def group_counts(edges: DataFrame, groups: DataFrame) -> DataFrame:
     return sizes.join(counts, "sg", "left").select("sg", "n", *[F.coalesce(c, z).alias(c) for c, z in fill.items()])
 
 
-def pair_counts(edges: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """a, b, k, n: edges from group a to group b and ordered pairs of distinct nodes, for all pairs of non-empty groups."""
-    k = annotate(edges, left, right).select(F.explode("s").alias("a"), "d").select("a", F.explode("d").alias("b")).groupBy("a", "b").agg(F.count("*").alias("k"))
+def pair_counts(edges: DataFrame, left: DataFrame, right: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """a, b, k, n: edges from group a to group b and ordered pairs of distinct nodes, for all or the wanted(a, b) pairs of non-empty groups."""
+    some = (lambda pairs: pairs) if wanted is None else (lambda pairs: pairs.join(wanted, ["a", "b"], "left_semi"))
+    k = some(annotate(edges, left, right).select(F.explode("s").alias("a"), "d").select("a", F.explode("d").alias("b"))).groupBy("a", "b").agg(F.count("*").alias("k"))
     size = lambda g, c, n: g.select(F.explode("ids").alias(c)).groupBy(c).agg(F.count("*").alias(n))
-    common = left.select("node", F.explode("ids").alias("a")).join(right.select("node", F.explode("ids").alias("b")), "node").groupBy("a", "b").agg(F.count("*").alias("common"))
+    common = some(left.select("node", F.explode("ids").alias("a")).join(right.select("node", F.explode("ids").alias("b")), "node")).groupBy("a", "b").agg(F.count("*").alias("common"))
     # The grid has a row for each pair of candidate groups, a number that the search fixes.
-    grid = size(left, "a", "na").crossJoin(F.broadcast(size(right, "b", "nb")))
+    na, nb = size(left, "a", "na"), size(right, "b", "nb")
+    grid = na.crossJoin(F.broadcast(nb)) if wanted is None else wanted.select("a", "b").join(na, "a").join(nb, "b")
     out = grid.join(k, ["a", "b"], "left").join(common, ["a", "b"], "left")
     zero = F.lit(0).cast("long")
     return out.select("a", "b", F.coalesce("k", zero).alias("k"), (F.col("na") * F.col("nb") - F.coalesce("common", zero)).alias("n"), "na", "nb")

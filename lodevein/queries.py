@@ -133,10 +133,14 @@ SELECT descr, descr2, k, n, round({_ic('k', 'n', f'n * {_P}')} / (0.3::DOUBLE *
 """
 
 
-def bi_beam(spark: SparkSession, sf: str) -> DataFrame:
+def bi_beam(spark: SparkSession, sf: str, constrained: bool = False) -> DataFrame:
     nodes, edges = X.parts(spark, sf), X.copurchase(spark, sf)
     n, m = G.totals(nodes, edges)
-    return search.beam_pairs(nodes, edges, search.Task(part_selectors(nodes), size=6, depth=2), n, m)
+    return search.beam_pairs(nodes, edges, search.Task(part_selectors(nodes), size=6, depth=2), n, m, constrained=constrained)
+
+
+def bi_beam_constrained(spark: SparkSession, sf: str) -> DataFrame:
+    return bi_beam(spark, sf, constrained=True)
 
 
 # ---- degrees, density, priors ----------------------------------------------------------------------------------------------
@@ -461,13 +465,29 @@ SPLIT_SQL = f"WITH {GRAPH} SELECT descr, round(({_ic('k', 'n * (n - 1)', f'n * (
 
 
 def summary_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Sizes and densities of the blocks after three splits."""
+    """The three splits of a summary: what is cut off, from which block, and how surprising the blocks are then."""
     nodes, edges = X.parts(spark, sf), X.copurchase(spark, sf).persist()
     n, m = G.totals(nodes, edges)
     support, sel = _brand_support(nodes)
     blocks, done = summarize.summarize(nodes, edges, support.persist(), m / (n * (n - 1)))
-    text = spark.createDataFrame([(i, sel[cut].descr, block, si) for i, si, cut, block in done], "round int, descr string, split_block int, si double")
-    return text
+    return spark.createDataFrame([(i, sel[cut].descr, block, si) for i, si, cut, block in done], "round int, descr string, split_block int, si double")
+
+
+def _summary_sql(rounds: int) -> str:
+    """Every round labels all nodes once for each block and brand that could split it, scores all pairs of blocks, and takes the best."""
+    parts = [GRAPH, "b0 AS (SELECT p_partkey AS node, p_brand AS brand, 0 AS block FROM part)"]
+    for i in range(1, rounds + 1):
+        parts += [
+            f"sizes{i} AS MATERIALIZED (SELECT block, count(*) AS size FROM b{i - 1} GROUP BY 1)",
+            f"cand{i} AS MATERIALIZED (SELECT block AS sb, brand AS cut FROM b{i - 1} JOIN sizes{i} USING (block) WHERE brand IS NOT NULL GROUP BY ALL HAVING count(*) < any_value(size))",
+            f"lab{i} AS MATERIALIZED (SELECT sb, cut, node, CASE WHEN block = sb AND brand IS NOT DISTINCT FROM cut THEN -1 ELSE block END AS x FROM cand{i}, b{i - 1})",
+            f"sz{i} AS MATERIALIZED (SELECT sb, cut, x, count(*) AS c FROM lab{i} GROUP BY ALL)",
+            f"ke{i} AS MATERIALIZED (SELECT s.sb, s.cut, s.x, d.x AS y, count(*) AS k FROM edges JOIN lab{i} s ON s.node = src JOIN lab{i} d ON d.node = dst AND d.sb = s.sb AND d.cut = s.cut GROUP BY ALL)",
+            f"cell{i} AS (SELECT a.sb, a.cut, coalesce(k, 0) AS k, CASE WHEN a.x = b.x THEN a.c * (a.c - 1) ELSE a.c * b.c END AS n FROM sz{i} a JOIN sz{i} b ON a.sb = b.sb AND a.cut = b.cut LEFT JOIN ke{i} e ON e.sb = a.sb AND e.cut = a.cut AND e.x = a.x AND e.y = b.x)",
+            f"best{i} AS MATERIALIZED (SELECT sb, cut, round(sum({_ic('k', 'n', f'n * {_P}')}) / {(i + 1) * (i + 2) // 2 + i + 1 + 50}, 6) AS si FROM cell{i}, tot GROUP BY ALL ORDER BY si DESC, sb, cut LIMIT 1)",
+            f"b{i} AS MATERIALIZED (SELECT node, brand, CASE WHEN block = sb AND brand IS DISTINCT FROM cut THEN {i} ELSE block END AS block FROM b{i - 1}, best{i})",
+        ]
+    return f"WITH {', '.join(parts)} " + " UNION ALL ".join(f"SELECT {i}::INT AS round, 'p_brand=' || cut AS descr, sb::INT AS split_block, si FROM best{i}" for i in range(1, rounds + 1))
 
 
 def block_density(spark: SparkSession, sf: str) -> DataFrame:
@@ -549,6 +569,13 @@ def selectors_auto(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(i, s.descr) for i, s in enumerate(create_selectors(nodes, ignore=("node_id",)))], "ord long, descr string")
 
 
+_AUTO_SQL = f"""WITH cuts AS ({" UNION ALL ".join(f"SELECT {g} AS g, * FROM ({_CUTS_SQL.format(c=c)})" for g, c in ((2, "p_size"), (3, "p_retailprice")))}),
+t AS (SELECT g, cut, attribute AS a, CASE WHEN value = floor(value) THEN value::BIGINT::VARCHAR ELSE round(value, 2)::VARCHAR END AS v FROM cuts),
+s AS (SELECT 0 AS g, row_number() OVER (ORDER BY p_brand) AS o, 'p_brand=' || p_brand AS descr FROM (SELECT DISTINCT p_brand FROM part) UNION ALL SELECT 1, row_number() OVER (ORDER BY p_type), 'p_type=' || p_type FROM (SELECT DISTINCT p_type FROM part)
+UNION ALL SELECT g, cut, CASE WHEN cut = 0 THEN a || '<' || v ELSE a || ': [' || lag(v) OVER (PARTITION BY g ORDER BY cut) || ':' || v || ']' END FROM t UNION ALL SELECT g, 4, a || '>=' || v FROM t WHERE cut = 3)
+SELECT row_number() OVER (ORDER BY g, o) - 1 AS ord, descr FROM s"""
+
+
 def numeric_one_sided(spark: SparkSession, sf: str) -> DataFrame:
     nodes = X.parts(spark, sf)
     sel = numeric_selectors(nodes, "p_size", intervals_only=False)
@@ -559,7 +586,7 @@ SDQ = {name: _sd(e) for name, (e, _) in SD.items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [graph_density, graph_margins, graph_degree_hist, prior_uniform, prior_degree, prior_degree_directed, prior_rectangular, prior_block, pattern_update, selectors_nominal, selectors_numeric, selectors_auto, numeric_one_sided, quartile_store, vote_store, sgd_si_level1, sgd_si_beam, sgd_iaodf, bi_beam, sd_stats_numeric, sd_standard_numeric, sd_dfs_numeric_bound, post_minimum_quality, post_unique_attributes, post_jaccard, post_roc, enrichment_fisher, summary_split_scores, summary_blocks, block_density, tags_topk, multihot, country_tokens, json_explode, coo_sum, subsample, topics_pca, clusters, dbscan, mrd_rows]
+    own = [graph_density, graph_margins, graph_degree_hist, prior_uniform, prior_degree, prior_degree_directed, prior_rectangular, prior_block, pattern_update, selectors_nominal, selectors_numeric, selectors_auto, numeric_one_sided, quartile_store, vote_store, sgd_si_level1, sgd_si_beam, sgd_iaodf, bi_beam, bi_beam_constrained, sd_stats_numeric, sd_standard_numeric, sd_dfs_numeric_bound, post_minimum_quality, post_unique_attributes, post_jaccard, post_roc, enrichment_fisher, summary_split_scores, summary_blocks, block_density, tags_topk, multihot, country_tokens, json_explode, coo_sum, subsample, topics_pca, clusters, dbscan, mrd_rows]
     return {
         **{f.__name__: f for f in own},
         **{name: _measure(e, t) for name, (e, t, _) in MEASURES.items()},
@@ -616,6 +643,8 @@ def oracle_sql() -> dict[str, str]:
         "post_roc": f"WITH {_ROWS} SELECT descr, round((n_sg - pos_sg) / (nn - pos), 9) AS fpr, round(pos_sg / pos, 9) AS tpr FROM lv, tot",
         "enrichment_fisher": FISHER_SQL,
         "summary_split_scores": SPLIT_SQL,
+        "summary_blocks": _summary_sql(3),
+        "selectors_auto": _AUTO_SQL,
         "block_density": BLOCK_SQL,
         "tags_topk": f"WITH {_TAGS} SELECT tag, n::BIGINT AS n FROM top",
         "multihot": f"WITH {_TAGS} SELECT DISTINCT id, tag FROM t JOIN top USING (tag)",

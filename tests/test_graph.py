@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from lodevein import queries as registry
 from lodevein.functions import quality as Q
-from lodevein.functions.selectors import Interval, Negated, Nominal, cover, create_selectors, describe, equal_frequency_cuts, weighted_cuts
+from lodevein.functions.selectors import Interval, Negated, Nominal, cover, create_selectors, describe, equal_frequency_cuts, nominal_selectors, weighted_cuts
 from lodevein.operators import graph_stats as G
+from lodevein.operators import model as M
 from lodevein.operators import post, prior
 from lodevein.plans import search, summarize
 from lodevein.sources import fixtures as X
@@ -170,3 +171,58 @@ def test_rectangular_prior_loses_no_class(spark, monkeypatch):
     monkeypatch.setattr(prior, "MOST_CLASSES", 3)
     with pytest.raises(ValueError, match="classes"):
         registry.prior_rectangular(spark, "/root/testdata/sf0.001")
+
+
+@pytest.mark.parametrize("constrained", [False, True])
+@pytest.mark.parametrize("prior", ["uniform", "degree"])
+def test_pair_beams_equal_a_replay_in_plain_code(spark, constrained, prior):
+    rng = np.random.default_rng(11)
+    n = 24
+    rows = [(i, "ab"[int(rng.integers(2))], "xyz"[int(rng.integers(3))], "pq"[int(rng.integers(2))]) for i in range(n)]
+    pairs = sorted((i, j) for i in range(n) for j in range(n) if i != j and rng.random() < (0.7 if rows[i][1] == "a" and rows[j][2] == "x" else 0.2))
+    nodes = spark.createDataFrame(rows, "node_id long, f string, g string, h string")
+    edges = spark.createDataFrame([(a, b, 1.0) for a, b in pairs], "src long, dst long, weight double")
+    sel = [x for c in "fgh" for x in nominal_selectors(nodes, c)]
+    density = len(pairs) / (n * (n - 1))
+    model = None if prior == "uniform" else M.degree(nodes, edges, undirected=False)
+    p = {(i, j): density for i in range(n) for j in range(n)} if model is None else {(r["src"], r["dst"]): r["p"] for r in model.dense().collect()}
+    task = search.Task(sel, size=3, depth=2)
+
+    members = [{i for i, *v in rows if v["fgh".index(s.attribute)] == s.value} for s in sel]
+    group = lambda s: set.intersection(*(members[x] for x in s))
+    text = lambda s: " AND ".join(sorted(sel[x].descr for x in s))
+
+    def quality(one, two):
+        cells = [(i, j) for i in group(one) for j in group(two) if i != j]
+        if not cells:
+            return None
+        k, size, want = sum(c in set(pairs) for c in cells), len(cells), sum(p[c] for c in cells)
+        ic = (k * math.log(k / want) if k else 0) + ((size - k) * math.log((size - k) / (size - want)) if size > k else 0)
+        return round(ic / (0.3 * (len(one) + len(two)) + 0.5), 6), text(two), size, k
+
+    found, seeds, done = [], [()], set()
+    for _ in range(2):
+        for one in sorted({tuple(sorted({*s, x})) for s in seeds for x in range(len(sel)) if x not in s} - done):
+            done.add(one)
+            own, beam = {sel[x].attribute for x in one}, {}
+            for depth in range(2):
+                for s in [(), *beam]:
+                    if constrained and depth and not s:
+                        continue
+                    for x in range(len(sel)):
+                        two = tuple(sorted({*s, x}))
+                        if x in one or x in s or constrained and (sel[x].attribute in own) != (depth == 0) or not group(one) or not group(two):
+                            continue
+                        q = quality(one, two)
+                        if q and q[0] > 0:
+                            beam[two] = q
+                beam = dict(sorted(beam.items(), key=lambda b: (-b[1][0], b[1][1]))[:3])
+            for q in beam.values():
+                found = sorted([*found, (q[0], text(one), *q[1:], one)], key=lambda f: (-f[0], f[1], f[2]))
+                while len({f[1] for f in found}) > 4:
+                    found.pop()
+        seeds = sorted({f[5] for f in found})
+    got = [tuple(r)[1:] for r in search.beam_pairs(nodes, edges, task, n, len(pairs), outer=4, constrained=constrained, model=model).collect()]
+    assert any(len(f[2].split(" AND ")) == 2 for f in found)
+    assert [g[1:] for g in got] == [f[1:5] for f in found]
+    assert np.allclose([g[0] for g in got], [f[0] for f in found], atol=2e-6)
