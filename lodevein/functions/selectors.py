@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -96,8 +98,9 @@ def is_numeric(df: DataFrame, attribute: str) -> bool:
     return isinstance(df.schema[attribute].dataType, T.NumericType)
 
 
-def histogram(df: DataFrame, attribute: str, weight: str | None = None) -> DataFrame:
-    """v, n, upto: distinct values with their (weighted) count and running sum, without a single-task sort.
+@contextmanager
+def histogram(df: DataFrame, attribute: str, weight: str | None = None) -> Iterator[DataFrame]:
+    """v, n, upto: distinct values with their (weighted) count and running sum, without a single-task sort; cached for the caller's jobs.
 
     Values are range-partitioned; sums of the partitions (few) give each its offset.
     """
@@ -112,48 +115,51 @@ def histogram(df: DataFrame, attribute: str, weight: str | None = None) -> DataF
         run += sums[p]
     offset = F.create_map(*[x for p, s in before.items() for x in (F.lit(p), F.lit(s))])[F.col("part")] if before else F.lit(0.0)
     window = W.partitionBy("part").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    return ranged.withColumn("upto", F.sum("n").over(window) + offset).select("v", "n", "upto")
+    try:
+        yield ranged.withColumn("upto", F.sum("n").over(window) + offset).select("v", "n", "upto")
+    finally:
+        ranged.unpersist()
 
 
 def equal_frequency_cuts(df: DataFrame, attribute: str, nbins: int = 5) -> list:
     """Value at position i n / nbins of the sorted column for every i; a value used before gives way to the next one."""
-    h = histogram(df, attribute)
-    total = int(h.agg(F.sum("n")).first()[0] or 0)
-    places = [i * total // nbins for i in range(1, nbins)] if total else []
-    if not places:
-        return []
-    at = h.agg(*[F.min(F.when(F.col("upto") > p, F.col("v"))).alias(f"c{i}") for i, p in enumerate(places)]).first()
-    cuts: list = []
-    for v in at:
-        if cuts and v <= cuts[-1]:
-            v = h.filter(F.col("v") > cuts[-1]).agg(F.min("v")).first()[0]
-        if v is not None:
-            cuts.append(v)
-    return cuts
+    with histogram(df, attribute) as h:
+        total = int(h.agg(F.sum("n")).first()[0] or 0)
+        places = [i * total // nbins for i in range(1, nbins)] if total else []
+        if not places:
+            return []
+        at = h.agg(*[F.min(F.when(F.col("upto") > p, F.col("v"))).alias(f"c{i}") for i, p in enumerate(places)]).first()
+        cuts: list = []
+        for v in at:
+            if cuts and v <= cuts[-1]:
+                v = h.filter(F.col("v") > cuts[-1]).agg(F.min("v")).first()[0]
+            if v is not None:
+                cuts.append(v)
+        return cuts
 
 
 def weighted_cuts(df: DataFrame, attribute: str, weight: str, nbins: int = 5) -> list:
     """Cuts where the running weight since the last cut exceeds a bin's share; the last bin keeps under 1.5 shares."""
-    h = histogram(df, attribute, weight)
-    total = float(h.agg(F.sum("n")).first()[0] or 0.0)
-    share, cuts, spent = total / nbins, [], 0.0
-    while True:
-        row = h.filter(F.col("upto") - F.lit(spent) > share).agg(F.min_by(F.struct("v", "upto"), "v").alias("r")).first()["r"]
-        if row is None:
-            return cuts
-        cuts.append(row["v"])
-        spent = row["upto"]
-        if total - spent < 1.5 * share:
-            return cuts
+    with histogram(df, attribute, weight) as h:
+        total = float(h.agg(F.sum("n")).first()[0] or 0.0)
+        share, cuts, spent = total / nbins, [], 0.0
+        while True:
+            row = h.filter(F.col("upto") - F.lit(spent) > share).agg(F.min_by(F.struct("v", "upto"), "v").alias("r")).first()["r"]
+            if row is None:
+                return cuts
+            cuts.append(row["v"])
+            spent = row["upto"]
+            if total - spent < 1.5 * share:
+                return cuts
 
 
 def frequency_cuts(df: DataFrame, attribute: str, n_bins: int = 4) -> list:
     """As ``equal_frequency_cuts``, but repeated values stay."""
-    h = histogram(df, attribute)
-    total = int(h.agg(F.sum("n")).first()[0] or 0)
-    if not total:
-        return []
-    return list(h.agg(*[F.min(F.when(F.col("upto") > int(total / n_bins * i), F.col("v"))).alias(f"c{i}") for i in range(1, n_bins)]).first())
+    with histogram(df, attribute) as h:
+        total = int(h.agg(F.sum("n")).first()[0] or 0)
+        if not total:
+            return []
+        return list(h.agg(*[F.min(F.when(F.col("upto") > int(total / n_bins * i), F.col("v"))).alias(f"c{i}") for i in range(1, n_bins)]).first())
 
 
 def nominal_selectors(df: DataFrame, attribute: str, order: str | None = None) -> list[Selector]:

@@ -6,10 +6,26 @@ edges serves all candidate groups, and partial sums keep the shuffle to a row fo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+@contextmanager
+def held(*frames: DataFrame) -> Iterator[None]:
+    """Keeps what several jobs read, unless the caller does so already, and lets it go at the end."""
+    own = [f for f in frames if not f.is_cached]
+    for f in own:
+        f.persist()
+    try:
+        yield
+    finally:
+        for f in own:
+            f.unpersist()
+
+
 def symmetric(edges: DataFrame) -> DataFrame:
     """Distinct edges in both directions, without self-loops."""
     both = edges.select("src", "dst").union(edges.select("dst", "src"))

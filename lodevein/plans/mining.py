@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodevein.functions.selectors import Selector, cover, covers_all
+from lodevein.operators.graph_stats import held
 from lodevein.operators.model import Background, _cut
 from lodevein.plans.search import Task, beam_graph, si_model
 
@@ -15,17 +16,18 @@ def mine(nodes: DataFrame, edges: DataFrame, task: Task, model: Background, roun
     """round, descr, n, k, expected, quality, lambda of the best pattern of each round, and the last model; stops where nothing surprises."""
     spark = nodes.sparkSession
     by_text = {s.descr: s for s in task.selectors}
-    n, m = nodes.count(), edges.count()
     found = []
-    for i in range(rounds):
-        best = beam_graph(nodes, edges, task, si_model, n, m, model=model).orderBy("rank").limit(1).collect()
-        if not best:
-            break
-        b = best[0]
-        members = nodes.filter(covers_all([by_text[x] for x in b["descr"].split(" AND ")])).select(F.col(key).alias("node"))
-        model, shift, before, _ = model.pattern(members, None, b["k"])
-        model.nodes = _cut(model.nodes)
-        found.append((i + 1, b["descr"], b["n"], b["k"], before, b["quality"], shift))
+    with held(edges):
+        n, m = nodes.count(), edges.count()
+        for i in range(rounds):
+            best = beam_graph(nodes, edges, task, si_model, n, m, model=model).orderBy("rank").limit(1).collect()
+            if not best:
+                break
+            b = best[0]
+            members = nodes.filter(covers_all([by_text[x] for x in b["descr"].split(" AND ")])).select(F.col(key).alias("node"))
+            model, shift, before, _ = model.pattern(members, None, b["k"])
+            model.nodes = _cut(model.nodes)
+            found.append((i + 1, b["descr"], b["n"], b["k"], before, b["quality"], shift))
     return spark.createDataFrame(found, "round int, descr string, n long, k long, expected double, quality double, lambda double"), model
 
 

@@ -89,8 +89,9 @@ def sgd_si_level1(spark: SparkSession, sf: str) -> DataFrame:
 
 def sgd_si_beam(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = X.parts(spark, sf), X.copurchase(spark, sf)
-    n, m = G.totals(nodes, edges)
-    return search.beam_graph(nodes, edges, search.Task(part_selectors(nodes), size=20, depth=2), search.si_uniform, n, m)
+    with G.held(edges):
+        n, m = G.totals(nodes, edges)
+        return search.beam_graph(nodes, edges, search.Task(part_selectors(nodes), size=20, depth=2), search.si_uniform, n, m)
 
 
 BEAM_SQL = f"""
@@ -135,8 +136,9 @@ SELECT descr, descr2, k, n, round({_ic('k', 'n', f'n * {_P}')} / (0.3::DOUBLE *
 
 def bi_beam(spark: SparkSession, sf: str, constrained: bool = False) -> DataFrame:
     nodes, edges = X.parts(spark, sf), X.copurchase(spark, sf)
-    n, m = G.totals(nodes, edges)
-    return search.beam_pairs(nodes, edges, search.Task(part_selectors(nodes), size=6, depth=2), n, m, constrained=constrained)
+    with G.held(edges):
+        n, m = G.totals(nodes, edges)
+        return search.beam_pairs(nodes, edges, search.Task(part_selectors(nodes), size=6, depth=2), n, m, constrained=constrained)
 
 
 def bi_beam_constrained(spark: SparkSession, sf: str) -> DataFrame:
@@ -466,10 +468,11 @@ SPLIT_SQL = f"WITH {GRAPH} SELECT descr, round(({_ic('k', 'n * (n - 1)', f'n * (
 
 def summary_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """The three splits of a summary: what is cut off, from which block, and how surprising the blocks are then."""
-    nodes, edges = X.parts(spark, sf), X.copurchase(spark, sf).persist()
-    n, m = G.totals(nodes, edges)
+    nodes, edges = X.parts(spark, sf), X.copurchase(spark, sf)
     support, sel = _brand_support(nodes)
-    blocks, done = summarize.summarize(nodes, edges, support.persist(), m / (n * (n - 1)))
+    with G.held(edges, support):
+        n, m = G.totals(nodes, edges)
+        done = summarize.summarize(nodes, edges, support, m / (n * (n - 1)))[1]
     return spark.createDataFrame([(i, sel[cut].descr, block, si) for i, si, cut, block in done], "round int, descr string, split_block int, si double")
 
 
