@@ -33,9 +33,9 @@ LENGTH = 50
 GRAM = 26
 #: Code of document frequency (1 + 2 log2 n) from which windows go one by one: 2,048 documents.
 HOT_CODE = 23
-#: Windows in a run at most, and bytes in a Burrows-Wheeler transform.
+#: Windows in a run at most, and bytes in a Burrows-Wheeler transform, whose arrays then fit a cache; strings of one minimizer are never parted.
 RUN = 256
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 18
 NULL_ID = np.iinfo(np.int64).max
 
 _BASE = 0x9E3779B97F4A7C15
