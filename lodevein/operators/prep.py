@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+from itertools import product
+from operator import add, and_
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,8 +100,11 @@ def k_means(vectors: DataFrame, key: str, column: str, k: int, seed: int = 0) ->
 
 
 def dbscan_cores(points: DataFrame, key: str, columns: list[str], eps: float, least: int = 10) -> DataFrame:
-    """key, neighbours: points with ``least`` others or more within ``eps`` (themselves count), through a grid of cells of size eps."""
-    return _near(points, key, columns, eps).groupBy(key).agg(F.count("*").alias("neighbours")).filter(F.col("neighbours") >= least)
+    """key, neighbours: points with ``least`` others or more within ``eps`` (themselves count), through a grid."""
+    counts = _neighbours(_positions(points, key, columns), len(columns), eps)
+    rows = points.select(key, F.array(*[F.col(c).cast("double") for c in columns]).alias("at")).hint("merge")  # files of many copies look small enough to broadcast
+    rows = rows.join(counts.select("at", "neighbours"), "at")
+    return rows.groupBy(key).agg(F.sum("neighbours").alias("neighbours")).filter(F.col("neighbours") >= least)
 
 
 def dbscan(points: DataFrame, key: str, columns: list[str], eps: float, least: int = 10) -> DataFrame:
@@ -122,6 +133,89 @@ def _materialised(df: DataFrame) -> DataFrame:
     return _cut(df)
 
 
+#: Pairs of points that are compared at once.
+PAIRS = 1 << 16
+
+
+def _positions(points: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """at, n, first: distinct finite positions, how many points stand there, and their smallest key."""
+    finite = [F.abs(F.col(c).cast("double")) < float("inf") for c in columns]
+    return points.filter(reduce(and_, finite)).groupBy(F.array(*[F.col(c).cast("double") for c in columns]).alias("at")).agg(F.count("*").alias("n"), F.min(key).alias("first"))
+
+
+def _width(dimensions: int, eps: float) -> float:
+    """The side of a place, of which points are about ``eps`` apart at most."""
+    return eps / math.sqrt(dimensions) * (1 - 1e-9) or 1.0
+
+
+def _around(positions: DataFrame, dimensions: int, eps: float) -> DataFrame:
+    """Positions in their own cell and all neighbours of it (own: whether it is theirs).  Cells are whole places, wider than ``eps``."""
+    places = math.isqrt(dimensions) + 1
+    most = float(1 << 60)
+    cell = lambda i: F.floor(F.least(F.greatest(F.floor(F.col("at")[i].cast("double") / _width(dimensions, eps)) / places, F.lit(-most)), F.lit(most)))
+    steps = list(product((-1, 0, 1), repeat=dimensions))
+    near = F.array(*[F.struct(F.array(*[cell(i) + d for i, d in enumerate(s)]).alias("cell"), F.lit(not any(s)).alias("own")) for s in steps])
+    return positions.select("*", F.explode(near).alias("c")).select("c.cell", "c.own", *positions.columns)
+
+
+def _neighbours(positions: DataFrame, dimensions: int, eps: float) -> DataFrame:
+    """at, first, neighbours: points within ``eps`` of every position."""
+
+    def count(group: pa.Table) -> pa.Table:
+        x, own = _coordinates(group), group.column("own").to_numpy()
+        mine = np.flatnonzero(own)
+        total = np.zeros(len(x), np.int64)
+        if len(mine):
+            _add_near(x, group.column("n").to_numpy(), mine, np.arange(len(x)), eps * eps, total)
+        return group.select(["at"]).filter(pa.array(own)).append_column("neighbours", pa.array(total[mine], pa.int64()))
+
+    sums = _around(positions.select("at", "n"), dimensions, eps).groupBy("cell").applyInArrow(count, "at array<double>, neighbours long")
+    return positions.select("at", "first").join(sums, "at")
+
+
+def _coordinates(group: pa.Table) -> np.ndarray:
+    return group.column("at").combine_chunks().flatten().to_numpy().reshape(len(group), -1)
+
+
+def _square(d: np.ndarray) -> np.ndarray:
+    return reduce(add, (d[..., i] * d[..., i] for i in range(d.shape[-1])), 0.0)
+
+
+def _bounds(low: np.ndarray, high: np.ndarray, other_low: np.ndarray, other_high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest squared distances between boxes.  Rounding keeps order, so they bound those of the points as computed, too."""
+    return _square(np.maximum(np.maximum(low - other_high, other_low - high), 0.0)), _square(np.maximum(high - other_low, other_high - low))
+
+
+def _halves(x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    own = x[rows]
+    rows = rows[np.argsort(own[:, np.argmax(own.max(0) - own.min(0))], kind="stable")]
+    return rows[: len(rows) // 2], rows[len(rows) // 2 :]
+
+
+def _decided(x: np.ndarray, left: np.ndarray, right: np.ndarray, bar: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Blocks of left and right rows that are near as a whole (None), or for which of their pairs are; boxes that can't be near are left out."""
+    todo = [(left, right)]
+    while todo:
+        a, b = todo.pop()
+        near, far = _bounds(x[a].min(0), x[a].max(0), x[b].min(0), x[b].max(0))
+        if near > bar:
+            continue
+        if far <= bar:
+            yield a, b, None
+        elif len(a) * len(b) <= PAIRS:
+            yield a, b, _square(x[a][:, None] - x[b][None]) <= bar
+        elif len(a) >= len(b):
+            todo += [(h, b) for h in _halves(x, a)]
+        else:
+            todo += [(a, h) for h in _halves(x, b)]
+
+
+def _add_near(x: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.ndarray, bar: float, total: np.ndarray) -> None:
+    """Adds to the total of each left row the weights of the right ones near it."""
+    for a, b, hit in _decided(x, left, right, bar):
+        total[a] += weight[b].sum() if hit is None else hit @ weight[b]
+
+
 def _near(points: DataFrame, key: str, columns: list[str], eps: float) -> DataFrame:
     """Pairs (key, o) of points within ``eps``, themselves included, through a grid of cells of that size."""
     cell = [F.floor(F.col(c) / eps) for c in columns]

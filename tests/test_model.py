@@ -127,6 +127,22 @@ def test_dbscan_against_brute_force(spark):
     assert {r["id"]: r["cluster"] for r in got} == want and {r["id"] for r in got if r["core"]} == set(np.flatnonzero(core).tolist())
 
 
+def test_dbscan_of_crowds(spark, monkeypatch):
+    """Copies, dense places, points exactly eps apart and values that aren't finite; neighbours are counted without listing pairs."""
+    monkeypatch.setattr(prep, "PAIRS", 64)
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(0, 0.5, (150, 2)), np.repeat(rng.integers(3, 9, (40, 2)).astype(float), 3, 0), rng.uniform(-4, 12, (60, 2)), [[-0.0, 20.0], [0.0, 20.0], [1.0, 20.0]]])
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(x)] + [(len(x), float("nan"), 0.0), (len(x) + 1, float("inf"), 0.0), (len(x) + 2, None, 0.0)]
+    df = spark.createDataFrame(rows, "id long, x double, y double")
+    near = ((x[:, None] - x[None]) ** 2).sum(2) <= 1
+    for least in (3, 6):
+        core = near.sum(1) >= least
+        assert {r["id"]: r["neighbours"] for r in prep.dbscan_cores(df, "id", ["x", "y"], 1.0, least).collect()} == {i: int(near[i].sum()) for i in range(len(x)) if core[i]}
+    # A crowd of 40,000 positions makes 1.6 billion pairs.
+    crowd = spark.range(40000).select("id", (F.col("id") % 200 / 400).alias("x"), (F.floor(F.col("id") / 200) / 400).alias("y"))
+    assert prep.dbscan_cores(crowd, "id", ["x", "y"], 1.0).agg(F.min("neighbours"), F.count("*")).first() == (40000, 40000)
+
+
 def test_readers(spark, tmp_path):
     write = lambda name, text: (tmp_path / name).write_text(text, encoding="latin1") and str(tmp_path / name)
     nodes, edges = readers.open_graph(spark, "citations", cites=write("c", "p1\tp2\np3\tp1\n"), contents=write("w", "p1\t1\t0\tA\np2\t0\t1\tB\n"))
