@@ -108,23 +108,33 @@ def dbscan_cores(points: DataFrame, key: str, columns: list[str], eps: float, le
 
 
 def dbscan(points: DataFrame, key: str, columns: list[str], eps: float, least: int = 10) -> DataFrame:
-    """key, cluster, core: clusters are cores that hang together, named by their smallest key; border points join the smallest of theirs; noise has null."""
-    cores = dbscan_cores(points, key, columns, eps, least).select(key)
-    near = _near(points, key, columns, eps)
-    links = near.join(cores.select(F.col(key).alias("o")), "o", "left_semi").select(key, "o")
-    inner = _materialised(links.join(cores, key, "left_semi"))
-    label = _materialised(cores.select(F.col(key), F.col(key).alias("cluster")))
+    """key, cluster, core: clusters are cores that hang together, named by their smallest key; border points join the smallest of theirs; noise has null.
+
+    Cores of one place in a fine grid hang together and are one node, so that links grow with the places taken, not with pairs.
+    """
+    counts = _materialised(_neighbours(_positions(points, key, columns), len(columns), eps))
+    placed = _around(counts.select("at", (F.col("neighbours") >= least).alias("core")), len(columns), eps)
+    width = _width(len(columns), eps)
+
+    def tie(group: pa.Table) -> pa.Table:
+        return _ties(group, width, eps * eps)
+
+    ties = _materialised(placed.groupBy("cell").applyInArrow(tie, "kind int, a array<double>, b array<double>"))
+    links = ties.filter(F.col("kind") == LINK).select("a", "b")
+    inner = _materialised(links.union(links.select("b", "a")))
+    label = _materialised(ties.filter(F.col("kind") == CORE).select(F.col("b").alias("block"), F.col("b").alias("top")).distinct())
     while True:  # each round takes the smallest label around, and that label's own
-        around = inner.join(label.select(F.col(key).alias("o"), F.col("cluster").alias("c")), "o").groupBy(key).agg(F.min("c").alias("c"))
-        up = around.join(label.select(F.col(key).alias("c"), F.col("cluster").alias("top")), "c", "left").select(key, F.least("c", "top").alias("c"))
-        new = _materialised(label.join(up, key, "left").select(key, F.least("cluster", F.coalesce("c", "cluster")).alias("cluster")))
-        if new.join(label.withColumnRenamed("cluster", "old"), key).filter("cluster != old").isEmpty():
+        around = inner.join(label.select(F.col("block").alias("b"), F.col("top").alias("c")), "b").groupBy(F.col("a").alias("block")).agg(F.min("c").alias("c"))
+        up = around.join(label.select(F.col("block").alias("c"), F.col("top").alias("over")), "c", "left").select("block", F.least("c", "over").alias("c"))
+        new = _materialised(label.withColumnRenamed("top", "old").join(up, "block", "left").select("block", F.least("old", F.coalesce("c", "old")).alias("top"), "old"))
+        label = new.select("block", "top")
+        if new.filter("top != old").isEmpty():
             break
-        label = new
-    border = links.join(label.select(F.col(key).alias("o"), "cluster"), "o").groupBy(key).agg(F.min("cluster").alias("cluster"))
-    out = points.select(key).join(border, key, "left").join(cores.withColumn("core", F.lit(True)), key, "left")
-    own = label.select(key, F.col("cluster").alias("mine"))
-    return out.join(own, key, "left").select(key, F.coalesce("mine", "cluster").alias("cluster"), F.coalesce("core", F.lit(False)).alias("core"))
+    member = ties.filter(F.col("kind") != LINK).select("kind", F.col("a").alias("at"), F.col("b").alias("block")).join(label, "block")
+    names = member.filter(F.col("kind") == CORE).join(counts.select("at", "first"), "at").groupBy("top").agg(F.min("first").alias("cluster"))
+    found = member.join(names, "top").groupBy("at").agg(F.min("cluster").alias("cluster"), F.bool_or(F.col("kind") == CORE).alias("core"))
+    rows = points.select(key, F.array(*[F.col(c).cast("double") for c in columns]).alias("at"))
+    return rows.join(found, "at", "left").select(key, "cluster", F.coalesce("core", F.lit(False)).alias("core"))
 
 
 def _materialised(df: DataFrame) -> DataFrame:
@@ -133,6 +143,8 @@ def _materialised(df: DataFrame) -> DataFrame:
     return _cut(df)
 
 
+#: Kinds of ties: a core and its block, a point near a block of cores, two blocks.
+CORE, BORDER, LINK = 0, 1, 2
 #: Pairs of points that are compared at once.
 PAIRS = 1 << 16
 
@@ -216,21 +228,48 @@ def _add_near(x: np.ndarray, weight: np.ndarray, left: np.ndarray, right: np.nda
         total[a] += weight[b].sum() if hit is None else hit @ weight[b]
 
 
-def _near(points: DataFrame, key: str, columns: list[str], eps: float) -> DataFrame:
-    """Pairs (key, o) of points within ``eps``, themselves included, through a grid of cells of that size."""
-    cell = [F.floor(F.col(c) / eps) for c in columns]
-    at = points.select(F.col(key), *columns, F.struct(*[x.alias(f"g{i}") for i, x in enumerate(cell)]).alias("cell"))
-    near = F.array(F.struct(*[F.lit(0).cast("long").alias(f"g{i}") for i in range(len(columns))]))
-    for i in range(len(columns)):
-        near = F.flatten(F.transform(near, _spread(i, len(columns))))
-    other = at.select(F.col(key).alias("o"), *[F.col(c).alias(f"o_{c}") for c in columns], F.explode(F.transform(near, _shift(len(columns)))).alias("cell"))
-    square = sum((F.pow(F.col(c) - F.col(f"o_{c}"), 2) for c in columns), F.lit(0.0))
-    return at.join(other, "cell").filter(square <= eps * eps).select(key, "o")
-
-
-def _spread(i: int, n: int):
-    return lambda s: F.array(*[F.struct(*[(s[f"g{j}"] + (d if j == i else 0)).alias(f"g{j}") for j in range(n)]) for d in (-1, 0, 1)])
-
-
-def _shift(n: int):
-    return lambda s: F.struct(*[(s[f"g{j}"] + F.col("cell")[f"g{j}"]).alias(f"g{j}") for j in range(n)])
+def _blocks(x: np.ndarray, rows: np.ndarray, width: float, bar: float) -> list[np.ndarray]:
+    """Rows by place; what is too wide to be near as a whole is halved."""
+    _, place = np.unique(np.floor(x[rows] / width), axis=0, return_inverse=True)
+    order = np.argsort(place.reshape(-1), kind="stable")
+    todo = np.split(rows[order], np.flatnonzero(np.diff(place.reshape(-1)[order])) + 1)
+    out = []
+    while todo:
+        r = todo.pop()
+        if len(r) == 1 or _bounds(x[r].min(0), x[r].max(0), x[r].min(0), x[r].max(0))[1] <= bar:
+            out.append(np.sort(r))
+        else:
+            todo += _halves(x, r)
+    return out
+
+
+def _ties(group: pa.Table, width: float, bar: float) -> pa.Table:
+    """Ties of a cell's own points; a block is named by its first position."""
+    x = _coordinates(group)
+    order = np.lexsort(x.T[::-1])
+    x, own, core = x[order], group.column("own").to_numpy()[order], group.column("core").to_numpy()[order]
+    kinds, ends, names = [], [], []
+
+    def put(kind: int, a: np.ndarray, b: int) -> None:
+        kinds.append(np.full(len(a), kind, np.int32))
+        ends.append(a)
+        names.append(np.full(len(a), b))
+
+    blocks = sorted(_blocks(x, np.flatnonzero(core), width, bar), key=lambda r: r[0]) if core.any() and own.any() else []
+    low, high = (np.array([f(x[r], 0) for r in blocks]) for f in (np.min, np.max))
+    rest = np.flatnonzero(own & ~core)
+    for k, r in enumerate(blocks):
+        if len(rest):
+            near = np.zeros(len(x), bool)
+            for a, _, hit in _decided(x, rest, r, bar):
+                near[a] |= True if hit is None else hit.any(1)
+            put(BORDER, np.flatnonzero(near), r[0])
+        if own[r[0]]:  # places don't reach over cells
+            put(CORE, r, r[0])
+            for j in np.flatnonzero(_bounds(low[k], high[k], low[:k], high[:k])[0] <= bar).tolist():
+                if any(hit is None or hit.any() for _, _, hit in _decided(x, r, blocks[j], bar)):
+                    put(LINK, r[:1], blocks[j][0])
+    if not kinds:
+        return pa.table({"kind": pa.array([], pa.int32()), "a": pa.array([], pa.list_(pa.float64())), "b": pa.array([], pa.list_(pa.float64()))})
+    named = lambda rows: pa.array(list(x[np.concatenate(rows)]), pa.list_(pa.float64()))
+    return pa.table({"kind": np.concatenate(kinds), "a": named(ends), "b": named(names)})

@@ -137,10 +137,16 @@ def test_dbscan_of_crowds(spark, monkeypatch):
     near = ((x[:, None] - x[None]) ** 2).sum(2) <= 1
     for least in (3, 6):
         core = near.sum(1) >= least
+        label = np.where(core, np.arange(len(x)), -1)
+        while (now := np.array([label[near[i] & core].min() if core[i] else -1 for i in range(len(x))])).tolist() != label.tolist():
+            label = now
+        want = {i: (int(label[near[i] & core].min()) if (near[i] & core).any() else None, bool(core[i])) for i in range(len(x))} | {len(x) + i: (None, False) for i in range(3)}
+        assert {r["id"]: (r["cluster"], r["core"]) for r in prep.dbscan(df, "id", ["x", "y"], 1.0, least).collect()} == want
         assert {r["id"]: r["neighbours"] for r in prep.dbscan_cores(df, "id", ["x", "y"], 1.0, least).collect()} == {i: int(near[i].sum()) for i in range(len(x)) if core[i]}
     # A crowd of 40,000 positions makes 1.6 billion pairs.
     crowd = spark.range(40000).select("id", (F.col("id") % 200 / 400).alias("x"), (F.floor(F.col("id") / 200) / 400).alias("y"))
     assert prep.dbscan_cores(crowd, "id", ["x", "y"], 1.0).agg(F.min("neighbours"), F.count("*")).first() == (40000, 40000)
+    assert prep.dbscan(crowd, "id", ["x", "y"], 1.0).groupBy("cluster", "core").count().collect() == [(0, True, 40000)]
 
 
 def test_readers(spark, tmp_path):
