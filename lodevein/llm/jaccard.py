@@ -274,13 +274,13 @@ def _with_components(posts: DataFrame, edges: DataFrame) -> DataFrame:
 def _links_of(posts: DataFrame, sets: DataFrame, marks: DataFrame, top: int) -> DataFrame:
     """Edges that span the components of all links, from posts(sig, rep, place), sets(rep, size, tokens) and marks(rep, size, alone, bits)."""
     now = posts.select("sig", "rep", "place", F.col("rep").alias("comp"))
-    edges = None
+    edges, asking = None, None
     for turn in range(PIVOTS):
         found = _pivot_links(now, sets, turn, top)
         edges = settle(found if edges is None else edges.union(found))
         now = _with_components(posts, edges)
     while True:
-        open_ = _open_lists(now, marks, top)
+        open_ = _open_lists(now, marks, top, asking)
         found = settle(_candidates(open_, top))
         asked = settle(found.groupBy("a").agg(F.max_by("b", F.struct("score", "b")).alias("b"), F.min("lo").alias("lo"), F.max("hi").alias("hi")))
         hits = settle(_verified(asked, sets, top))
@@ -290,7 +290,8 @@ def _links_of(posts: DataFrame, sets: DataFrame, marks: DataFrame, top: int) ->
         edges = settle(edges.union(hits))
         if done:
             return edges
-        # Merging takes candidates away and brings none, so lists without any are closed.
+        # Merging takes candidates away and brings none, so lists without any are closed, and who had none has no more to ask.
+        asking = found.select("sig", F.col("a").alias("rep"))
         posts = settle(posts.join(found.select("sig").distinct(), "sig", "left_semi"))
         now = _with_components(posts, edges)
 
@@ -316,12 +317,12 @@ def _pivot_links(now: DataFrame, sets: DataFrame, turn: int, top: int) -> DataFr
     return followers.union(leaders).join(sets, "rep").groupBy("pivot", "part").applyInArrow(star, "a long, b long")
 
 
-def _open_lists(now: DataFrame, marks: DataFrame, top: int) -> DataFrame:
+def _open_lists(now: DataFrame, marks: DataFrame, top: int, asking: DataFrame | None = None) -> DataFrame:
     """Members of the lists that hold several components, as (sig, band, i, j, asks, rep, comp, place, size, alone, bits).
 
     Lists of the same members are one; the first in the order of tokens stands for them.  What isn't of a list's largest
-    component asks all its members.  Lists of over CHUNK members are cut into bands of sizes, of which only neighbours can
-    link, and these into chunks.
+    component asks all its members, or just what is in asking(sig, rep).  Lists of over CHUNK members are cut into bands of
+    sizes, of which only neighbours can link, and these into chunks; bands without anyone to ask or to be asked are left out.
     """
     half = F.xxhash64("rep")
     by_comp = now.groupBy("sig", "comp").agg(F.count("*").alias("n"), F.sum("place").alias("place"), F.sum(half.bitwiseAND(0x7FFFFFFF)).alias("x"), F.sum(F.shiftrightunsigned(half, 33)).alias("y"))
@@ -331,11 +332,12 @@ def _open_lists(now: DataFrame, marks: DataFrame, top: int) -> DataFrame:
     member = now.join(lists, "sig").join(marks, "rep").withColumn("at", F.when(large, F.floor(F.log("size") / (log(BOTTOM / top) * (1 + 1e-9)))).otherwise(0).cast("int"))
     near = F.when(large, F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1)).otherwise(F.array("at"))
     own = ("rep", "comp", "place", "size", "alone", "bits")
-    asks = member.filter("comp != main").select("sig", F.explode(near).alias("band"), F.lit(True).alias("asks"), "n", *own)
+    asks = member.filter("comp != main") if asking is None else member.join(asking, ["sig", "rep"], "left_semi")
+    asks = asks.select("sig", F.explode(near).alias("band"), F.lit(True).alias("asks"), "n", *own)
     placed = asks.union(member.select("sig", F.col("at").alias("band"), F.lit(False).alias("asks"), "n", *own))
     counts = placed.filter(large).groupBy("sig", "band").agg(F.count_if("asks").alias("few"), F.count_if(~F.col("asks")).alias("all"))
     chunks = lambda c: F.greatest(F.lit(1), F.ceil(F.coalesce(c, F.lit(1)) / CHUNK)).cast("int")
-    placed = placed.join(counts, ["sig", "band"], "left")
+    placed = placed.join(counts, ["sig", "band"], "left").filter(~large | (F.col("few") > 0) & (F.col("all") > 0))
     mine = lambda n: F.pmod(F.xxhash64("rep"), n.cast("long")).cast("int")
     every = lambda n: F.sequence(F.lit(0), n - 1)
     few, all_ = chunks(F.col("few")), chunks(F.col("all"))

@@ -404,3 +404,14 @@ def test_embeddings_bear_clashing_names(spark):
 
 def test_schema_is_the_fixture(spark):
     assert frame(spark).columns == [c.split()[0] for c in SCHEMA.split(", ")]
+
+
+def test_open_lists_move_no_one_for_nothing(spark, monkeypatch):
+    """Members of a large list go where someone asks and is asked; later, who had no candidates asks no more."""
+    monkeypatch.setattr(jaccard, "CHUNK", 8)
+    now = spark.range(40).select(F.lit(1).cast("long").alias("sig"), F.col("id").alias("rep"), F.lit(0).cast("long").alias("place"), F.when(F.col("id") < 32, 0).otherwise(F.col("id")).alias("comp"))
+    marks = spark.range(40).select(F.col("id").alias("rep"), F.lit(100).cast("long").alias("size"), F.lit(0).cast("long").alias("alone"), F.lit(bytes(64)).alias("bits"))
+    count = lambda open_: {(r["asks"], r["rep"]): r["count"] for r in open_.groupBy("asks", "rep").count().collect()}
+    assert count(jaccard._open_lists(now, marks, 85)) == {(True, i): 5 for i in range(32, 40)} | {(False, i): 1 for i in range(40)}
+    asking = spark.createDataFrame([(1, 35), (1, 3)], "sig long, rep long")
+    assert count(jaccard._open_lists(now, marks, 85, asking)) == {(True, 35): 5, (True, 3): 5} | {(False, i): 1 for i in range(40)}
