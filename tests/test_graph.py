@@ -228,7 +228,8 @@ def test_pair_beams_equal_a_replay_in_plain_code(spark, constrained, prior):
     assert np.allclose([g[0] for g in got], [f[0] for f in found], atol=2e-6)
 
 
-def test_pair_beams_count_on_classes(spark, monkeypatch):
+@pytest.mark.parametrize("constrained", [False, True])
+def test_pair_beams_count_on_classes(spark, monkeypatch, constrained):
     """Nodes of one cover are one node with its size: counts agree with those of the nodes, and levels of the search see classes only."""
     nodes = spark.range(300).select(F.col("id").alias("node_id"), (F.col("id") % 3).cast("string").alias("a"), F.when(F.col("id") % 7 < 5, (F.col("id") % 2).cast("string")).alias("b"))
     edges = spark.range(300).select(F.col("id").alias("src"), F.explode(F.array((F.col("id") * 7 + 1) % 300, (F.col("id") * 11 + 5) % 300)).alias("dst")).filter("src != dst").distinct()
@@ -241,5 +242,5 @@ def test_pair_beams_count_on_classes(spark, monkeypatch):
     assert one == all_ and len(one) == 49
     sizes, count = [], G.pair_counts
     monkeypatch.setattr(search, "pair_counts", lambda edges, left, right, wanted: sizes.append((left.count(), edges.count())) or count(edges, left, right, wanted))
-    assert search.beam_pairs(nodes, edges, search.Task(sel, size=2, depth=2), 300, edges.count()).count()
+    assert search.beam_pairs(nodes, edges, search.Task(sel, size=2, depth=2), 300, edges.count(), constrained=constrained).count()
     assert sizes and max(sizes) <= (9, 81)
