@@ -27,9 +27,17 @@ RATIO = 0.05
 LEAST_PAGES = 3
 
 
+def _trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\f\r"))
+
+
+def _key(trimmed: Column) -> Column:
+    return F.unhex(F.md5(trimmed.cast("binary")))
+
+
 def line_key(line: Column) -> Column:
     """128 bits that stand for the trimmed line."""
-    return F.unhex(F.md5(F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "").cast("binary")))
+    return _key(_trimmed(line))
 
 
 def _blank() -> Column:
@@ -37,10 +45,10 @@ def _blank() -> Column:
 
 
 def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, bad: array of line keys, from pages(host, keys: array of the keys of a page's lines)."""
+    """host, bad: array of line keys, from pages(host, keys: array of the keys of a page's lines, each once)."""
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
     held = (
-        pages.select("host", F.explode(F.array_distinct("keys")).alias("key"))
+        pages.select("host", F.explode("keys").alias("key"))
         .groupBy("host", "key")
         .agg(F.count("*").alias("n"))
         .filter((F.col("n") >= least_pages) & (F.col("key") != _blank()))
@@ -57,22 +65,23 @@ def dedup_lines(docs: DataFrame, host: Column, text: str = "text", ratio: float
     """``docs`` with boilerplate lines gone from column ``text``, and beside it two columns of ``counts``: lines, and lines that went."""
     if clash := {c.lower() for c in docs.columns} & {c.lower() for c in counts or ()}:
         raise ValueError(f"docs have columns {sorted(clash)} already; name others in counts, or none")
-    keys = F.transform(_lines(F.col(text)), line_key)
+    keys = F.transform(F.array_distinct(F.transform(_lines(F.col(text)), _trimmed)), _key)
     bad = settle(boilerplate(docs.select(host.alias("host"), F.coalesce(keys, F.array().cast("array<binary>")).alias("keys")), ratio, least_pages))
     # Names of this call's own, so that no column of the documents can clash.
-    at, gone = (f"{c}_{uuid.uuid4().hex}" for c in ("host", "bad"))
+    at, gone, rest = (f"{c}_{uuid.uuid4().hex}" for c in ("host", "bad", "rest"))
     bad = bad.select(F.col("host").alias(at), F.col("bad").alias(gone))
     # The optimizer knows the size of the settled lists: it broadcasts them where they are small and splits hot hosts where not.
     joined = docs.join(bad, host.eqNullSafe(F.col(at)), "left")
     lines = _lines(docs[text])
-    kept = F.filter(lines, lambda line: ~F.array_contains(F.col(gone), line_key(line)))
-    own = [F.when(F.col(gone).isNull(), docs[text]).otherwise(F.array_join(kept, "\n")).alias(text) if c == text else docs[f"`{c}`"] for c in docs.columns]
+    # A column of its own, so that lines are looked up once; null where nothing goes.
+    joined = joined.withColumn(rest, F.when(F.col(gone).isNotNull(), F.filter(lines, lambda line: ~F.array_contains(F.col(gone), line_key(line)))))
+    own = [F.when(F.col(rest).isNull(), docs[text]).otherwise(F.array_join(rest, "\n")).alias(text) if c == text else docs[f"`{c}`"] for c in docs.columns]
     if counts is None:
         return joined.select(*own)
     return joined.select(
         *own,
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(counts[0]),
-        F.when(F.col(gone).isNull(), 0).otherwise(F.size(lines) - F.size(kept)).cast("long").alias(counts[1]),
+        F.when(F.col(rest).isNull(), 0).otherwise(F.size(lines) - F.size(rest)).cast("long").alias(counts[1]),
     )
 
 
@@ -91,9 +100,9 @@ def html_lines(html: Column) -> Column:
     for h in HIDDEN:
         html = F.regexp_replace(html, rf"(?is)<{h}[^>]*>.*?</{h}>", "")
     html = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    html = F.regexp_replace(html, rf"(?i)\n|</?(?:{BLOCKS})(?:[ /][^>]*)?>", "\n")
-    html = F.regexp_replace(html, r"<[^>]*>", "")
-    return F.regexp_replace(html, r"[\x20\x09\x0B-\x0D]*\n[\x20\x09-\x0D]*", "\n")
+    html = F.regexp_replace(html, rf"(?i)</?(?:{BLOCKS})(?:[ /][^>]*+)?>", "\n")
+    html = F.regexp_replace(html, r"<[^>]*+>", "")
+    return F.regexp_replace(html, r"[\x20\x09\x0B-\x0D]*+\n[\x20\x09-\x0D]*+", "\n")
 
 
 def dedup_pages(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:

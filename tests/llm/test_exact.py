@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -326,6 +327,18 @@ def test_page_lines(spark):
     assert [r["n_dropped"] > 0 for r in line_dedup.dedup_pages(twice).filter("page_id = 1").collect()] == [True] * 3
 
 
+def test_lines_end_where_the_sql_ends_them(spark):
+    """White space before a Unicode line separator is inside a line; a null text drops nothing, also on a host with boilerplate."""
+    lines = ["own 0\nsame\nodd \u2028", "\tsame \nodd\u2028", "same\x0b\nodd\u2028\n\n own", " odd \u2028\nsame", None]
+    rows = [(i, "h", x) for i, x in enumerate(lines)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "page_id long, host string, text string"), F.col("host")).collect()
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t (page_id BIGINT, host VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?)", rows)
+    want = con.execute(line_dedup.lines_sql("SELECT row_number() OVER () AS rid, * FROM t", "d.page_id", "host", 0.05, 3)).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and sum(r["n_dropped"] for r in got) == 4
+
+
 def test_mixing(spark):
     rng = np.random.default_rng(0)
     data = [(int(i), " ".join(["w"] * int(rng.integers(0, 40))), None, ["a", "b", "c", "d", None][int(rng.choice(5, p=[0.6, 0.2, 0.1, 0.05, 0.05]))], 0) + (None,) * 7 for i in range(3000)]
