@@ -47,6 +47,8 @@ LARGE = 256
 CHUNK = 512
 GROUP = 2048
 PIVOTS = 2
+#: Edges that the driver merges at once, a megabyte of them; more are contracted in rounds of jobs first.
+FEW_EDGES = 1 << 16
 #: Least and most binary logarithm of the bits of a set.
 BITS = (9, 16)
 
@@ -266,7 +268,7 @@ def join_classes(docs: DataFrame, gram: int = GRAM, top: int = TOP) -> tuple[Dat
 
 
 def _with_components(posts: DataFrame, edges: DataFrame) -> DataFrame:
-    linked = components(edges).withColumnRenamed("node", "rep")
+    linked = components(edges, FEW_EDGES).withColumnRenamed("node", "rep")
     B.release()
     return settle(posts.join(linked, "rep", "left").select("sig", "rep", "place", F.coalesce("component", "rep").alias("comp")))
 
@@ -288,6 +290,7 @@ def _links_of(posts: DataFrame, sets: DataFrame, marks: DataFrame, top: int) ->
         if hits.isEmpty():
             return edges if done else edges.union(settle(_compared(open_, sets, top)))
         edges = settle(edges.union(hits))
+        discard(open_)
         if done:
             return edges
         # Merging takes candidates away and brings none, so lists without any are closed, and who had none has no more to ask.
@@ -327,22 +330,30 @@ def _open_lists(now: DataFrame, marks: DataFrame, top: int, asking: DataFrame |
     half = F.xxhash64("rep")
     by_comp = now.groupBy("sig", "comp").agg(F.count("*").alias("n"), F.sum("place").alias("place"), F.sum(half.bitwiseAND(0x7FFFFFFF)).alias("x"), F.sum(F.shiftrightunsigned(half, 33)).alias("y"))
     lists = by_comp.groupBy("sig").agg(*[F.sum(c).alias(c) for c in ("n", "place", "x", "y")], F.max(F.struct("n", "comp")).alias("main")).filter("n > main.n")
-    lists = lists.groupBy("n", "x", "y").agg(F.min_by(F.struct("sig", F.col("main.comp").alias("main")), F.struct("place", "sig")).alias("s")).select("s.*", "n")
+    lists = settle(lists.groupBy("n", "x", "y").agg(F.min_by(F.struct("sig", F.col("main.comp").alias("main")), F.struct("place", "sig")).alias("s")).select("s.*", "n"))
     large = F.col("n") > CHUNK
-    member = now.join(lists, "sig").join(marks, "rep").withColumn("at", F.when(large, F.floor(F.log("size") / (log(BOTTOM / top) * (1 + 1e-9)))).otherwise(0).cast("int"))
+    member = now.join(lists, "sig").join(marks.select("rep", "size", "alone"), "rep").withColumn("at", F.when(large, F.floor(F.log("size") / (log(BOTTOM / top) * (1 + 1e-9)))).otherwise(0).cast("int"))
+    if asking is None:
+        member = member.withColumn("wants", F.col("comp") != F.col("main"))
+    else:
+        member = member.join(asking.select("sig", "rep", F.lit(True).alias("wants")).distinct(), ["sig", "rep"], "left").withColumn("wants", F.col("wants").isNotNull())
+    # Written without the bits, so that both readers below find it done; the bits come to what is left.
+    member = settle(member.drop("main"))
     near = F.when(large, F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1)).otherwise(F.array("at"))
+    spot = lambda band, asks: F.struct(band.alias("band"), F.lit(asks).alias("asks"))
+    spots = F.concat(F.when(F.col("wants"), F.transform(near, lambda band: spot(band, True))).otherwise(F.array()), F.array(spot(F.col("at"), False)))
+    placed = member.withColumn("spot", F.explode(spots)).select("sig", "spot.*", "n", "rep", "comp", "place", "size", "alone")
     own = ("rep", "comp", "place", "size", "alone", "bits")
-    asks = member.filter("comp != main") if asking is None else member.join(asking, ["sig", "rep"], "left_semi")
-    asks = asks.select("sig", F.explode(near).alias("band"), F.lit(True).alias("asks"), "n", *own)
-    placed = asks.union(member.select("sig", F.col("at").alias("band"), F.lit(False).alias("asks"), "n", *own))
     counts = placed.filter(large).groupBy("sig", "band").agg(F.count_if("asks").alias("few"), F.count_if(~F.col("asks")).alias("all"))
     chunks = lambda c: F.greatest(F.lit(1), F.ceil(F.coalesce(c, F.lit(1)) / CHUNK)).cast("int")
-    placed = placed.join(counts, ["sig", "band"], "left").filter(~large | (F.col("few") > 0) & (F.col("all") > 0))
+    placed = placed.join(counts, ["sig", "band"], "left").filter(~large | (F.col("few") > 0) & (F.col("all") > 0)).join(marks.select("rep", "bits"), "rep")
     mine = lambda n: F.pmod(F.xxhash64("rep"), n.cast("long")).cast("int")
     every = lambda n: F.sequence(F.lit(0), n - 1)
     few, all_ = chunks(F.col("few")), chunks(F.col("all"))
     one: Column = F.when(F.col("asks"), F.transform(every(all_), lambda j: F.struct(mine(few).alias("i"), j.alias("j")))).otherwise(F.transform(every(few), lambda i: F.struct(i.alias("i"), mine(all_).alias("j"))))
-    return placed.select("sig", "band", F.explode(one).alias("c"), "asks", *own).select("sig", "band", "c.i", "c.j", "asks", *own)
+    out = placed.select("sig", "band", F.explode(one).alias("c"), "asks", *own).select("sig", "band", "c.i", "c.j", "asks", *own)
+    out.settled_at = member.settled_at  # for discard()
+    return out
 
 
 _BLOCK = ["sig", "band", "i", "j"]
@@ -428,7 +439,7 @@ def similar_documents(docs: DataFrame, gram: int = GRAM, top: int = TOP) -> Data
     """doc_id, n_shingles, component_id for every document; links have ``top`` hundredths of the union of ``gram`` words in common."""
     member, groups, once = B.distinct_texts(docs)
     sizes, edges = join_classes(once.filter("doc_id is not null"), gram, top)
-    linked = components(edges)
+    linked = components(edges, FEW_EDGES)
     known = groups.filter("rep is not null").join(sizes.withColumnRenamed("rep", "class"), "class", "left").join(linked.withColumnRenamed("node", "class"), "class", "left")
     known = settle(known.select("key", "rep", "n_shingles", F.coalesce("component", "class").alias("c")))
     firsts = known.groupBy("c").agg(F.min("rep").alias("first"))

@@ -428,3 +428,36 @@ def test_open_lists_move_no_one_for_nothing(spark, monkeypatch):
     assert count(jaccard._open_lists(now, marks, 85)) == {(True, i): 5 for i in range(32, 40)} | {(False, i): 1 for i in range(40)}
     asking = spark.createDataFrame([(1, 35), (1, 3)], "sig long, rep long")
     assert count(jaccard._open_lists(now, marks, 85, asking)) == {(True, 35): 5, (True, 3): 5} | {(False, i): 1 for i in range(40)}
+
+
+def jobs_of(spark, run):
+    """What ``run`` gives, and how many jobs Spark began for it."""
+    group = f"count-{np.random.default_rng().integers(1 << 60)}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+@pytest.mark.parametrize("few", [0, 1, 20, 1000])
+def test_components_of_few_edges(spark, few):
+    """The same components whether rounds of jobs contract all edges, some, or none; few edges take no rounds."""
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 150, (120, 2))] + [(i, i + 1) for i in range(200, 240)] + [(7, 7), (0, 0), (None, 3), (3, 2), (2, 3)]
+    table = spark.createDataFrame(edges, "a long, b long")
+    want = {r["node"]: r["component"] for r in components(table).collect()}
+    got, jobs = jobs_of(spark, lambda: components(table, few))
+    assert {r["node"]: r["component"] for r in got.collect()} == want and got.count() == len(want)
+    assert few < 1000 or jobs <= 4
+    assert components(spark.createDataFrame([], "a long, b long"), few).count() == 0
+
+
+def test_jaccard_join_keeps_jobs_of_the_driver_few(spark, monkeypatch):
+    """Several turns of the search over a group that doesn't link; each job costs the driver its tasks' events."""
+    rows = near_but_apart()
+    monkeypatch.setattr(jaccard, "CHUNK", 16)
+    got, jobs = jobs_of(spark, lambda: jaccard.similar_documents(texts(spark, rows)).collect())
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == jaccard_brute(rows)
+    assert jobs <= 140  # 121; 174 when rounds of jobs merged a handful of edges and open lists were planned twice
