@@ -35,16 +35,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes of equal texts (a null text is empty): member(doc_id, key), classes(key, class, rep), once(class, doc_id, text).
+    """Classes of equal texts (a null text is empty): member(doc_id, key), classes(key, rep), once(key, doc_id, text).
 
-    ``rep`` is the smallest id of a class, null where all are null; ``class`` is 56 bits of the text's sha-256; ``once``
+    ``rep`` is the smallest id of a class, null where all are null; ``key`` is the text's whole sha-256; ``once``
     holds a row of each class with its ``rep``.
     """
     key = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
-    number = lambda k: F.conv(F.hex(F.substring(k, 1, 7)), 16, 10).cast("long")
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), "text")
     member = settle(keyed.select("doc_id", "key"))
-    classes = settle(member.groupBy("key").agg(F.min("doc_id").alias("rep")).withColumn("class", number("key")))
+    classes = settle(member.groupBy("key").agg(F.min("doc_id").alias("rep")))
     # The first id of a class stays.  Ids that go are few, so the texts needn't move where the optimizer can broadcast
     # them.  An id of several rows, or none, doesn't tell them apart; there the key decides.
     known = member.filter("doc_id is not null")
@@ -54,41 +53,57 @@ def distinct_texts(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     once = named.join(gone, "doc_id", "left_anti")
     unclear = named.join(several, "doc_id", "left_semi").unionByName(keyed.filter("doc_id is null"))
     unclear = unclear.join(classes, "key").filter(F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["key"]).select(once.columns)
-    return member, classes, once.union(unclear).select(number("key").alias("class"), "doc_id", "text")
+    return member, classes, once.union(unclear).select("key", "doc_id", "text")
+
+
+#: A text's number is its task's times this and its place in the task.
+TASK_TEXTS = 1 << 36
 
 
 def pack(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """block, classes, ids, ends, data: texts of docs(class, doc_id, text) in blocks; a null text is empty.  Written, so that blocks stay as they are."""
+    """block, numbers, ids, keys, ends, data: texts of docs(key, doc_id, text) in blocks, and a number of its own for each; a null text is empty.
+
+    ``ends`` says where texts end, ``data`` are their bytes, compressed.  Written, so that blocks and numbers stay as they are.
+    """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, made = TaskContext.get().partitionId(), 0
-        classes, ids, texts, size = [], [], [], 0
+        part, made, seen = TaskContext.get().partitionId(), 0, 0
+        ids, keys, texts, size = [], [], [], 0
 
         def block() -> pa.RecordBatch:
-            ends = np.cumsum([len(t) for t in texts], dtype=np.int64)
-            values = ([f"{part}-{made}"], [classes], [ids], [ends], [b"".join(texts)])
-            kinds = (pa.string(), *[pa.list_(pa.int64())] * 3, pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["block", "classes", "ids", "ends", "data"])
+            numbers = part * TASK_TEXTS + seen + np.arange(len(ids))
+            return block_row(f"{part}-{made}", numbers, ids, keys, np.cumsum([len(t) for t in texts], dtype=np.int64), b"".join(texts))
 
         for b in batches:
-            for c, i, t in zip(b.column("class").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
-                t = t or b""
+            for k, i, t in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id")), b.column("text").cast(pa.binary()), strict=True):
+                t = t.as_py() or b""
                 if ids and size + len(t) > block_bytes:
                     yield block()
-                    classes, ids, texts, size, made = [], [], [], 0, made + 1
-                classes.append(c)
+                    seen, made = seen + len(ids), made + 1
+                    ids, keys, texts, size = [], [], [], 0
                 ids.append(i)
+                keys.append(k)
                 texts.append(t)
                 size += len(t)
         if ids:
             yield block()
 
-    return settle(docs.select("class", "doc_id", "text").mapInArrow(packed, "block string, classes array<long>, ids array<long>, ends array<long>, data binary"))
+    return settle(docs.select("key", "doc_id", "text").mapInArrow(packed, BLOCK))
+
+
+BLOCK = "block string, numbers array<long>, ids array<long>, keys array<binary>, ends array<long>, data binary"
+_BLOCK_KINDS = {"block": pa.string(), "numbers": pa.list_(pa.int64()), "ids": pa.list_(pa.int64()), "keys": pa.list_(pa.binary()), "ends": pa.list_(pa.int64()), "data": pa.binary()}
+
+
+def block_row(block: str, numbers: np.ndarray, ids: list, keys: list[bytes], ends: np.ndarray, data: bytes) -> pa.RecordBatch:
+    values = (block, numbers, ids, keys, ends, pa.compress(data, "zstd", asbytes=True))
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, _BLOCK_KINDS.values(), strict=True)], list(_BLOCK_KINDS))
 
 
 def unpack(row: dict) -> tuple[np.ndarray, np.ndarray]:
     """Starts (one more than texts) and bytes of a block's row."""
-    return np.concatenate([[0], row["ends"]]).astype(np.int64), np.frombuffer(row["data"], np.uint8)
+    starts = np.concatenate([[0], row["ends"]]).astype(np.int64)
+    return starts, np.frombuffer(pa.decompress(row["data"], int(starts[-1]), "zstd", asbytes=True), np.uint8)
 
 
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -104,16 +119,21 @@ def bucket_edges(tokens: np.ndarray, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(tokens, firsts), len(tokens))
 
 
+def text_bytes(blocks: DataFrame) -> int:
+    return blocks.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
+
+
 def bucket_bits(blocks: DataFrame) -> int:
     """First bits of a token that name its bucket, from the size of the corpus."""
-    size = blocks.agg(F.sum(F.element_at("ends", -1))).first()[0] or 0
+    size = text_bytes(blocks)
     return min(24, max(LEAST_BITS, (size // BUCKET_BYTES).bit_length()))
 
 
 def frequency_codes(blocks: DataFrame, tokens_of: Callable[[dict], list[np.ndarray]]) -> DataFrame:
     """block, codes: an array of (bucket, codes of the block's sorted distinct tokens in that bucket).
 
-    ``tokens_of`` gives a sorted array of distinct uint64 tokens for each document of a block's row.
+    ``tokens_of`` gives arrays of uint64 tokens of a block's row, one for each document with each of its tokens once; or,
+    where occurrences count, any that hold a token as often as it occurs.
     """
     bits = bucket_bits(blocks)
 

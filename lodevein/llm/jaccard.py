@@ -212,9 +212,9 @@ def _numbers(group: pa.Table, *names: str) -> list[np.ndarray]:
 
 
 def join_classes(docs: DataFrame, gram: int = GRAM, top: int = TOP) -> tuple[DataFrame, DataFrame]:
-    """(rep, n_shingles) of every class, and edges (a, b) between classes that span the components of all links.
+    """(key, rep, n_shingles) of every text, and edges (a, b) between reps that span the components of all links.
 
-    docs(class, doc_id, text) holds each text once; rep is its class.
+    docs(key, doc_id, text) holds each text once; rep is its number.
     """
     if not 0 < gram <= len(_GRAM):
         raise ValueError(f"grams have 1 to {len(_GRAM)} words")
@@ -228,20 +228,20 @@ def join_classes(docs: DataFrame, gram: int = GRAM, top: int = TOP) -> tuple[Dat
             tokens = np.unique(np.concatenate(sets)) if sets else np.array([], np.uint64)
             code = B.codes_of(row)
             out: list[tuple] = []
-            for i, t in zip(row["classes"], sets, strict=True):
+            for key, i, t in zip(row["keys"], row["numbers"], sets, strict=True):
                 c = code[np.searchsorted(tokens, t)]
                 shared = t[c > 0]
                 # Whether any partner can share enough: all that later steps need of the others is their size.
                 if not len(t) or len(shared) < least_overlap(len(t), top):
-                    out.append((i, len(t), None, None, None, None))
+                    out.append((key, i, len(t), None, None, None, None))
                     continue
                 c = c[c > 0]
                 lists = float((0.5 ** ((c.astype(np.float64) - 1) / 2)).sum())  # this document's part of the number of lists
-                out.append((i, len(t), shared.tobytes(), c.tobytes(), lists, bits_of(shared, len(t))))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["rep", "size", "tokens", "codes", "lists", "bits"])
+                out.append((key, i, len(t), shared.tobytes(), c.tobytes(), lists, bits_of(shared, len(t))))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.float64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["key", "rep", "size", "tokens", "codes", "lists", "bits"])
 
-    found = settle(coded.mapInArrow(sized, "rep long, size long, tokens binary, codes binary, lists double, bits binary"))
+    found = settle(coded.mapInArrow(sized, "key binary, rep long, size long, tokens binary, codes binary, lists double, bits binary"))
     B.release()
     discard(packed, codes)
     near = found.filter("tokens is not null")
@@ -264,7 +264,7 @@ def join_classes(docs: DataFrame, gram: int = GRAM, top: int = TOP) -> tuple[Dat
     posts = signs.select("rep", F.explode("sigs").alias("s")).select("rep", "s.sig", "s.place")
     posts = settle(posts.join(posts.groupBy("sig").agg(F.count("*").alias("n")).filter("n > 1").select("sig"), "sig"))
     edges = _links_of(posts, near.select("rep", "size", "tokens"), near.select("rep", "size", (F.col("size") - F.length("tokens") / 8).cast("long").alias("alone"), "bits"), top)
-    return found.select("rep", F.col("size").alias("n_shingles")), edges
+    return found.select("key", "rep", F.col("size").alias("n_shingles")), edges
 
 
 def _with_components(posts: DataFrame, edges: DataFrame) -> DataFrame:
@@ -440,8 +440,8 @@ def similar_documents(docs: DataFrame, gram: int = GRAM, top: int = TOP) -> Data
     member, groups, once = B.distinct_texts(docs)
     sizes, edges = join_classes(once.filter("doc_id is not null"), gram, top)
     linked = components(edges, FEW_EDGES)
-    known = groups.filter("rep is not null").join(sizes.withColumnRenamed("rep", "class"), "class", "left").join(linked.withColumnRenamed("node", "class"), "class", "left")
-    known = settle(known.select("key", "rep", "n_shingles", F.coalesce("component", "class").alias("c")))
+    numbered = sizes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n_shingles", F.coalesce("component", "rep").alias("c"))
+    known = settle(groups.filter("rep is not null").join(numbered, "key"))
     firsts = known.groupBy("c").agg(F.min("rep").alias("first"))
     joined = member.join(known.join(firsts, "c").select("key", "n_shingles", "first"), "key", "left")
     size = F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_shingles", F.lit(0))).cast("long")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodevein.llm import decontam, embeddings, jaccard, langid, line_dedup, mixing, pii, secrets, substrings, toxicity
+from lodevein.llm import decontam, embeddings, jaccard, langid, line_dedup, mixing, pii, recompress, resample, secrets, substrings, toxicity, whitening
 from lodevein.llm.common import read
 
 
@@ -50,6 +50,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op11_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompress.summary(read(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -62,6 +74,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_mixing": op10_mixing,
+        "op11_recompression": op11_recompression,
+        "op12_whitening": op12_whitening,
+        "op13_resampling": op13_resampling,
     }
 
 
@@ -70,4 +85,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_line_dedup": line_dedup.PAGES_SQL,
         "op8_secret_scan": secrets.REPORT_SQL,
         "op10_mixing": mixing.MIX_SQL.format(docs="documents"),
+        "op13_resampling": resample.RESAMPLE_SQL,
     }

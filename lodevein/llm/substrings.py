@@ -189,14 +189,14 @@ def _bits(flags: np.ndarray) -> bytes:
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_code: int = HOT_CODE) -> DataFrame:
-    """class, n_bytes, n_removed, n_spans, kept_sha256, kept (null where nothing was removed) for docs(class, doc_id, text), each text once."""
+    """key, n_bytes, n_removed, n_spans, kept_sha256, kept (null where nothing was removed) for docs(key, doc_id, text), each text once."""
     packed = B.pack(docs)
 
     def tokens(row: dict) -> list[np.ndarray]:
         return [np.unique(m) for _, m in _pieces(row, length, gram)]
 
     codes = B.frequency_codes(packed, tokens)
-    buckets = max(64, int(packed.agg(F.sum(F.length("data"))).first()[0] or 0) >> 22)
+    buckets = max(64, B.text_bytes(packed) >> 22)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of two kinds: what a bucket gets of a block, and, of bucket -1, the block's layout; a document without shared windows is done."""
@@ -253,10 +253,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
                     "first": first.astype(np.int64).tobytes(), "count": count.astype(np.int16).tobytes(), "doc": kept_doc[doc].astype(np.int32).tobytes(), "string": place[string].astype(np.int32).tobytes(),
                     "later": _bits(ids[doc] > least[string]), "strings": size[unique[by_bucket]].astype(np.int16).tobytes(),
                 }
-            layout["done"] = [{"class": i, "n_bytes": len(raw), "sha": hashlib.sha256(raw).hexdigest()} for i, (raw, _), s in zip(row["classes"], pieces, some, strict=True) if not s]
-            layout["classes"] = [i for i, s in zip(row["classes"], some, strict=True) if s]
+            layout["done"] = [{"key": i, "n_bytes": len(raw), "sha": hashlib.sha256(raw).hexdigest()} for i, (raw, _), s in zip(row["keys"], pieces, some, strict=True) if not s]
+            layout["keys"] = [i for i, s in zip(row["keys"], some, strict=True) if s]
             layout["sizes"] = [len(raw) for (raw, _), s in zip(pieces, some, strict=True) if s]
-            layout["raw"] = b"".join(raw.tobytes() for (raw, _), s in zip(pieces, some, strict=True) if s)
+            layout["raw"] = pa.compress(b"".join(raw.tobytes() for (raw, _), s in zip(pieces, some, strict=True) if s), "zstd", asbytes=True)
             add(-1, row["block"], None, None, None, None, layout)
             kinds = {f.name: f.type for f in LAYOUT_ARROW}
             yield pa.RecordBatch.from_arrays([pa.array(out[x], kinds[x]) for x in out], list(out))
@@ -315,9 +315,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.rows(batches):
-            out = [(d["class"], d["n_bytes"], 0, 0, d["sha"], None) for d in row["done"]]
-            raw = np.frombuffer(row["raw"], np.uint8)
-            if row["classes"]:
+            out = [(d["key"], d["n_bytes"], 0, 0, d["sha"], None) for d in row["done"]]
+            raw = np.frombuffer(pa.decompress(row["raw"], sum(row["sizes"]), "zstd", asbytes=True), np.uint8)
+            if row["keys"]:
                 own = [np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=m["n"]) for m in row["masks"] or []]
                 flags = np.concatenate(own).astype(bool)
                 first, count, doc, string = (np.frombuffer(row[c], t).astype(np.int64) for c, t in (("first", np.int64), ("count", np.int16), ("doc", np.int32), ("string", np.int32)))
@@ -331,23 +331,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
                 place = np.repeat(base, count)[hit] + within[hit]
                 change = np.bincount(place, minlength=len(raw) + 1) - np.bincount(place + length, minlength=len(raw) + 1)[: len(raw) + 1]
                 gone = np.cumsum(change)[: len(raw)] > 0
-                for i, n, e in zip(row["classes"], row["sizes"], ends, strict=True):
+                for i, n, e in zip(row["keys"], row["sizes"], ends, strict=True):
                     g, r = gone[e - n : e], raw[e - n : e]
                     spans = int(np.count_nonzero(np.diff(g.view(np.int8), prepend=0) == 1))
                     kept = r[~g].tobytes()
                     out.append((i, n, int(g.sum()), spans, hashlib.sha256(kept).hexdigest(), kept if spans else None))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["class", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate(kinds)], ["key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return layouts.mapInArrow(finish, "class long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return layouts.mapInArrow(finish, "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-_PARTS = "first binary, count binary, doc binary, string binary, later binary, strings binary, done array<struct<class:long,n_bytes:long,sha:string>>, classes array<long>, sizes array<long>, raw binary"
+_PARTS = "first binary, count binary, doc binary, string binary, later binary, strings binary, done array<struct<key:binary,n_bytes:long,sha:string>>, keys array<binary>, sizes array<long>, raw binary"
 LAYOUT = f"{_SENT}, layout struct<{', '.join(f'{p.split()[0]}: {p.split()[1]}' for p in _PARTS.split(', '))}>"
-_DONE = pa.list_(pa.struct([("class", pa.int64()), ("n_bytes", pa.int64()), ("sha", pa.string())]))
+_DONE = pa.list_(pa.struct([("key", pa.binary()), ("n_bytes", pa.int64()), ("sha", pa.string())]))
 LAYOUT_ARROW = [
     pa.field("bucket", pa.int32()), pa.field("block", pa.string()), *[pa.field(c, pa.binary()) for c in ("names", "sizes", "docs", "data")],
-    pa.field("layout", pa.struct([(c, pa.binary()) for c in ("first", "count", "doc", "string", "later", "strings")] + [("done", _DONE), ("classes", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("raw", pa.binary())])),
+    pa.field("layout", pa.struct([(c, pa.binary()) for c in ("first", "count", "doc", "string", "later", "strings")] + [("done", _DONE), ("keys", pa.list_(pa.binary())), ("sizes", pa.list_(pa.int64())), ("raw", pa.binary())])),
 ]
 
 
@@ -355,7 +355,7 @@ def summary(docs: DataFrame, hot_code: int = HOT_CODE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every document."""
     member, classes, once = B.distinct_texts(docs)
     done = remove_repeats(once, hot_code=hot_code).drop("kept")
-    of_key = member.join(classes, "key").join(settle(done), "class")
+    of_key = member.join(classes, "key").join(settle(done), "key")
     # A later copy is covered by the first as a whole, if it has a window at all.
     later = F.col("rep").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("rep"))) & (F.col("n_bytes") >= LENGTH)
     return of_key.select(

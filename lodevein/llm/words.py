@@ -15,7 +15,8 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 #: Words end at any ASCII character that is no letter or digit.
 PUNCTUATION = np.array([not (48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 or c > 127) for c in range(256)])
 
-_LOWER = np.arange(256, dtype=np.uint64) + np.uint64(1)
+_SAME = np.arange(256, dtype=np.uint64) + np.uint64(1)
+_LOWER = _SAME.copy()
 _LOWER[65:91] += np.uint64(32)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -31,19 +32,25 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 _POWER, _BACK = _powers(_BASE, SEGMENT), _powers(_INVERSE, SEGMENT)
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray | None = None, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of UTF-8 bytes in order, A-Z as a-z, and where the words of each text begin (one entry more than texts).
-
-    ``starts`` says where texts begin in ``raw``, and last where it ends; ``breaks`` tells which bytes end a word.
-    """
-    starts = np.array([0, len(raw)]) if starts is None else starts
+def word_spans(raw: np.ndarray, starts: np.ndarray, breaks: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of UTF-8 bytes begin and end; ``starts`` says where texts begin in ``raw``, and last where it ends."""
     inside = ~breaks[raw]
     first, last = inside.copy(), inside.copy()
     new = np.zeros(len(raw) + 1, bool)
     new[starts] = True
     first[1:] &= ~inside[:-1] | new[1:-1]
     last[:-1] &= ~inside[1:] | new[1:-1]
-    begins, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def word_hashes(raw: np.ndarray, starts: np.ndarray | None = None, breaks: np.ndarray = SPACE, fold: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of UTF-8 bytes in order, A-Z as a-z if ``fold``, and where the words of each text begin (one entry more than texts).
+
+    ``starts`` says where texts begin in ``raw``, and last where it ends; ``breaks`` tells which bytes end a word.
+    """
+    starts = np.array([0, len(raw)]) if starts is None else starts
+    begins, ends = word_spans(raw, starts, breaks)
+    letters = _LOWER if fold else _SAME
     out = np.empty(len(begins), np.uint64)
     at = 0
     while at < len(begins):
@@ -52,7 +59,7 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray | None = None, breaks: np.nd
         n = int(ends[to - 1]) - lo
         power, back = (_POWER, _BACK) if n <= SEGMENT else (_powers(_BASE, n), _powers(_INVERSE, n))
         sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_LOWER[raw[lo : lo + n]] * power[:n], out=sums[1:])
+        np.cumsum(letters[raw[lo : lo + n]] * power[:n], out=sums[1:])
         s, e = begins[at:to] - lo, ends[at:to] - lo
         # A word's polynomial must not depend on its place: divide by the power at its start.
         out[at:to] = mix((sums[e] - sums[s]) * back[s] + (e - s).astype(np.uint64))
