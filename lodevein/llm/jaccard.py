@@ -435,14 +435,33 @@ def _compared(open_: DataFrame, sets: DataFrame, top: int) -> DataFrame:
     return todo.join(sets, "rep").groupBy(*_BLOCK).applyInArrow(rest, "a long, b long").distinct()
 
 
-def similar_documents(docs: DataFrame, gram: int = GRAM, top: int = TOP) -> DataFrame:
-    """doc_id, n_shingles, component_id for every document; links have ``top`` hundredths of the union of ``gram`` words in common."""
+def linked_texts(docs: DataFrame, gram: int = GRAM, top: int = TOP) -> tuple[DataFrame, DataFrame]:
+    """member(doc_id, key) of every row, and (key, rep, n_shingles, c) of every text that has an id: its smallest id, the size of its set and the number of its component."""
     member, groups, once = B.distinct_texts(docs)
     sizes, edges = join_classes(once.filter("doc_id is not null"), gram, top)
     linked = components(edges, FEW_EDGES)
     numbered = sizes.join(linked.withColumnRenamed("node", "rep"), "rep", "left").select("key", "n_shingles", F.coalesce("component", "rep").alias("c"))
-    known = settle(groups.filter("rep is not null").join(numbered, "key"))
+    return member, settle(groups.filter("rep is not null").join(numbered, "key"))
+
+
+def similar_documents(docs: DataFrame, gram: int = GRAM, top: int = TOP) -> DataFrame:
+    """doc_id, n_shingles, component_id for every document; links have ``top`` hundredths of the union of ``gram`` words in common."""
+    member, known = linked_texts(docs, gram, top)
     firsts = known.groupBy("c").agg(F.min("rep").alias("first"))
     joined = member.join(known.join(firsts, "c").select("key", "n_shingles", "first"), "key", "left")
     size = F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_shingles", F.lit(0))).cast("long")
     return joined.select("doc_id", size.alias("n_shingles"), F.when(size > 0, F.col("first")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def spare_documents(docs: DataFrame, gram: int = GRAM, top: int = TOP) -> tuple[DataFrame, DataFrame]:
+    """Rows that a corpus of one document for each component can do without, as pairs of id and sha-256 of the text: gone(doc_id, key) go as a whole, of again(doc_id, key) one row stays.
+
+    The row of the smallest id stays, of equal ids the one of the smallest digest.  An id alone doesn't name a row: other texts that bear it stay.
+    """
+    member, known = linked_texts(docs, gram, top)
+    full = known.filter("n_shingles > 0")
+    first = full.groupBy("c").agg(F.min(F.struct("rep", "key")).alias("first"))
+    named = member.filter("doc_id is not null").join(full.join(first, "c").select("key", "first"), "key")
+    rows = settle(named.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.first("first").alias("first")))
+    stays = (F.col("doc_id") == F.col("first.rep")) & (F.col("key") == F.col("first.key"))
+    return rows.filter(~stays).select("doc_id", "key"), rows.filter(stays & (F.col("n") > 1)).select("doc_id", "key")

@@ -2,6 +2,9 @@
 
 import zlib
 
+import hashlib
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -198,6 +201,45 @@ def test_stage_drops_near_copies_by_five_words(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4]
 
 
+def near_copies_brute(rows):
+    """What the Jaccard stage keeps of (id, text) rows, as the count of each: one row of each component, by plain comparison of all pairs."""
+    text_of = lambda t: t or ""
+    sets = {}
+    for _, t in rows:
+        w = re.findall("[^\x20\x09-\x0d]+", text_of(t).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        sets[text_of(t)] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    named = sorted({(i, text_of(t)) for i, t in rows if i is not None and sets[text_of(t)]}, key=lambda x: (x[0], hashlib.sha256(x[1].encode()).digest()))
+    link = {t: t for _, t in named}
+
+    def root(t):
+        while link[t] != t:
+            t = link[t]
+        return t
+
+    for k, a in enumerate(link):
+        for b in list(link)[:k]:
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                link[root(a)] = root(b)
+    first = {}
+    for i, t in named:
+        first.setdefault(root(t), (i, t))
+    out = [(i, t) for i, t in rows if i is None or not sets[text_of(t)]] + list(first.values())
+    return sorted((str(i), text_of(t)) for i, t in out)
+
+
+def test_stage_of_near_copies_against_brute_force(spark, stages):
+    """Also where an id bears several texts, of which one is a copy: the other stays."""
+    base = " ".join(f"t{k}" for k in range(60))
+    rows = [(r["doc_id"], r["text"]) for r in frame(spark).collect() if r["doc_id"] not in (7, 8)]
+    rows += [(51, base), (55, base), (55, "a text of its own that links to nothing at all"), (59, base + " tail"), (55, base), (51, base + " end"), (60, "x y z"), (60, "x y z")]
+    docs = texts(spark, rows)
+    got = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    assert got.columns == docs.columns and sorted((str(r["doc_id"]), r["text"] or "") for r in got.collect()) == near_copies_brute(rows)
+    before = [(r["doc_id"], r["text"]) for r in stages[2].collect()]
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in stages[3].collect()) == near_copies_brute(before)
+
+
 def test_stages_bear_odd_rows(spark):
     docs = frame(spark).select("doc_id", "text", "lang", "source", "n_chars", "key", "h")
     for _, f in corpus_pipeline.STAGES:
