@@ -22,7 +22,9 @@ from lodevein.llm.common import settle
 BLOCK_BYTES = 2 << 20
 #: Bytes of text whose tokens meet in a bucket, about; the number of buckets grows with the corpus.
 BUCKET_BYTES = 32 << 20
-LEAST_BITS = 8
+LEAST_BITS, MOST_BITS = 8, 19
+#: Tokens of a row to a bucket, about, and those of all rows of blocks that go together, at most.
+ROW_TOKENS, MOST_TOKENS = 32, 1 << 24
 
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
@@ -125,28 +127,42 @@ def text_bytes(blocks: DataFrame) -> int:
 
 def bucket_bits(blocks: DataFrame) -> int:
     """First bits of a token that name its bucket, from the size of the corpus."""
-    size = text_bytes(blocks)
-    return min(24, max(LEAST_BITS, (size // BUCKET_BYTES).bit_length()))
+    return min(MOST_BITS, max(LEAST_BITS, (text_bytes(blocks) // BUCKET_BYTES).bit_length()))
 
 
 def frequency_codes(blocks: DataFrame, tokens_of: Callable[[dict], list[np.ndarray]]) -> DataFrame:
-    """block, codes: an array of (bucket, codes of the block's sorted distinct tokens in that bucket).
+    """block, codes: a byte for each of the block's sorted distinct tokens.
 
     ``tokens_of`` gives arrays of uint64 tokens of a block's row, one for each document with each of its tokens once; or,
-    where occurrences count, any that hold a token as often as it occurs.
+    where occurrences count, any that hold a token as often as it occurs.  As buckets grow in number, more blocks of a task go
+    together, so that a row to a bucket holds some ``ROW_TOKENS`` tokens and rows grow with the corpus, not with its square.
     """
     bits = bucket_bits(blocks)
+    together = min(ROW_TOKENS << bits, MOST_TOKENS)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names: list[str] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            edges = np.stack([bucket_edges(t, bits) for t, _ in held])
+            parts = [((t >> np.uint64(32 - bits)).astype(np.uint32), np.minimum(n, 65535).astype(np.uint16)) for t, n in held]
+            some = np.flatnonzero((edges[:, 1:] > edges[:, :-1]).any(0)).tolist()
+            cut = lambda c: pa.array([b"".join([x[c][e[k] : e[k + 1]].tobytes() for x, e in zip(parts, edges, strict=True)]) for k in some], pa.binary())
+            lens = pa.array([(edges[:, k + 1] - edges[:, k]).astype(np.int32).tobytes() for k in some], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([",".join(names)] * len(some), pa.string()), lens, cut(0), cut(1)], ["bucket", "blocks", "lens", "rest", "counts"])
+
         for row in rows(batches):
             own = tokens_of(row)
-            tokens, counts = np.unique(np.concatenate(own) if own else np.array([], np.uint64), return_counts=True)
-            edges = bucket_edges(tokens, bits)
-            rest = (tokens >> np.uint64(32 - bits)).astype(np.uint32)
-            counts = np.minimum(counts, 65535).astype(np.uint16)
-            some = np.flatnonzero(edges[1:] > edges[:-1])
-            cut = lambda a: pa.array([a[edges[k] : edges[k + 1]].tobytes() for k in some], pa.binary())  # noqa: E731,B023
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([row["block"]] * len(some), pa.string()), cut(rest), cut(counts)], ["bucket", "block", "rest", "counts"])
+            held.append(np.unique(np.concatenate(own) if own else np.array([], np.uint64), return_counts=True))
+            names.append(row["block"])
+            size += len(held[-1][0])
+            if size >= together:
+                yield out()
+                names, held, size = [], [], 0
+        if names:
+            yield out()
 
     def count(group: pa.Table) -> pa.Table:
         blobs = group.column("rest").to_pylist()
@@ -162,20 +178,32 @@ def frequency_codes(blocks: DataFrame, tokens_of: Callable[[dict], list[np.ndarr
         back = np.empty(len(rest), np.uint8)
         back[order] = np.repeat(code, np.diff(np.append(starts, len(rest))))
         ends = np.cumsum([len(b) // 4 for b in blobs])
-        return pa.table({"bucket": group.column("bucket"), "block": group.column("block"), "codes": pa.array([back[e - len(b) // 4 : e].tobytes() for e, b in zip(ends, blobs, strict=True)], pa.binary())})
-
-    sent = blocks.mapInArrow(send, "bucket int, block string, rest binary, counts binary")
-    codes = sent.groupBy("bucket").applyInArrow(count, "bucket int, block string, codes binary")
+        codes = pa.array([back[e - len(b) // 4 : e].tobytes() for e, b in zip(ends, blobs, strict=True)], pa.binary())
+        return pa.table({"bucket": group.column("bucket"), "blocks": group.column("blocks"), "lens": group.column("lens"), "codes": codes})
+
+    def deal(group: pa.Table) -> pa.Table:
+        """Codes of the blocks that went together, from all buckets: by block, then by bucket."""
+        names = group.column("blocks")[0].as_py().split(",")
+        order = np.argsort(group.column("bucket").to_numpy(), kind="stable").tolist()
+        lens, codes = ([group.column(c)[k].as_py() for k in order] for c in ("lens", "codes"))
+        flat = np.frombuffer(b"".join(codes), np.uint8)
+        each = np.frombuffer(b"".join(lens), np.int32)
+        of = np.repeat(np.tile(np.arange(len(names), dtype=np.uint32), len(lens)), each)
+        ends = np.cumsum(np.bincount(of, minlength=len(names)))
+        flat = flat[np.argsort(of, kind="stable")]
+        return pa.table({"block": names, "codes": pa.array([flat[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)], pa.binary())})
+
+    sent = blocks.mapInArrow(send, "bucket int, blocks string, lens binary, rest binary, counts binary")
+    counted = sent.groupBy("bucket").applyInArrow(count, "bucket int, blocks string, lens binary, codes binary")
     # What a block gets back is a byte for each of its tokens.
-    out = settle(codes.groupBy("block").agg(F.collect_list(F.struct("bucket", "codes")).alias("codes")))
+    out = settle(counted.groupBy("blocks").applyInArrow(deal, "block string, codes binary"))
     release()
     return out
 
 
 def codes_of(row: dict) -> np.ndarray:
     """The codes of the block's sorted distinct tokens, in their order."""
-    parts = sorted((c["bucket"], c["codes"]) for c in row["codes"] or [])
-    return np.frombuffer(b"".join(c for _, c in parts), np.uint8)
+    return np.frombuffer(row["codes"] or b"", np.uint8)
 
 
 def release() -> None:

@@ -5,7 +5,8 @@ packed into blocks.  A window of 50 bytes is named by its minimizer, the least h
 windows have equal minimizers, so windows whose minimizer occurs in a single document (an exact count over the
 corpus) can't repeat and are dropped.  The others are cut into maximal runs of one minimizer, and the bytes of a run go, once
 for each block, to the bucket of that minimizer.  Windows of very frequent minimizers go one by one to a bucket of their
-own hash, so that no passage, however common, gathers its neighbours in one task.
+own hash, so that no passage, however common, gathers its neighbours in one task.  Hashes only bring strings together: the bytes of
+strings of one hash are compared, and different strings of one name, common or not, all go through the transform.
 
 In a bucket a Burrows-Wheeler transform of the runs is extended backward breadth first: a boundary between suffixes
 that have a common prefix of l bytes gives the boundaries of value l + 1 in front of them.  The expansion stops at the
@@ -110,6 +111,22 @@ def slice_hashes(raw: np.ndarray, size: np.ndarray) -> np.ndarray:
     return B.mix(np.add.reduceat(B.mix(raw.astype(np.uint64) + np.uint64(1)) * power[at], starts) + size.astype(np.uint64))
 
 
+def differ_from_last(data: np.ndarray, starts: np.ndarray, size: np.ndarray, order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Which strings, in this order, aren't the one before; equal keys are no proof, the bytes are."""
+    new = np.ones(len(order), bool)
+    a, b = order[:-1], order[1:]
+    alike = size[a] == size[b]
+    for k in keys:
+        alike &= k[a] == k[b]
+    pairs = np.flatnonzero(alike)
+    new[1:] = ~alike
+    if len(pairs):
+        n = size[a[pairs]]
+        apart = gather(data, starts[a[pairs]], n) != gather(data, starts[b[pairs]], n)
+        new[pairs[np.add.reduceat(apart.astype(np.int64), np.cumsum(n) - n) > 0] + 1] = True
+    return new
+
+
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """Suffix array of an integer text of distinct separators, by doubling."""
     n = len(text)
@@ -232,8 +249,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
                 name = np.where(name == 0, h, name)  # hot windows are named by their own hash
                 # Once for each block: the string with the smallest of its documents.
                 order = np.lexsort((ids[doc], h, name))
-                new = np.ones(len(order), bool)
-                new[1:] = (h[order][1:] != h[order][:-1]) | (name[order][1:] != name[order][:-1])
+                starts = np.cumsum(size) - size
+                new = differ_from_last(data, starts, size, order, h, name)
                 string = np.empty(len(order), np.int64)
                 string[order] = np.cumsum(new) - 1
                 unique = order[new]
@@ -242,7 +259,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
                 by_bucket = np.argsort(bucket, kind="stable")
                 place = np.empty(len(unique), np.int64)
                 place[by_bucket] = np.arange(len(unique))
-                starts = np.cumsum(size) - size
                 edges = np.flatnonzero(np.diff(bucket[by_bucket], prepend=-1))
                 for a, b in zip(edges, np.append(edges[1:], len(by_bucket)), strict=True):
                     u = by_bucket[a:b]
@@ -273,10 +289,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_
         data = np.frombuffer(b"".join(group.column("data").to_pylist()), np.uint8)
         starts = np.cumsum(size) - size
         h = slice_hashes(data, size)
-        # Equal strings of all blocks are one string with their smallest document.
+        # Equal strings of all blocks, byte for byte, are one string with their smallest document.
         order = np.lexsort((h, names))
-        new = np.ones(len(order), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (names[order][1:] != names[order][:-1])
+        new = differ_from_last(data, starts, size, order, h, names)
         begins = np.flatnonzero(new)
         string = np.empty(len(order), np.int64)
         string[order] = np.cumsum(new) - 1

@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodevein.llm import embeddings, jaccard, line_dedup, mixing, pii, secrets, substrings
+from lodevein.llm import blocks, embeddings, jaccard, line_dedup, mixing, pii, secrets, substrings
 from lodevein.llm.graph import components
+from lodevein.llm.words import word_hashes
 from tests.llm.data import SCHEMA, frame, texts
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -191,6 +192,39 @@ def test_equal_windows_against_dictionary():
         assert list(got) == [best[s[i : i + 5]] for s in own for i in range(len(s) - 4)]
 
 
+def test_strings_of_one_hash_are_told_apart_by_their_bytes():
+    rng = np.random.default_rng(3)
+    strings = [bytes(rng.integers(97, 99, int(rng.integers(1, 4))).astype(np.uint8)) for _ in range(60)]
+    size = np.array([len(x) for x in strings])
+    order = np.argsort(size, kind="stable")
+    same = np.zeros(60, np.uint64)
+    got = substrings.differ_from_last(np.frombuffer(b"".join(strings), np.uint8), np.cumsum(size) - size, size, order, same)
+    assert got.tolist() == [k == 0 or strings[order[k]] != strings[order[k - 1]] for k in range(60)]
+    assert substrings.differ_from_last(np.zeros(0, np.uint8), np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), same[:0]).tolist() == []
+
+
+@pytest.mark.parametrize("together", [1, 40, 1 << 20])
+def test_frequency_codes_of_blocks_that_go_together(spark, monkeypatch, together):
+    """Codes say how many documents hold a token, however many blocks share a row to a bucket."""
+    monkeypatch.setattr(blocks, "MOST_TOKENS", together)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 200)
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{k}" for k in rng.zipf(1.4, 12).clip(1, 90))) for i in range(120)]
+    once = texts(spark, rows).select(F.col("text").cast("binary").alias("key"), "doc_id", "text").coalesce(2)
+    packed = blocks.pack(once, 200)
+    tokens_of = lambda row: [np.unique(word_hashes(np.frombuffer(t.encode(), np.uint8))[0]) for i in row["ids"] for t in [dict(rows)[i]]]
+    held = defaultdict(int)
+    for _, t in rows:
+        for w in np.unique(word_hashes(np.frombuffer(t.encode(), np.uint8))[0]).tolist():
+            held[w] += 1
+    found = {r["block"]: np.frombuffer(r["codes"], np.uint8) for r in blocks.frequency_codes(packed, tokens_of).collect()}
+    all_ = packed.collect()
+    assert len(all_) > 10 and len({n for r in all_ for n in r["numbers"]}) == 120
+    for r in all_:
+        tokens = np.unique(np.concatenate(tokens_of(r.asDict())))
+        assert found[r["block"]].tolist() == [0 if held[w] == 1 else 1 + int(2 * np.log2(held[w])) for w in tokens.tolist()]
+
+
 def luhn(d):
     s = 0
     for i, c in enumerate(reversed(d)):
