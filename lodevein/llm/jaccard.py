@@ -310,7 +310,8 @@ def _pivot_links(now: DataFrame, sets: DataFrame, turn: int, top: int) -> DataFr
         hit = _links(_shared(own[p], own), size[p], size, top) & (ids != pivot)
         return pa.table({"a": np.full(int(hit.sum()), pivot), "b": ids[hit]})
 
-    at = F.xxhash64("rep", F.lit(turn))
+    # The member of the least place has the fewest tokens of its own, so most of a group link with it; later turns try any other.
+    at = F.struct("place" if not turn else F.lit(0).alias("place"), F.xxhash64("rep", F.lit(turn)))
     pivots = now.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("rep", "comp"), at).alias("p")).filter("lo < hi")
     votes = now.join(pivots, "sig").filter("comp != p.comp").groupBy("rep", F.col("p.rep").alias("pivot")).agg(F.count("*").alias("votes"))
     pairs = settle(votes.groupBy("rep").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("pivot")))
