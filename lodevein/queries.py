@@ -108,6 +108,54 @@ SELECT row_number() OVER (ORDER BY q DESC, descr)::INT AS rank, q AS quality, de
 """
 
 
+#: Attributes of the first sweep; each further one has twice as many, as long as there are that many.
+SWEEP_FROM, SWEEP_SIZE = 5, 5
+
+
+def attribute_sweep(spark: SparkSession, sf: str) -> DataFrame:
+    """The best subgroups of parts by who supplies them and who doesn't, for ever more suppliers as attributes."""
+    nodes, edges = X.parts(spark, sf), X.copurchase(spark, sf)
+    suppliers = X.table(spark, sf, "supplier").count()
+    sold = X.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("node_id")).agg(F.collect_set(F.col("l_suppkey").cast("int")).alias("by"))
+    known = nodes.join(sold, "node_id", "left").select(F.col("node_id").alias("node"), F.coalesce("by", F.array().cast("array<int>")).alias("by"))
+    out, count = [], SWEEP_FROM
+    with G.held(edges, known):
+        n, m = G.totals(nodes, edges)
+        while count <= suppliers:
+            every = F.sequence(F.lit(0), F.lit(count - 1))
+            ids = F.concat(F.transform(F.array_intersect("by", every), lambda s: 2 * s + 1), F.transform(F.array_except(every, F.col("by")), lambda s: 2 * s))
+            names = [f"s{s}={v}" for s in range(count) for v in (0, 1)]
+            found = search.beam_covers(known.select("node", ids.alias("ids")), edges, names, search.Task([], size=SWEEP_SIZE, depth=2), search.si_uniform, n, m)
+            out += [(count, *r) for r in found.collect()]  # as many as the search keeps
+            count *= 2
+    return spark.createDataFrame(out, "attributes int, rank int, quality double, descr string, n long, k long")
+
+
+SWEEP_SQL = f"""
+WITH {GRAPH}, sizes AS (SELECT a FROM (SELECT 5 * (1 << i) AS a FROM range(20) t(i)) WHERE a <= (SELECT count(*) FROM supplier)),
+has AS (
+  SELECT p_partkey AS node, s_suppkey AS s, (l_suppkey IS NOT NULL)::INT AS v FROM part CROSS JOIN supplier LEFT JOIN (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) ON l_partkey = p_partkey AND l_suppkey = s_suppkey
+  WHERE s_suppkey < (SELECT max(a) FROM sizes)
+), own AS (SELECT node, (2 * s + v)::INT AS x, s, 's' || s || '=' || v AS descr FROM has),
+k1 AS (SELECT a.x, count(*) AS k FROM edges JOIN own a ON a.node = src JOIN own b ON b.node = dst AND b.x = a.x GROUP BY 1),
+l1 AS (SELECT x, s, any_value(descr) AS descr, count(*) AS n, any_value(coalesce(k, 0)) AS k FROM own LEFT JOIN k1 USING (x) GROUP BY x, s),
+q1 AS (SELECT a, x, descr, n, k, {_SI1} AS q FROM l1 JOIN sizes ON s < a, tot),
+seeds AS (SELECT * FROM q1 WHERE q > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY q DESC, descr) <= {SWEEP_SIZE}),
+firsts AS (SELECT DISTINCT x FROM seeds),
+held AS (SELECT node, o.x, t.x AS y FROM own o JOIN firsts USING (x) JOIN own t USING (node) WHERE o.x <> t.x),
+n2 AS (SELECT x, y, count(*) AS n FROM held GROUP BY ALL),
+inner_ AS (SELECT src, dst, a.x FROM edges JOIN own a ON a.node = src JOIN firsts USING (x) JOIN own b ON b.node = dst AND b.x = a.x),
+k2 AS (SELECT i.x, a.x AS y, count(*) AS k FROM inner_ i JOIN own a ON a.node = src JOIN own b ON b.node = dst AND b.x = a.x GROUP BY ALL),
+pairs AS (
+  SELECT DISTINCT a, least(e.descr, y.descr) || ' AND ' || greatest(e.descr, y.descr) AS descr, n2.n, coalesce(k2.k, 0) AS k
+  FROM seeds e JOIN n2 USING (x) JOIN l1 y ON y.x = n2.y AND y.s < a LEFT JOIN k2 ON k2.x = n2.x AND k2.y = n2.y
+), q2 AS (SELECT a, descr, n, k, CASE WHEN n = 1 THEN 0 ELSE round({_ic('k', 'n * (n - 1)', f'n * (n - 1) * {_P}')} / (0.3::DOUBLE * 2 + 0.5::DOUBLE), 6) END AS q FROM pairs, tot),
+both_ AS (SELECT a, descr, n, k, q FROM seeds UNION ALL SELECT a, descr, n, k, q FROM q2 WHERE q > 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY q DESC, descr) AS rank FROM both_)
+SELECT a::INT AS attributes, rank::INT AS rank, q AS quality, descr, n::BIGINT AS n, k::BIGINT AS k FROM best WHERE rank <= {SWEEP_SIZE}
+"""
+
+
 def _pairs(spark: SparkSession, sf: str, constrained: bool) -> DataFrame:
     nodes, edges = X.parts(spark, sf), X.copurchase(spark, sf)
     sel = part_selectors(nodes)
@@ -589,7 +637,7 @@ SDQ = {name: _sd(e) for name, (e, _) in SD.items()}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [graph_density, graph_margins, graph_degree_hist, prior_uniform, prior_degree, prior_degree_directed, prior_rectangular, prior_block, pattern_update, selectors_nominal, selectors_numeric, selectors_auto, numeric_one_sided, quartile_store, vote_store, sgd_si_level1, sgd_si_beam, sgd_iaodf, bi_beam, bi_beam_constrained, sd_stats_numeric, sd_standard_numeric, sd_dfs_numeric_bound, post_minimum_quality, post_unique_attributes, post_jaccard, post_roc, enrichment_fisher, summary_split_scores, summary_blocks, block_density, tags_topk, multihot, country_tokens, json_explode, coo_sum, subsample, topics_pca, clusters, dbscan, mrd_rows]
+    own = [graph_density, graph_margins, graph_degree_hist, prior_uniform, prior_degree, prior_degree_directed, prior_rectangular, prior_block, pattern_update, selectors_nominal, selectors_numeric, selectors_auto, numeric_one_sided, quartile_store, vote_store, sgd_si_level1, sgd_si_beam, attribute_sweep, sgd_iaodf, bi_beam, bi_beam_constrained, sd_stats_numeric, sd_standard_numeric, sd_dfs_numeric_bound, post_minimum_quality, post_unique_attributes, post_jaccard, post_roc, enrichment_fisher, summary_split_scores, summary_blocks, block_density, tags_topk, multihot, country_tokens, json_explode, coo_sum, subsample, topics_pca, clusters, dbscan, mrd_rows]
     return {
         **{f.__name__: f for f in own},
         **{name: _measure(e, t) for name, (e, t, _) in MEASURES.items()},
@@ -628,6 +676,7 @@ def oracle_sql() -> dict[str, str]:
         "vote_store": " UNION ALL ".join(f"SELECT {i}::INT AS cut, count(*)::BIGINT AS n FROM customer WHERE {c}" for i, c in enumerate(("c_acctbal >= 0", "c_acctbal <= 0", "c_acctbal >= 4500", "c_acctbal <= 4500"))),
         "sgd_si_level1": f"WITH {GRAPH} SELECT descr, n::BIGINT AS n, k::BIGINT AS k, {_SI1} AS si FROM stats, tot",
         "sgd_si_beam": BEAM_SQL,
+        "attribute_sweep": SWEEP_SQL,
         "sgd_iaodf": f"WITH {GRAPH}, e AS (SELECT src AS node, dst AS other FROM edges UNION ALL SELECT dst, src FROM edges), d AS (SELECT s.descr, e.node, count(*)::DOUBLE AS deg, count(o.descr)::DOUBLE AS ins FROM e JOIN covers s USING (node) LEFT JOIN covers o ON o.node = e.other AND o.descr = s.descr GROUP BY ALL) SELECT descr, round(1 - coalesce(x, 0) / n, 6) AS value FROM stats LEFT JOIN (SELECT descr, sum((deg - ins) / deg) AS x FROM d GROUP BY 1) USING (descr)",
         **{name: f"WITH {GRAPH} SELECT descr, round({sql}, 6) AS value FROM stats, tot" for name, (_, _, sql) in MEASURES.items()},
         "bi_si_level1": _pairs_sql(False),
