@@ -13,7 +13,7 @@ from lodevein.functions.selectors import Nominal, cover, selector_table
 from lodevein.operators import graph_stats as G
 from lodevein.operators import model as M
 from lodevein.operators import post, prep
-from lodevein.plans import mining, search
+from lodevein.plans import mining, search, summarize
 from lodevein.sources import fixtures as X
 from lodevein.sources.readers import venues
 
@@ -90,6 +90,35 @@ b AS (SELECT *, round({_ic('k', 'n * (n - 1)', 'p')} / (0.3::DOUBLE * 1 + 0.5::D
 SELECT 1::INT AS round, descr, n::BIGINT AS n, k::BIGINT AS k, round(p, 3) AS expected, round(q, 4) AS quality FROM a UNION ALL SELECT 2::INT, descr, n::BIGINT, k::BIGINT, round(p, 3), round(q, 4) FROM b"""
 
 
+def summary_degree(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores of the first split by every brand under the degree prior."""
+    nodes, edges = _graph(spark, sf)
+    support, sel = Q0._brand_support(nodes)
+    with G.held(edges):
+        model = M.degree(nodes, edges)
+        blocks = nodes.select(F.col("node_id").alias("node"), F.lit(0).alias("block"))
+        scores = summarize.split_scores(edges, blocks, support, model, {})
+        return scores.join(F.broadcast(selector_table(spark, sel)), scores["cut"] == F.col("sg")).select("descr", F.round("si", 3).alias("si"))
+
+
+#: Each of the four pairs of blocks gets its parameter by Newton's steps over the pairs of degree classes.
+SUMMARY_DEGREE_SQL = f"""{PRIOR}, c AS (SELECT descr, x, h FROM g WHERE attr = 'p_brand'), u AS (SELECT x, count(*)::DOUBLE AS h FROM px GROUP BY 1),
+side AS (SELECT d.descr, u.x, coalesce(c.h, 0) AS a, u.h - coalesce(c.h, 0) AS b FROM (SELECT DISTINCT descr FROM c) d CROSS JOIN u LEFT JOIN c ON c.descr = d.descr AND c.x = u.x),
+cell AS (
+  SELECT s.descr, part, CASE part WHEN 0 THEN s.a * t.a - CASE WHEN s.x = t.x THEN s.a ELSE 0 END WHEN 1 THEN s.a * t.b WHEN 2 THEN s.b * t.a ELSE s.b * t.b - CASE WHEN s.x = t.x THEN s.b ELSE 0 END END AS w, exp(s.x + t.x) AS o
+  FROM side s JOIN side t ON s.descr = t.descr CROSS JOIN range(4) r(part)),
+want AS (SELECT descr, part, CASE part WHEN 0 THEN k WHEN 1 THEN o - k WHEN 2 THEN i - k ELSE (SELECT m FROM tot) - o - i + k END::DOUBLE AS k FROM stats CROSS JOIN range(4) r(part) WHERE attr = 'p_brand'),
+odds AS (SELECT descr, part, o, sum(w) AS w FROM cell WHERE w > 0 GROUP BY ALL),
+lists AS (SELECT descr, part, list(o) AS os, list(w) AS ws FROM odds GROUP BY ALL),
+newton AS (
+  SELECT descr, part, os, ws, k, 0 AS i, 1.0::DOUBLE AS f FROM lists JOIN want USING (descr, part)
+  UNION ALL
+  SELECT descr, part, os, ws, k, i + 1, f * exp(greatest(-1.0, least(1.0,
+    (k - list_sum(list_transform(range(1, len(os) + 1), lambda j: ws[j] * os[j] * f / (1 + os[j] * f)))) / list_sum(list_transform(range(1, len(os) + 1), lambda j: ws[j] * os[j] * f / pow(1 + os[j] * f, 2)))))) FROM newton WHERE i < 14
+), ic AS (SELECT descr, CASE WHEN k = 0 THEN list_sum(list_transform(range(1, len(os) + 1), lambda j: ws[j] * ln(1 + os[j]))) ELSE k * ln(f) - list_sum(list_transform(range(1, len(os) + 1), lambda j: ws[j] * ln((1 + os[j] * f) / (1 + os[j])))) END AS v FROM newton WHERE i = 14)
+SELECT descr, round(sum(v) / 55, 3) AS si FROM ic GROUP BY 1"""
+
+
 def summary_contents(spark: SparkSession, sf: str) -> DataFrame:
     """Parameter and information content of every pair of part types under the uniform prior."""
     nodes, edges = _graph(spark, sf)
@@ -221,7 +250,7 @@ def bit_places(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [bi_si_degree, model_row, mining_rounds, summary_contents, summary_replay, sd_ga_numeric, sd_chi_weighted, sd_numeric_top_k, synthetic_graphs, venue_table, dense_ids, dbscan_clusters, result_statistics, np_space, roc_grid, price_histogram, block_members, bit_places]
+    own = [bi_si_degree, model_row, mining_rounds, summary_degree, summary_contents, summary_replay, sd_ga_numeric, sd_chi_weighted, sd_numeric_top_k, synthetic_graphs, venue_table, dense_ids, dbscan_clusters, result_statistics, np_space, roc_grid, price_histogram, block_members, bit_places]
     return {**{f.__name__: f for f in own}, **{f"sgd_si_{k}": _single(k) for k in ("degree", "blocks")}}
 
 
@@ -240,6 +269,7 @@ def oracle_sql() -> dict[str, str]:
         "bi_si_degree": PAIRS_SQL,
         "model_row": f"{PRIOR} SELECT b.node AS dst, round(CASE WHEN b.node = 1 THEN 0 ELSE 1 / (1 + exp(-a.x - b.x)) END, 5) AS p FROM px a, px b WHERE a.node = 1",
         "mining_rounds": MINING_SQL,
+        "summary_degree": SUMMARY_DEGREE_SQL,
         "summary_contents": CONTENTS_SQL,
         "summary_replay": REPLAY_SQL,
         "sd_ga_numeric": GA_NUMERIC_SQL,

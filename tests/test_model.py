@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodevein.functions.selectors import Nominal, cover
 from lodevein.operators import model as M
 from lodevein.operators import post, prep
-from lodevein.plans import mining, search
+from lodevein.plans import mining, search, summarize
 from lodevein.sources import readers
 
 
@@ -203,3 +203,56 @@ def test_plot_frames(spark):
     assert row["p"] == "12.3%" and row["b"] == [0, 1, 3]
     ids = nodes.select(F.col("node_id").alias("node"))
     assert post.outside(ids, ids.filter("node < 20")).count() == 4
+
+
+@pytest.mark.parametrize("kind", ["uniform", "degree", "blocks"])
+def test_summary_under_a_model_against_dense_cells(spark, kind):
+    """Three splits; every pair of blocks gets its parameter anew from dense arrays of cells."""
+    rng = np.random.default_rng(12)
+    n = 36
+    label = rng.integers(0, 3, n)
+    cells = rng.random((n, n)) < np.where(label[:, None] == label, 0.55, 0.12)
+    cells[:4] |= rng.random((4, n)) < 0.5
+    cells = np.triu(cells, 1)
+    cells |= cells.T
+    nodes = spark.createDataFrame([(i, f"l{v}") for i, v in enumerate(label.tolist())], "node_id long, label string")
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in np.argwhere(cells)], "src long, dst long")
+    held = rng.random((7, n)) < 0.45
+    held[0], held[1] = label == 0, label == 1
+    support = spark.createDataFrame([(int(c), int(i)) for c, i in np.argwhere(held)], "cut int, node long")
+    model = M.fit(kind, nodes, edges, **({"label": "label"} if kind == "blocks" else {}))
+    p = np.zeros((n, n))
+    for r in model.dense().collect():
+        p[r["src"], r["dst"]] = r["p"]
+
+    def content(a, b):
+        x, q = cells[np.ix_(a, b)], p[np.ix_(a, b)]
+        use = (q > 0) & (np.array(a)[:, None] != np.array(b))
+        k, q = x[use].sum(), q[use]
+        if not len(q):
+            return 0.0
+        if k == 0 or k == len(q):
+            return float(-np.log(1 - q if k == 0 else q).sum())
+        low, high = -40.0, 40.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (q * np.exp(mid) / (1 - q + q * np.exp(mid))).sum() < k else (low, mid)
+        return float(k * low - np.log(1 - q + q * np.exp(low)).sum())
+
+    blocks, want = {0: list(range(n))}, []
+    for i in range(1, 4):
+        found = []
+        for b, members in blocks.items():
+            for c in range(7):
+                inner, outer = [v for v in members if held[c, v]], [v for v in members if not held[c, v]]
+                if inner and outer:
+                    new = [inner, outer, *(m for o, m in blocks.items() if o != b)]
+                    size = len(new)
+                    found.append((-round(sum(content(x, y) for x in new for y in new) / (size * (size + 1) / 2 + size + 50), 6), b, c, inner, outer))
+        si, b, c, inner, outer = min(found)
+        want.append((i, -si, c, b))
+        blocks[b], blocks[i] = inner, outer
+    got, done = summarize.summarize(nodes, edges, support, model)
+    assert [(i, c, b) for i, _, c, b in done] == [(i, c, b) for i, _, c, b in want]
+    assert np.allclose([d[1] for d in done], [w[1] for w in want], atol=2e-6)
+    assert {(r["node"], r["block"]) for r in got.collect()} == {(v, b) for b, members in blocks.items() for v in members}
