@@ -90,6 +90,33 @@ b AS (SELECT *, round({_ic('k', 'n * (n - 1)', 'p')} / (0.3::DOUBLE * 1 + 0.5::D
 SELECT 1::INT AS round, descr, n::BIGINT AS n, k::BIGINT AS k, round(p, 3) AS expected, round(q, 4) AS quality FROM a UNION ALL SELECT 2::INT, descr, n::BIGINT, k::BIGINT, round(p, 3), round(q, 4) FROM b"""
 
 
+def mining_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The pair of subgroups whose mutual edges surprise most, and the best pair once the model knows it."""
+    nodes, edges = _graph(spark, sf)
+    found, _ = mining.mine_pairs(nodes, edges, search.Task(Q0.part_selectors(nodes), size=5, depth=1), M.uniform(nodes, edges), rounds=2)
+    return found.select("round", "descr", "descr2", "n", "k", F.round("expected", 3).alias("expected"), F.round("quality", 4).alias("quality"))
+
+
+#: Cells of the stored pair shift once, those that lie in both orientations of it twice; the parameter comes from Newton's steps.
+MINING_PAIRS_SQL = f"""
+WITH RECURSIVE {GRAPH}, sizes AS (SELECT descr, count(*)::DOUBLE AS n FROM covers GROUP BY ALL),
+kk AS (SELECT s.descr AS a, d.descr AS b, count(*) AS k FROM edges e JOIN covers s ON s.node = e.src JOIN covers d ON d.node = e.dst GROUP BY ALL),
+cc AS (SELECT s.descr AS a, d.descr AS b, count(*) AS c FROM covers s JOIN covers d ON s.node = d.node GROUP BY ALL),
+base AS (SELECT x.descr, y.descr AS descr2, coalesce(k, 0)::DOUBLE AS k, x.n * y.n - coalesce(c, 0) AS n, {_P} AS p FROM sizes x JOIN sizes y ON x.descr <> y.descr LEFT JOIN kk ON kk.a = x.descr AND kk.b = y.descr LEFT JOIN cc ON cc.a = x.descr AND cc.b = y.descr CROSS JOIN tot),
+one AS (SELECT *, round({_ic('k', 'n', 'n * p')} / (0.3::DOUBLE * 2 + 0.5::DOUBLE), 6) AS q FROM base), first_ AS (SELECT * FROM one ORDER BY q DESC, descr, descr2 LIMIT 1),
+flags AS (SELECT p_partkey AS node, ('p_brand=' || p_brand = f.descr OR 'p_type=' || p_type = f.descr)::INT AS ia, ('p_brand=' || p_brand = f.descr2 OR 'p_type=' || p_type = f.descr2)::INT AS ib FROM part, first_ f),
+two_ AS (SELECT f.p / (1 - f.p) AS o, f.k, f.n - z.c * (z.c - 1) AS n1, z.c * (z.c - 1) AS n2 FROM first_ f, (SELECT sum(ia * ib)::DOUBLE AS c FROM flags) z),
+newton AS (SELECT 0 AS i, 1.0::DOUBLE AS f, o, k, n1, n2 FROM two_
+  UNION ALL SELECT i + 1, f * exp((k - n1 * o * f / (1 + o * f) - n2 * o * f * f / (1 + o * f * f)) / (n1 * o * f / pow(1 + o * f, 2) + 2 * n2 * o * f * f / pow(1 + o * f * f, 2))), o, k, n1, n2 FROM newton WHERE i < 20),
+now AS (SELECT o * f / (1 + o * f) AS q1, o * f * f / (1 + o * f * f) AS q2 FROM newton WHERE i = 20),
+own AS (SELECT descr, sum(ia)::DOUBLE AS a, sum(ib)::DOUBLE AS b, sum(ia * ib)::DOUBLE AS ab FROM covers JOIN flags USING (node) GROUP BY 1),
+mid AS (SELECT s.descr, d.descr AS descr2, sum(ia * ib)::DOUBLE AS dd FROM covers s JOIN covers d USING (node) JOIN flags USING (node) GROUP BY ALL),
+hit AS (SELECT o.*, x.a * y.b + x.b * y.a - 2 * x.ab * y.ab AS x1, x.ab * y.ab - coalesce(dd, 0) AS x2 FROM one o JOIN own x ON x.descr = o.descr JOIN own y ON y.descr = o.descr2 LEFT JOIN mid m ON m.descr = o.descr AND m.descr2 = o.descr2),
+next_ AS (SELECT descr, descr2, k, n, (n - x1 - x2) * p + x1 * q1 + x2 * q2 AS p FROM hit, now),
+second_ AS (SELECT *, round({_ic('k', 'n', 'p')} / (0.3::DOUBLE * 2 + 0.5::DOUBLE), 6) AS q FROM next_ ORDER BY q DESC, descr, descr2 LIMIT 1)
+SELECT 1::INT AS round, descr, descr2, n::BIGINT AS n, k::BIGINT AS k, round(n * p, 3) AS expected, round(q, 4) AS quality FROM first_ UNION ALL SELECT 2::INT, descr, descr2, n::BIGINT, k::BIGINT, round(p, 3), round(q, 4) FROM second_"""
+
+
 def summary_degree(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of the first split by every brand under the degree prior."""
     nodes, edges = _graph(spark, sf)
@@ -250,7 +277,7 @@ def bit_places(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [bi_si_degree, model_row, mining_rounds, summary_degree, summary_contents, summary_replay, sd_ga_numeric, sd_chi_weighted, sd_numeric_top_k, synthetic_graphs, venue_table, dense_ids, dbscan_clusters, result_statistics, np_space, roc_grid, price_histogram, block_members, bit_places]
+    own = [bi_si_degree, model_row, mining_rounds, mining_pairs, summary_degree, summary_contents, summary_replay, sd_ga_numeric, sd_chi_weighted, sd_numeric_top_k, synthetic_graphs, venue_table, dense_ids, dbscan_clusters, result_statistics, np_space, roc_grid, price_histogram, block_members, bit_places]
     return {**{f.__name__: f for f in own}, **{f"sgd_si_{k}": _single(k) for k in ("degree", "blocks")}}
 
 
@@ -269,6 +296,7 @@ def oracle_sql() -> dict[str, str]:
         "bi_si_degree": PAIRS_SQL,
         "model_row": f"{PRIOR} SELECT b.node AS dst, round(CASE WHEN b.node = 1 THEN 0 ELSE 1 / (1 + exp(-a.x - b.x)) END, 5) AS p FROM px a, px b WHERE a.node = 1",
         "mining_rounds": MINING_SQL,
+        "mining_pairs": MINING_PAIRS_SQL,
         "summary_degree": SUMMARY_DEGREE_SQL,
         "summary_contents": CONTENTS_SQL,
         "summary_replay": REPLAY_SQL,

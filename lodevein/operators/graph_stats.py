@@ -62,18 +62,19 @@ def margins(nodes: DataFrame, edges: DataFrame, key: str = "node_id") -> DataFra
     return nodes.select(F.col(key).alias("node")).join(sums, "node", "left").select("node", F.coalesce("out_degree", zero).alias("out_degree"), F.coalesce("in_degree", zero).alias("in_degree"))
 
 
-def by_cover(edges: DataFrame, covers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Nodes of the same groups as one node(node, ids, size), named by the least of them, and the edges(src, dst, times) between these.
+def by_cover(edges: DataFrame, covers: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes of the same groups (and columns ``more``) as one node(node, ids, size, more), named by the least of them, and the edges(src, dst, times) between these.
 
     All counts of groups follow from them, in one pass over the edges.  Tables of nodes are never broadcast.
     """
+    keys = ["ids", *more]
     some = covers.filter(F.size("ids") > 0)
-    classes = some.groupBy("ids").agg(F.min("node").alias("class"), F.count("*").alias("size"))
-    of = some.join(classes.select("ids", "class"), "ids").select("node", "class")
-    end = lambda c: of.select(F.col("node").alias(c), F.col("class").alias(f"{c}_class")).hint("merge")
+    classes = some.groupBy(*keys).agg(F.min("node").alias("least"), F.count("*").alias("size"))
+    of = some.join(classes.select(*keys, "least"), keys).select("node", "least")
+    end = lambda c: of.select(F.col("node").alias(c), F.col("least").alias(f"{c}_least")).hint("merge")
     both = edges.select("src", "dst").join(end("src"), "src").join(end("dst"), "dst")
-    between = both.groupBy(F.col("src_class").alias("src"), F.col("dst_class").alias("dst")).agg(F.count("*").alias("times"))
-    return classes.select(F.col("class").alias("node"), "ids", "size"), between
+    between = both.groupBy(F.col("src_least").alias("src"), F.col("dst_least").alias("dst")).agg(F.count("*").alias("times"))
+    return classes.select(F.col("least").alias("node"), "ids", "size", *more), between
 
 
 def annotate(edges: DataFrame, groups: DataFrame, right: DataFrame | None = None) -> DataFrame:

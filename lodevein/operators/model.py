@@ -31,7 +31,9 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def _exploded(groups: DataFrame, name: str) -> DataFrame:
-    return groups.select("node", F.explode("ids").alias(name))
+    """node, size, group: a node that stands for several has their number as its size."""
+    size = F.col("size") if "size" in groups.columns else F.lit(1).cast("long")
+    return groups.select("node", size.alias("size"), F.explode("ids").alias(name))
 
 
 @dataclass
@@ -55,13 +57,13 @@ class Background:
             own = shared.value[np.ix_(c, c)]
             return pa.table({"sg": group.column("sg")[:1], "p": [float(n @ own @ n - n @ np.diag(own))]})
 
-        counts = _exploded(groups, "sg").join(self.nodes, "node").groupBy("sg", "class").agg(F.count("*").alias("n"))
+        counts = _exploded(groups, "sg").join(self.nodes, "node").groupBy("sg", "class").agg(F.sum("size").alias("n"))
         return counts.groupBy("sg").applyInArrow(one, "sg int, p double")
 
     def expected_pairs(self, left: DataFrame, right: DataFrame) -> DataFrame:
         """a, b, p: expected edges from group a to group b, for all pairs of groups that have members."""
         spark = self.nodes.sparkSession
-        count = lambda g, name: _exploded(g, name).join(self.nodes, "node").groupBy(name, "class").agg(F.count("*").alias("n"))
+        count = lambda g, name: _exploded(g, name).join(self.nodes, "node").groupBy(name, "class").agg(F.sum("size").alias("n"))
         rows = count(right, "b").limit(MOST_CELLS + 1).collect()
         names = sorted({r["b"] for r in rows})
         if len(names) * len(self.logit) > MOST_CELLS:
@@ -79,7 +81,7 @@ class Background:
 
         cells = count(left, "a").groupBy("a").applyInArrow(one, "a int, b int, p double")
         alone = spark.createDataFrame([(i, float(p)) for i, p in enumerate(np.diag(self.probabilities()))], "class int, self double")
-        common = _exploded(left, "a").join(_exploded(right, "b"), "node").join(self.nodes, "node").join(alone, "class").groupBy("a", "b").agg(F.sum("self").alias("self"))
+        common = _exploded(left, "a").join(_exploded(right, "b").drop("size"), "node").join(self.nodes, "node").join(alone, "class").groupBy("a", "b").agg(F.sum(F.col("self") * F.col("size")).alias("self"))
         return cells.join(common, ["a", "b"], "left").select("a", "b", (F.col("p") - F.coalesce("self", F.lit(0.0))).alias("p"))
 
     def cells(self, pairs: DataFrame) -> DataFrame:

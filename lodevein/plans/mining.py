@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from lodevein.functions.selectors import Selector, cover, covers_all
 from lodevein.operators.graph_stats import held
 from lodevein.operators.model import Background, _cut
-from lodevein.plans.search import Task, beam_graph, si_model
+from lodevein.plans.search import Task, beam_graph, beam_pairs, si_model
 
 
 def mine(nodes: DataFrame, edges: DataFrame, task: Task, model: Background, rounds: int = 5, key: str = "node_id") -> tuple[DataFrame, Background]:
@@ -31,6 +31,28 @@ def mine(nodes: DataFrame, edges: DataFrame, task: Task, model: Background, roun
     return spark.createDataFrame(found, "round int, descr string, n long, k long, expected double, quality double, lambda double"), model
 
 
+def mine_pairs(nodes: DataFrame, edges: DataFrame, task: Task, model: Background, rounds: int = 3, outer: int = 8, constrained: bool = False, key: str = "node_id") -> tuple[DataFrame, Background]:
+    """round, descr, descr2, n, k, expected, quality, lambda of the best pair of subgroups of each round, and the last model; stops where nothing surprises.
+
+    A pair that is stored splits the classes of nodes by membership on both sides, so the next round's beams count on what the model believes by then.
+    """
+    spark = nodes.sparkSession
+    by_text = {s.descr: s for s in task.selectors}
+    members = lambda descr: nodes.filter(covers_all([by_text[x] for x in descr.split(" AND ")])).select(F.col(key).alias("node"))
+    found = []
+    with held(edges):
+        n, m = nodes.count(), edges.count()
+        for i in range(rounds):
+            best = beam_pairs(nodes, edges, task, n, m, outer=outer, constrained=constrained, model=model).orderBy("rank").limit(1).collect()
+            if not best:
+                break
+            b = best[0]
+            model, shift, before, _ = model.pattern(members(b["descr"]), members(b["descr2"]), b["k"])
+            model.nodes = _cut(model.nodes)
+            found.append((i + 1, b["descr"], b["descr2"], b["n"], b["k"], before, b["quality"], shift))
+    return spark.createDataFrame(found, "round int, descr string, descr2 string, n long, k long, expected double, quality double, lambda double"), model
+
+
 def block_contents(edges: DataFrame, blocks: DataFrame, model: Background) -> DataFrame:
     """bi, bj, k, n, expected, lambda, ic for every ordered pair of blocks(node, block): the parameter that a pair would get, and its information content."""
     from lodevein.plans.summarize import block_counts

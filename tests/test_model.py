@@ -256,3 +256,40 @@ def test_summary_under_a_model_against_dense_cells(spark, kind):
     assert [(i, c, b) for i, _, c, b in done] == [(i, c, b) for i, _, c, b in want]
     assert np.allclose([d[1] for d in done], [w[1] for w in want], atol=2e-6)
     assert {(r["node"], r["block"]) for r in got.collect()} == {(v, b) for b, members in blocks.items() for v in members}
+
+
+@pytest.mark.parametrize("kind", ["degree", "blocks"])
+def test_pairs_mined_for_three_rounds_against_dense_cells(spark, kind):
+    """The best pair of each round, from dense cells that every stored pair shifts in both orientations."""
+    nodes, edges, a = graph(spark, n=30, seed=8)
+    selectors = [Nominal("u", v) for v in "xy"] + [Nominal("v", w) for w in "pqr"]
+    model = M.fit(kind, nodes, edges, **({"label": "u"} if kind == "blocks" else {}))
+    p = np.zeros((30, 30))
+    for r in model.dense().collect():
+        p[r["src"], r["dst"]] = r["p"]
+    rows = nodes.collect()
+    own = {s.descr: np.array([str(r[s.attribute]) == s.value for r in rows]) for s in selectors}
+    want = []
+    for i in range(3):
+        found = []
+        for d, x in own.items():
+            for e, y in own.items():
+                cells = np.outer(x, y) & ~np.eye(30, dtype=bool)
+                k, n, q = a[cells].sum(), cells.sum(), p[cells].sum()
+                if d != e and n:
+                    term = lambda v, w: v * np.log(v / w) if v else 0.0
+                    found.append((-round((term(k, q) + term(n - k, n - q)) / (0.3 * 2 + 0.5), 6), d, e, int(n), int(k), q))
+        quality, d, e, n, k, q = min(found)
+        times = np.outer(own[d], own[e]).astype(float) + np.outer(own[e], own[d])
+        cells = np.outer(own[d], own[e]) & ~np.eye(30, dtype=bool)
+        odds = p / (1 - p)
+        low, high = -30.0, 30.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            now = odds * np.exp(mid * times)
+            low, high = (mid, high) if (now / (1 + now))[cells].sum() < k else (low, mid)
+        now = odds * np.exp(low * times)
+        p = np.where(times > 0, now / (1 + now), p)
+        want.append((i + 1, d, e, n, k, round(q, 5), round(-quality, 5), round(low, 4)))
+    got, _ = mining.mine_pairs(nodes, edges, search.Task(selectors, size=20, depth=1), model, rounds=3, outer=20)
+    assert [(*tuple(r)[:5], round(r["expected"], 5), round(r["quality"], 5), round(r["lambda"], 4)) for r in got.collect()] == want
