@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodevein.operators import prior
@@ -169,6 +169,51 @@ class Background:
         return Background(logit, spark.read.parquet(f"{path}/nodes"), stored[0]["undirected"], [r["lambda"] for r in stored if r["i"] >= 0])
 
 
+@dataclass
+class Margins:
+    """A degree prior of a directed graph with any number of joint classes: nodes(node, a, b) have a row and a column parameter.
+
+    It says what is expected of cells and of groups; patterns aren't stored in it.
+    """
+
+    nodes: DataFrame
+
+    def cells(self, pairs: DataFrame) -> DataFrame:
+        """src, dst, p of pairs(src, dst); 0 for a node with itself."""
+        out = pairs.join(self.nodes.select(F.col("node").alias("src"), "a"), "src").join(self.nodes.select(F.col("node").alias("dst"), "b"), "dst")
+        return out.select("src", "dst", F.when(F.col("src") == F.col("dst"), 0.0).otherwise(_chance(F.col("a") + F.col("b"))).alias("p"))
+
+    def expected(self, groups: DataFrame) -> DataFrame:
+        """sg, p: expected edges inside groups(node, ids), from each group's histograms of both parameters; a node has none with itself."""
+
+        def one(group: pa.Table) -> pa.Table:
+            a, b, n = (group.column(c).to_numpy() for c in ("a", "b", "n"))
+            (x, at), (y, to) = (np.unique(v, return_inverse=True) for v in (a, b))
+            rows, columns = np.bincount(at, n), np.bincount(to, n)
+            total = 0.0
+            for lo in range(0, len(x), step := max(1, (1 << 22) // max(1, len(y)))):  # a slice of the table at a time
+                total += float(rows[lo : lo + step] @ prior.sigmoid(np.maximum(x[lo : lo + step, None] + y[None, :], -700)) @ columns)
+            return pa.table({"sg": group.column("sg")[:1], "p": [total - float((n * prior.sigmoid(np.maximum(a + b, -700))).sum())]})
+
+        counts = _exploded(groups, "sg").join(self.nodes, "node").groupBy("sg", "a", "b").agg(F.sum("size").alias("n"))
+        return counts.groupBy("sg").applyInArrow(one, "sg int, p double")
+
+
+def _chance(x: Column) -> Column:
+    return 1 / (1 + F.exp(-x))
+
+
+def directed(nodes: DataFrame, edges: DataFrame, key: str = "node_id") -> Margins:
+    """Expected margins are the degrees; the driver sees a row for each pair of degrees that occurs."""
+    found = margins(nodes, edges, key)
+    rows = found.groupBy("out_degree", "in_degree").agg(F.count("*").alias("n")).limit(prior.MOST_CELLS + 1).toArrow()
+    if rows.num_rows > prior.MOST_CELLS:
+        raise ValueError(f"more than {prior.MOST_CELLS} classes of nodes")
+    a, b = prior.fit_margins(*(rows.column(c).to_numpy() for c in ("out_degree", "in_degree", "n")))
+    table = found.sparkSession.createDataFrame(pa.table({"out_degree": rows.column("out_degree"), "in_degree": rows.column("in_degree"), "a": a, "b": b}))
+    return Margins(found.join(table, ["out_degree", "in_degree"]).select("node", "a", "b"))
+
+
 def uniform(nodes: DataFrame, edges: DataFrame, key: str = "node_id", undirected: bool = True) -> Background:
     """Every cell has the density of the graph."""
     n, m = nodes.count(), edges.count()

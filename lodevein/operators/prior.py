@@ -77,6 +77,58 @@ def fit_degrees(out_degree: np.ndarray, in_degree: np.ndarray, n: np.ndarray, sq
     return a, b
 
 
+#: Pairs of a distinct out-degree and a distinct in-degree that the solver holds at once.
+MOST_CELLS = 1 << 24
+
+
+def fit_margins(out_degree: np.ndarray, in_degree: np.ndarray, n: np.ndarray, square: bool = True, rounds: int = 200, tol: float = 1e-10) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column parameters of joint classes of degrees, with one parameter for each distinct out-degree and each distinct in-degree.
+
+    The table of cells has a row for each out-degree and a column for each in-degree, so many more joint classes than ``MOST_CLASSES`` do:
+    cells of nodes with themselves are a sparse correction of it.  Expected margins are met in sum over the nodes of a degree, by Newton's steps on
+    both vectors at once (the columns by elimination of the rows).  Degree 0 has parameter -inf.
+    """
+    r, ri = np.unique(np.asarray(out_degree, float), return_inverse=True)
+    k, ki = np.unique(np.asarray(in_degree, float), return_inverse=True)
+    n = np.asarray(n, float)
+    if len(r) * len(k) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} pairs of an out-degree and an in-degree")
+    rows, columns = np.bincount(ri, n), np.bincount(ki, n)
+    cells = np.outer(rows, columns)
+    if square:
+        np.subtract.at(cells, (ri, ki), n)
+    live_r, live_k = r > 0, k > 0
+    cells = cells[np.ix_(live_r, live_k)]
+    want_r, want_k = (r * rows)[live_r], (k * columns)[live_k]
+    half = 0.5 * math.log(max(want_r.sum(), 1.0))
+    a, b = np.log(r[live_r]) - half, np.log(k[live_k]) - half
+
+    def gaps(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        p = sigmoid(a[:, None] + b[None, :])
+        e = cells * p
+        return e * (1 - p), want_r - e.sum(1), want_k - e.sum(0)
+
+    least = 1e-12 * max(1.0, float(cells.max(initial=0)))
+    for i in range(rounds):
+        v, gr, gk = gaps(a, b)
+        if max(np.abs(gr / rows[live_r]).max(initial=0), np.abs(gk / columns[live_k]).max(initial=0)) < tol * max(1.0, r[-1], k[-1]):
+            break
+        d = v.sum(1) + least
+        if i < 10:  # near enough first, one side after the other
+            a = a + np.clip(gr / d, -1, 1)
+            v, _, gk = gaps(a, b)
+            b = b + np.clip(gk / (v.sum(0) + least), -1, 1)
+            continue
+        left = np.diag(v.sum(0) + least) - (v / d[:, None]).T @ v
+        left += 1e-10 * np.trace(left) / max(1, len(left)) * np.eye(len(left))  # a constant may go from rows to columns
+        move = np.linalg.solve(left, gk - v.T @ (gr / d))
+        b = b + np.clip(move, -1, 1)
+        a = a + np.clip((gr - v @ move) / d, -1, 1)
+    all_a, all_b = np.full(len(r), -np.inf), np.full(len(k), -np.inf)
+    all_a[live_r], all_b[live_k] = a, b
+    return all_a[ri], all_b[ki]
+
+
 def residuals(rows: list, a: np.ndarray, b: np.ndarray, square: bool = True) -> list[tuple]:
     """(out_degree, in_degree, n, expected out, expected in) of each class under the fitted Bernoulli model."""
     n = np.array([r["n"] for r in rows], float)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodevein.functions.selectors import Nominal, cover
 from lodevein.operators import model as M
-from lodevein.operators import post, prep
+from lodevein.operators import post, prep, prior
 from lodevein.plans import mining, search, summarize
 from lodevein.sources import readers
 
@@ -293,3 +293,47 @@ def test_pairs_mined_for_three_rounds_against_dense_cells(spark, kind):
         want.append((i + 1, d, e, n, k, round(q, 5), round(-quality, 5), round(low, 4)))
     got, _ = mining.mine_pairs(nodes, edges, search.Task(selectors, size=20, depth=1), model, rounds=3, outer=20)
     assert [(*tuple(r)[:5], round(r["expected"], 5), round(r["quality"], 5), round(r["lambda"], 4)) for r in got.collect()] == want
+
+
+def test_margins_of_twenty_thousand_joint_classes():
+    """Five times as many classes as the table of class pairs may have; margins are met to a millionth."""
+    rng = np.random.default_rng(1)
+    classes = rng.choice(200 * 220, 20_000, replace=False)
+    out, in_, n = classes // 220, classes % 220, rng.integers(1, 4, 20_000)
+    gap = int((out * n).sum() - (in_ * n).sum())
+    extra = np.flatnonzero((n == 1) & ((in_ if gap > 0 else out) < 100))[: abs(gap)]
+    (in_ if gap > 0 else out)[extra] += 1 + (np.arange(len(extra)) < abs(gap) - len(extra))
+    side = in_ if gap > 0 else out
+    while (left := abs(int((out * n).sum() - (in_ * n).sum()))) > 0:
+        more = extra[:left]
+        side[more] += 1
+    a, b = prior.fit_margins(out, in_, n)
+    r, ri = np.unique(out, return_inverse=True)
+    k, ki = np.unique(in_, return_inverse=True)
+    ar, bk = np.empty(len(r)), np.empty(len(k))
+    ar[ri], bk[ki] = a, b
+    p = prior.sigmoid(np.maximum(ar[:, None] + bk, -700))
+    rows, columns = np.bincount(ri, n), np.bincount(ki, n)
+    own = n * prior.sigmoid(np.maximum(a + b, -700))
+    assert np.abs((p @ columns * rows - np.bincount(ri, own)) / rows - r).max() < 1e-6
+    assert np.abs((rows @ p * columns - np.bincount(ki, own)) / columns - k).max() < 1e-6
+
+
+def test_directed_margins_as_a_model(spark):
+    """Cells meet both margins, groups expect the sum of their cells, and a search takes the model."""
+    nodes, edges, a = graph(spark, n=26, seed=5, directed=True)
+    model = M.directed(nodes, edges)
+    p = np.zeros(a.shape)
+    every = nodes.select(F.col("node_id").alias("src")).crossJoin(nodes.select(F.col("node_id").alias("dst")))
+    for r in model.cells(every).collect():
+        p[r["src"], r["dst"]] = r["p"]
+    for axis in (0, 1):
+        for d in np.unique(a.sum(axis)):
+            assert abs(p.sum(axis)[a.sum(axis) == d].sum() - a.sum(axis)[a.sum(axis) == d].sum()) < 1e-6
+    selectors = [Nominal("u", "x"), Nominal("u", "y"), Nominal("v", "q")]
+    got = {r["sg"]: r["p"] for r in model.expected(cover(nodes, "node_id", selectors)).collect()}
+    rows = nodes.collect()
+    for i, s in enumerate(selectors):
+        own = np.array([r[s.attribute] == s.value for r in rows])
+        assert abs(got[i] - p[np.ix_(own, own)].sum()) < 1e-9
+    assert search.beam_graph(nodes, edges, search.Task(selectors, size=3), search.si_model, 26, int(a.sum()), model=model).count() > 0
