@@ -179,9 +179,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
     groups = settle(groups)
     one = keyed.filter("key is not null").join(groups, "key").filter(F.col("vec_id") == F.col("rep")).dropDuplicates(["key"])
     reps = settle(one.select("rep", "copies", F.col("embedding").cast("array<double>").alias("x"), F.size("embedding").alias("dim")))
-    size = reps.groupBy("dim").count().orderBy(F.desc("count")).limit(1).collect()
-    k = hashes_for(size[0]["count"], size[0]["dim"]) if size else 1
-    tables = tables or (tables_for(size[0]["dim"], k, threshold, probes) if size else TABLES)
+    # Each length of vectors has hashes and tables of its own, from its number of vectors.
+    plan = {}
+    for r in reps.groupBy("dim").count().collect():
+        k = hashes_for(r["count"], r["dim"])
+        plan[r["dim"]] = k, tables or tables_for(r["dim"], k, threshold, probes)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -191,13 +193,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
                 x = part.column("x").flatten().to_numpy().reshape(-1, dim)
                 x = x / np.abs(x).max(1, keepdims=True)
                 x = x / np.linalg.norm(x, axis=1, keepdims=True)
-                c = codes(x, tables, k, probes)
+                k, own = plan[int(dim)]
+                c = codes(x, own, k, probes)
                 flat = lambda a, kind: pa.array(list(a.reshape(len(a), -1)), pa.list_(kind))
                 yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("copies"), part.column("dim"), flat(x, pa.float64()), flat(c, pa.int64())], ["rep", "copies", "dim", "x", "codes"])
 
     coded = settle(reps.mapInArrow(hashed, "rep long, copies long, dim int, x array<double>, codes array<long>"))
     width = 1 + probes
-    entry = F.explode(F.transform(F.sequence(F.lit(0), F.lit(tables * width - 1)), lambda i: F.struct((i / width).cast("int").alias("t"), (i % width == 0).alias("own"), F.element_at("codes", i + 1).alias("code"))))
+    entry = F.explode(F.transform(F.sequence(F.lit(0), F.size("codes") - 1), lambda i: F.struct((i / width).cast("int").alias("t"), (i % width == 0).alias("own"), F.element_at("codes", i + 1).alias("code"))))
     at = coded.select("rep", "dim", entry.alias("e")).select("rep", "dim", "e.*")
     # Buckets of one member, and buckets that are only probed, hold no pair.
     sizes = at.groupBy("dim", "t", "code").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).filter("n > 1 and any_own")
@@ -216,7 +219,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tables: in
         order = np.argsort(ids, kind="stable")  # so that roots are the smallest ids
         counts, up = link_block(
             first["t"], first["code"], ids[order], matrix("x", dim)[order], group.column("own").to_numpy()[order], group.column("copies").to_numpy()[order],
-            matrix("codes", tables * width).reshape(n, tables, width)[order], group.column("chunk").to_numpy()[order], threshold,
+            matrix("codes", plan[dim][1] * width).reshape(n, plan[dim][1], width)[order], group.column("chunk").to_numpy()[order], threshold,
         )
         ids = ids[order]
         some = (counts > 0) | (up != np.arange(n))

@@ -446,6 +446,26 @@ def test_recall_of_cross_polytopes(dim, hashes):
     assert met.any(0).mean() > 0.97
 
 
+def test_recall_of_two_lengths_in_one_table(spark, monkeypatch):
+    """The rarer length has hashes and tables of its own: where the common one asks for four hashes, its pairs at the threshold are found all the same."""
+    asked = []
+    monkeypatch.setattr(embeddings, "hashes_for", lambda count, dim: asked.append((count, dim)) or (3 if dim == 16 else 1))
+    rng = np.random.default_rng(2)
+
+    def pairs(dim, n):
+        x, y = rng.normal(size=(2, n, dim))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        y -= (y * x).sum(1, keepdims=True) * x
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        return np.stack([x, 0.905 * x + np.sqrt(1 - 0.905**2) * y], 1).reshape(-1, dim)
+
+    vectors = [*pairs(16, 60), *pairs(256, 50)]
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embeddings.near_duplicates(df).collect()}
+    assert sorted(asked) == [(100, 256), (120, 16)]
+    assert np.mean([got[i] > 0 for i in range(120)]) >= 0.95 and np.mean([got[i] > 0 for i in range(120, 220)]) >= 0.95
+
+
 def test_embeddings_bear_clashing_names(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0], 1, 2, 3, 4), (2, [1.0, 2.0], 1, 2, 3, 4)], "vec_id long, embedding array<float>, key int, rep int, dim int, code int")
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).collect()) == [(1, 1, 1), (2, 1, 1)]

@@ -151,6 +151,13 @@ def test_short_items_and_batches(spark, monkeypatch):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.contaminations(docs, bench).collect()} == want
 
 
+def test_copies_of_a_passage_are_sampled_one_by_one(spark):
+    """A passage that stands 100,000 times is neither in the sample as a whole nor out of it."""
+    words = decontam.tokenised(spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit(PASSAGE).alias("text")))
+    n = decontam.sample_passages(words, 0.01).count()
+    assert 800 < n < 1200
+
+
 def test_sums_of_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "FAN_IN", 2)
     words = decontam.tokenised(texts(spark, [(i, "a b c d " * i) for i in range(40)])).repartition(7)
