@@ -54,12 +54,13 @@ def totals(nodes: DataFrame, edges: DataFrame) -> tuple[int, int]:
     return nodes.count(), edges.count()
 
 
-def margins(nodes: DataFrame, edges: DataFrame, key: str = "node_id") -> DataFrame:
-    """node, out_degree, in_degree of every node."""
-    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
+def margins(nodes: DataFrame, edges: DataFrame, key: str = "node_id", weight: str | None = None) -> DataFrame:
+    """node, out_degree, in_degree of every node; sums of a column of weights if one is named."""
+    one, zero = (F.lit(1), F.lit(0)) if weight is None else (F.col(weight).cast("double"), F.lit(0.0))
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("node"), one.alias("o"), zero.alias("i")), F.struct(F.col("dst").alias("node"), zero.alias("o"), one.alias("i")))).alias("e")).select("e.*")
     sums = ends.groupBy("node").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
-    zero = F.lit(0).cast("long")
-    return nodes.select(F.col(key).alias("node")).join(sums, "node", "left").select("node", F.coalesce("out_degree", zero).alias("out_degree"), F.coalesce("in_degree", zero).alias("in_degree"))
+    none = zero if weight else zero.cast("long")
+    return nodes.select(F.col(key).alias("node")).join(sums, "node", "left").select("node", F.coalesce("out_degree", none).alias("out_degree"), F.coalesce("in_degree", none).alias("in_degree"))
 
 
 def by_cover(edges: DataFrame, covers: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:

@@ -3,6 +3,9 @@
 Nodes of one class are exchangeable, so the model is a table of logits for pairs of classes (bounded by ``prior.MOST_CLASSES``
 squared, which is checked) and a relation of nodes and classes that stays in Spark.  A pattern that is stored splits the classes
 by membership and shifts the logits of its cells.
+
+Cells hold weights of a family (``functions.families``): edges or none (bernoulli), counts (geometric), or amounts (exponential).  Probabilities, expected
+edges and logits then are means, expected weights and natural parameters; ``k`` of a pattern is the sum of weights observed in it.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodevein.functions import families
 from lodevein.operators import prior
 from lodevein.operators.graph_stats import margins
 
@@ -38,15 +42,17 @@ def _exploded(groups: DataFrame, name: str) -> DataFrame:
 
 @dataclass
 class Background:
-    """``logit`` by class pair, ``nodes`` (node, class), and the parameters of the patterns stored so far."""
+    """``logit`` by class pair, ``nodes`` (node, class), the parameters of the patterns stored so far, and the family of the weights."""
 
     logit: np.ndarray
     nodes: DataFrame
     undirected: bool = True
     lambdas: list[float] = field(default_factory=list)
+    family: str = "bernoulli"
 
     def probabilities(self) -> np.ndarray:
-        return np.where(np.isneginf(self.logit), 0.0, prior.sigmoid(np.where(np.isneginf(self.logit), 0.0, self.logit)))
+        """Mean weight of a cell by class pair."""
+        return families.family_of(self.family).mean(self.logit)
 
     def expected(self, groups: DataFrame) -> DataFrame:
         """sg, p: expected edges inside groups(node, ids); a node has none with itself."""
@@ -86,11 +92,21 @@ class Background:
 
     def cells(self, pairs: DataFrame) -> DataFrame:
         """src, dst, p of pairs(src, dst); 0 for a node with itself."""
-        spark = self.nodes.sparkSession
-        p = self.probabilities()
-        table = spark.createDataFrame([(i, j, float(p[i, j])) for i in range(len(p)) for j in range(len(p))], "ci int, cj int, p double")
-        out = pairs.join(self.nodes.select(F.col("node").alias("src"), F.col("class").alias("ci")), "src").join(self.nodes.select(F.col("node").alias("dst"), F.col("class").alias("cj")), "dst")
-        return out.join(table, ["ci", "cj"]).select("src", "dst", F.when(F.col("src") == F.col("dst"), 0.0).otherwise(F.col("p")).alias("p"))
+        return self._placed(pairs, self.probabilities()).select("src", "dst", F.when(F.col("src") == F.col("dst"), 0.0).otherwise(F.col("value")).alias("p"))
+
+    def _placed(self, pairs: DataFrame, table: np.ndarray) -> DataFrame:
+        """Pairs with the value that a table of class pairs has for them."""
+        n = len(table)
+        at = pa.table({"ci": np.repeat(np.arange(n, dtype=np.int32), n), "cj": np.tile(np.arange(n, dtype=np.int32), n), "value": table.reshape(-1)})
+        end = lambda c, i: self.nodes.select(F.col("node").alias(c), F.col("class").alias(i))
+        return pairs.join(end("src", "ci"), "src").join(end("dst", "cj"), "dst").join(self.nodes.sparkSession.createDataFrame(at), ["ci", "cj"])
+
+    def likelihood(self, pairs: DataFrame, weight: str = "weight") -> DataFrame:
+        """src, dst, weight, log_likelihood of pairs(src, dst, weight): of the observed weight, 0 where there is none, under the model.
+
+        A node has no weight with itself.  Natural parameters of -inf make 0 of weight 0, and -inf of any other.
+        """
+        return _likelihood(self.family, self._placed(pairs, self.logit), F.col("value"), weight)
 
     def row(self, node: int) -> DataFrame:
         """Probabilities of the cells from a node to all."""
@@ -129,34 +145,37 @@ class Background:
         if right is not None and self.undirected:
             times += np.outer(b, a)
         cells = np.where(np.outer(a, b), np.outer(n, n) - np.diag(n), 0.0)
-        p = Background(logit, nodes).probabilities()
-        before = float((cells * p).sum())
-        some = (cells > 0) & np.isfinite(logit)
-        total = cells[some].sum()
-        if total == 0:
-            return Background(logit, nodes, self.undirected, [*self.lambdas, 0.0]), 0.0, before, 0.0
-        low, high = -60.0, 60.0
-        if k <= 0 or k >= total:
-            shift = low if k <= 0 else high
-        else:
-            for _ in range(200):
-                shift = (low + high) / 2
-                if (cells[some] * prior.sigmoid(logit[some] + shift * times[some])).sum() < k:
-                    low = shift
-                else:
-                    high = shift
+        before = float((cells * families.family_of(self.family).mean(logit)).sum())
+        shift, gain = _shift(self.family, logit, cells, times, k)
         with np.errstate(invalid="ignore"):
             after = np.where(np.isneginf(logit), logit, logit + shift * times)
-        # Edges of the pattern are exchangeable within the cells of a class pair only in sum: the gain of likelihood needs just k.
-        gain = float(k * shift - (cells[some] * (np.logaddexp(0, after[some]) - np.logaddexp(0, logit[some]))).sum())
-        return Background(after, nodes, self.undirected, [*self.lambdas, shift]), shift, before, gain
+        return Background(after, nodes, self.undirected, [*self.lambdas, shift], self.family), shift, before, gain
+
+    def contents(self, groups: DataFrame, sums: DataFrame) -> DataFrame:
+        """sg, k, expected, shift, ic: what each of the groups(node, ids) alone would tell as a pattern with sums(sg, k) inside; nothing is stored.
+
+        One histogram of classes serves all groups, and each is solved in a task.
+        """
+        shared = self.nodes.sparkSession.sparkContext.broadcast(self.logit)
+        family = self.family
+
+        def one(group: pa.Table) -> pa.Table:
+            c, n, k = (group.column(x).to_numpy() for x in ("class", "n", "k"))
+            logit, n, k = shared.value[np.ix_(c, c)], n.astype(float), float(k[0])
+            cells = np.outer(n, n) - np.diag(n)
+            shift, ic = _shift(family, logit, cells, np.ones_like(cells), k)
+            return pa.table({"sg": group.column("sg")[:1], "k": [k], "expected": [float((cells * families.family_of(family).mean(logit)).sum())], "shift": [float(shift)], "ic": [ic]})
+
+        counts = _exploded(groups, "sg").join(self.nodes, "node").groupBy("sg", "class").agg(F.sum("size").alias("n"))
+        return counts.join(sums.select("sg", F.col("k").cast("double").alias("k")), "sg").groupBy("sg").applyInArrow(one, "sg int, k double, expected double, shift double, ic double")
 
     def save(self, path: str) -> None:
         """Write the model so that a session can go on later."""
         spark = self.nodes.sparkSession
         table = [(i, j, float(self.logit[i, j])) for i in range(len(self.logit)) for j in range(len(self.logit))]
         spark.createDataFrame(table, "ci int, cj int, logit double").write.mode("overwrite").parquet(f"{path}/logits")
-        spark.createDataFrame([(i, x, self.undirected) for i, x in enumerate(self.lambdas)] or [(-1, 0.0, self.undirected)], "i int, lambda double, undirected boolean").write.mode("overwrite").parquet(f"{path}/patterns")
+        stored = [(i, x, self.undirected, self.family) for i, x in enumerate(self.lambdas)] or [(-1, 0.0, self.undirected, self.family)]
+        spark.createDataFrame(stored, "i int, lambda double, undirected boolean, family string").write.mode("overwrite").parquet(f"{path}/patterns")
         self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
 
     @staticmethod
@@ -166,7 +185,33 @@ class Background:
         for r in cells:
             logit[r["ci"], r["cj"]] = r["logit"]
         stored = sorted(spark.read.parquet(f"{path}/patterns").collect())
-        return Background(logit, spark.read.parquet(f"{path}/nodes"), stored[0]["undirected"], [r["lambda"] for r in stored if r["i"] >= 0])
+        return Background(logit, spark.read.parquet(f"{path}/nodes"), stored[0]["undirected"], [r["lambda"] for r in stored if r["i"] >= 0], stored[0]["family"])
+
+
+def _shift(family: str, logit: np.ndarray, cells: np.ndarray, times: np.ndarray, k: float) -> tuple[float, float]:
+    """The parameter of a pattern that holds ``times`` in its cells (counts by class pair) and makes their expected sum ``k``, and the gain of likelihood."""
+    f = families.family_of(family)
+    some = (cells > 0) & np.isfinite(logit)
+    total = cells[some].sum()
+    if total == 0:
+        return 0.0, 0.0
+    low, high = -60.0, 60.0
+    if f.top == 0:  # parameters stay below 0, however small a sum is asked for
+        high = float((-logit[some] / times[some]).min())
+        low = -max(60.0, 2 * total / max(k, 1e-9 * total))
+    if k <= 0 or f.top > 0 and k >= total:
+        shift = low if k <= 0 else high
+    else:
+        for _ in range(200):
+            shift = (low + high) / 2
+            x = logit[some] + shift * times[some]
+            if (x < f.top).all() and (cells[some] * f.mean(x)).sum() < k:
+                low = shift
+            else:
+                high = shift
+    # Weights of the pattern are exchangeable within the cells of a class pair only in sum: the gain of likelihood needs just k.
+    after = logit[some] + shift * times[some]
+    return shift, float(k * shift - (cells[some] * (f.log_partition(after) - f.log_partition(logit[some]))).sum())
 
 
 @dataclass
@@ -177,14 +222,23 @@ class Margins:
     """
 
     nodes: DataFrame
+    family: str = "bernoulli"
+
+    def _placed(self, pairs: DataFrame) -> DataFrame:
+        return pairs.join(self.nodes.select(F.col("node").alias("src"), "a"), "src").join(self.nodes.select(F.col("node").alias("dst"), "b"), "dst")
 
     def cells(self, pairs: DataFrame) -> DataFrame:
         """src, dst, p of pairs(src, dst); 0 for a node with itself."""
-        out = pairs.join(self.nodes.select(F.col("node").alias("src"), "a"), "src").join(self.nodes.select(F.col("node").alias("dst"), "b"), "dst")
-        return out.select("src", "dst", F.when(F.col("src") == F.col("dst"), 0.0).otherwise(_chance(F.col("a") + F.col("b"))).alias("p"))
+        mean = families.family_of(self.family).mean_of(F.col("a") + F.col("b"))
+        return self._placed(pairs).select("src", "dst", F.when(F.col("src") == F.col("dst"), 0.0).otherwise(mean).alias("p"))
+
+    def likelihood(self, pairs: DataFrame, weight: str = "weight") -> DataFrame:
+        """As ``Background.likelihood``."""
+        return _likelihood(self.family, self._placed(pairs), F.col("a") + F.col("b"), weight)
 
     def expected(self, groups: DataFrame) -> DataFrame:
         """sg, p: expected edges inside groups(node, ids), from each group's histograms of both parameters; a node has none with itself."""
+        f = families.family_of(self.family)
 
         def one(group: pa.Table) -> pa.Table:
             a, b, n = (group.column(c).to_numpy() for c in ("a", "b", "n"))
@@ -192,42 +246,49 @@ class Margins:
             rows, columns = np.bincount(at, n), np.bincount(to, n)
             total = 0.0
             for lo in range(0, len(x), step := max(1, (1 << 22) // max(1, len(y)))):  # a slice of the table at a time
-                total += float(rows[lo : lo + step] @ prior.sigmoid(np.maximum(x[lo : lo + step, None] + y[None, :], -700)) @ columns)
-            return pa.table({"sg": group.column("sg")[:1], "p": [total - float((n * prior.sigmoid(np.maximum(a + b, -700))).sum())]})
+                total += float(rows[lo : lo + step] @ f.mean(x[lo : lo + step, None] + y[None, :]) @ columns)
+            return pa.table({"sg": group.column("sg")[:1], "p": [total - float((n * f.mean(a + b)).sum())]})
 
         counts = _exploded(groups, "sg").join(self.nodes, "node").groupBy("sg", "a", "b").agg(F.sum("size").alias("n"))
         return counts.groupBy("sg").applyInArrow(one, "sg int, p double")
 
 
-def _chance(x: Column) -> Column:
-    return 1 / (1 + F.exp(-x))
+def _likelihood(family: str, placed: DataFrame, x: Column, weight: str) -> DataFrame:
+    w = F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
+    x = F.when(F.col("src") == F.col("dst"), float("-inf")).otherwise(x)
+    return placed.select("src", "dst", w.alias(weight), families.log_likelihood(families.family_of(family), w, x).alias("log_likelihood"))
 
 
-def directed(nodes: DataFrame, edges: DataFrame, key: str = "node_id") -> Margins:
-    """Expected margins are the degrees; the driver sees a row for each pair of degrees that occurs."""
-    found = margins(nodes, edges, key)
+def directed(nodes: DataFrame, edges: DataFrame, key: str = "node_id", family: str = "bernoulli", weight: str | None = None) -> Margins:
+    """Expected margins are the degrees, or sums of weights; the driver sees a row for each pair of them that occurs."""
+    found = margins(nodes, edges, key, weight)
     rows = found.groupBy("out_degree", "in_degree").agg(F.count("*").alias("n")).limit(prior.MOST_CELLS + 1).toArrow()
     if rows.num_rows > prior.MOST_CELLS:
         raise ValueError(f"more than {prior.MOST_CELLS} classes of nodes")
-    a, b = prior.fit_margins(*(rows.column(c).to_numpy() for c in ("out_degree", "in_degree", "n")))
+    sums = [rows.column(c).to_numpy() for c in ("out_degree", "in_degree", "n")]
+    a, b = prior.fit_margins(*sums) if family == "bernoulli" and weight is None else prior.fit_weights(*sums, family)
     table = found.sparkSession.createDataFrame(pa.table({"out_degree": rows.column("out_degree"), "in_degree": rows.column("in_degree"), "a": a, "b": b}))
-    return Margins(found.join(table, ["out_degree", "in_degree"]).select("node", "a", "b"))
+    return Margins(found.join(table, ["out_degree", "in_degree"]).select("node", "a", "b"), family)
 
 
-def uniform(nodes: DataFrame, edges: DataFrame, key: str = "node_id", undirected: bool = True) -> Background:
-    """Every cell has the density of the graph."""
-    n, m = nodes.count(), edges.count()
-    return Background(np.array([[prior.uniform_logit(m / (n * (n - 1)))]]), nodes.select(F.col(key).alias("node"), F.lit(0).alias("class")), undirected)
+def uniform(nodes: DataFrame, edges: DataFrame, key: str = "node_id", undirected: bool = True, family: str = "bernoulli", weight: str | None = None) -> Background:
+    """Every cell has the density of the graph, or its mean weight."""
+    n = nodes.count()
+    m = edges.count() if weight is None else edges.agg(F.coalesce(F.sum(F.col(weight).cast("double")), F.lit(0.0))).first()[0]
+    logit = np.array([[families.family_of(family).start(m / (n * (n - 1)))]])
+    return Background(logit, nodes.select(F.col(key).alias("node"), F.lit(0).alias("class")), undirected, family=family)
 
 
-def degree(nodes: DataFrame, edges: DataFrame, key: str = "node_id", undirected: bool = True, square: bool = True) -> Background:
-    """Expected margins are the degrees."""
-    found, rows = prior.degree_classes(margins(nodes, edges, key))
-    a, b = prior.fit_degrees(*(np.array([r[c] for r in rows]) for c in ("out_degree", "in_degree", "n")), square=square)
-    named = nodes.sparkSession.createDataFrame([(r["out_degree"], r["in_degree"], i) for i, r in enumerate(rows)], "out_degree long, in_degree long, class int")
+def degree(nodes: DataFrame, edges: DataFrame, key: str = "node_id", undirected: bool = True, square: bool = True, family: str = "bernoulli", weight: str | None = None) -> Background:
+    """Expected margins are the degrees, or sums of weights."""
+    found, rows = prior.degree_classes(margins(nodes, edges, key, weight))
+    sums = [np.array([r[c] for r in rows]) for c in ("out_degree", "in_degree", "n")]
+    a, b = prior.fit_degrees(*sums, square=square) if family == "bernoulli" and weight is None else prior.fit_weights(*sums, family, square)
+    kind = "long" if weight is None else "double"
+    named = nodes.sparkSession.createDataFrame([(r["out_degree"], r["in_degree"], i) for i, r in enumerate(rows)], f"out_degree {kind}, in_degree {kind}, class int")
     with np.errstate(invalid="ignore"):
         logit = a[:, None] + b[None, :]
-    return Background(np.nan_to_num(logit, nan=-np.inf, neginf=-np.inf), found.join(F.broadcast(named), ["out_degree", "in_degree"]).select("node", "class"), undirected)
+    return Background(np.nan_to_num(logit, nan=-np.inf, neginf=-np.inf), found.join(F.broadcast(named), ["out_degree", "in_degree"]).select("node", "class"), undirected, family=family)
 
 
 def degree_and_blocks(nodes: DataFrame, edges: DataFrame, label: str, key: str = "node_id", undirected: bool = True) -> Background:

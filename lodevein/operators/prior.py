@@ -13,6 +13,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodevein.functions.families import family_of
+
 MOST_CLASSES = 4096
 
 
@@ -129,6 +131,71 @@ def fit_margins(out_degree: np.ndarray, in_degree: np.ndarray, n: np.ndarray, sq
     return all_a[ri], all_b[ki]
 
 
+def fit_weights(out_strength: np.ndarray, in_strength: np.ndarray, n: np.ndarray, family: str = "geometric", square: bool = True, rounds: int = 200, tol: float = 1e-11) -> tuple[np.ndarray, np.ndarray]:
+    """As ``fit_margins`` for sums of weights under any family: damped Newton steps on the convex dual, which stay where the family has a mean.
+
+    Raises if margins can't be met, such as Bernoulli degrees of as many as there are nodes.
+    """
+    f = family_of(family)
+    r, ri = np.unique(np.asarray(out_strength, float), return_inverse=True)
+    k, ki = np.unique(np.asarray(in_strength, float), return_inverse=True)
+    n = np.asarray(n, float)
+    if len(r) * len(k) > MOST_CELLS:
+        raise ValueError(f"more than {MOST_CELLS} pairs of an outgoing and an incoming sum")
+    if min(r.min(initial=0), k.min(initial=0)) < 0:
+        raise ValueError("sums of weights are at least 0")
+    rows, columns = np.bincount(ri, n), np.bincount(ki, n)
+    cells = np.outer(rows, columns)
+    if square:
+        np.subtract.at(cells, (ri, ki), n)
+    live_r, live_k = r > 0, k > 0
+    cells = cells[np.ix_(live_r, live_k)]
+    want_r, want_k = (r * rows)[live_r], (k * columns)[live_k]
+    all_a, all_b = np.full(len(r), -np.inf), np.full(len(k), -np.inf)
+    if not cells.sum():
+        return all_a[ri], all_b[ki]
+    if f.top > 0 and want_r.sum() >= cells.sum():
+        raise ValueError(f"no {family} model has these margins")
+    some = cells > 0
+    x0 = f.start(want_r.sum() / cells.sum())
+    a, b = np.full(len(want_r), x0 / 2), np.full(len(want_k), x0 / 2)
+
+    def dual(a: np.ndarray, b: np.ndarray) -> float:
+        x = a[:, None] + b[None, :]
+        if not (x[some] < f.top).all():
+            return np.inf
+        return float((cells[some] * f.log_partition(x[some])).sum() - want_r @ a - want_k @ b)
+
+    def gap(gr: np.ndarray, gk: np.ndarray) -> float:
+        return max(np.abs(gr / want_r).max(), np.abs(gk / want_k).max())
+
+    now = dual(a, b)
+    for _ in range(rounds):
+        x = np.where(some, a[:, None] + b[None, :], x0)
+        e, v = cells * f.mean(x), cells * f.slope(x)
+        gr, gk = want_r - e.sum(1), want_k - e.sum(0)
+        if gap(gr, gk) < tol:
+            break
+        d = v.sum(1)
+        if f.top > 0 and min(d.min(), v.sum(0).min()) < 1e-9:  # cells run to their bounds
+            break
+        left = np.diag(v.sum(0)) - (v / d[:, None]).T @ v
+        left += 1e-12 * v.sum() / len(left) * np.ones_like(left)  # a constant may go from rows to columns: the columns' move sums to about 0
+        db = np.linalg.lstsq(left, gk - v.T @ (gr / d), rcond=None)[0]
+        da = (gr - v @ db) / d
+        fall = float(gr @ da + gk @ db)
+        step = 1.0
+        while (then := dual(a + step * da, b + step * db)) > now - 1e-4 * step * fall + 1e-13 * abs(now) and step > 1e-12:
+            step /= 2
+        if step <= 1e-12:
+            break
+        a, b, now = a + step * da, b + step * db, then
+    if not gap(gr, gk) <= 1e-6:
+        raise ValueError(f"no {family} model has these margins")
+    all_a[live_r], all_b[live_k] = a, b
+    return all_a[ri], all_b[ki]
+
+
 def residuals(rows: list, a: np.ndarray, b: np.ndarray, square: bool = True) -> list[tuple]:
     """(out_degree, in_degree, n, expected out, expected in) of each class under the fitted Bernoulli model."""
     n = np.array([r["n"] for r in rows], float)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,7 +64,7 @@ def block_contents(edges: DataFrame, blocks: DataFrame, model: Background) -> Da
     for r in sorted(block_counts(edges, blocks).collect()):  # a row for each pair of blocks, which the splits fix
         side = lambda b: blocks.filter(F.col("block") == b).select("node")
         same = r["bi"] == r["bj"]
-        one = Background(model.logit, model.nodes, False, model.lambdas)  # a pair of blocks holds in its own orientation
+        one = replace(model, undirected=False)  # a pair of blocks holds in its own orientation
         _, shift, before, gain = one.pattern(side(r["bi"]), None if same else side(r["bj"]), r["k"])
         out.append((r["bi"], r["bj"], r["k"], r["n"], before, shift, gain))
     kind = dict(blocks.dtypes)["block"]

@@ -337,3 +337,89 @@ def test_directed_margins_as_a_model(spark):
         own = np.array([r[s.attribute] == s.value for r in rows])
         assert abs(got[i] - p[np.ix_(own, own)].sum()) < 1e-9
     assert search.beam_graph(nodes, edges, search.Task(selectors, size=3), search.si_model, 26, int(a.sum()), model=model).count() > 0
+
+
+def weighted(spark, family, n=18):
+    """A directed graph of weights, of which node 3 has none outgoing, and its dense matrix."""
+    rng = np.random.default_rng(11)
+    w = (rng.random((n, n)) < 0.6) * (1.0 if family == "bernoulli" else rng.integers(1, 6, (n, n)).astype(float))
+    w[3] = 0
+    np.fill_diagonal(w, 0)
+    nodes = spark.createDataFrame([(i, "xy"[i < 7], "pqr"[i % 3]) for i in range(n)], "node_id long, u string, v string")
+    edges = spark.createDataFrame([(int(i), int(j), float(w[i, j])) for i, j in zip(*np.nonzero(w), strict=True)], "src long, dst long, weight double")
+    return nodes, edges, w
+
+
+LOG_PARTITION = {"bernoulli": lambda x: np.log1p(np.exp(x)), "geometric": lambda x: -np.log(1 - np.exp(x)), "exponential": lambda x: -np.log(-x)}
+PARAMETER = {"bernoulli": lambda m: np.log(m / (1 - m)), "geometric": lambda m: np.log(m / (1 + m)), "exponential": lambda m: -1 / m}
+
+
+@pytest.mark.parametrize("family", ["bernoulli", "geometric", "exponential"])
+@pytest.mark.parametrize("make", [M.directed, M.degree])
+def test_weighted_models_against_dense(spark, family, make):
+    nodes, edges, w = weighted(spark, family)
+    m = make(nodes, edges, family=family, weight="weight", **({} if make is M.directed else {"undirected": False}))
+    pairs = nodes.select(F.col("node_id").alias("src")).crossJoin(nodes.select(F.col("node_id").alias("dst")))
+    p = np.zeros_like(w)
+    for r in m.cells(pairs).collect():
+        p[r["src"], r["dst"]] = r["p"]
+    for axis in (0, 1):  # met in sum over the nodes of the same sum of weights
+        sums = w.sum(axis)
+        for v in np.unique(sums):
+            assert abs((p.sum(axis) - sums)[sums == v].sum()) < 1e-6
+    member = np.arange(len(w)) < 7
+    got = {r["sg"]: r["p"] for r in m.expected(cover(nodes, "node_id", [Nominal("u", "y"), Nominal("u", "x")])).collect()}
+    assert abs(got[0] - p[np.ix_(member, member)].sum()) < 1e-8 and abs(got[1] - p[np.ix_(~member, ~member)].sum()) < 1e-8
+    seen = m.likelihood(pairs.join(edges, ["src", "dst"], "left"))
+    like = {(r["src"], r["dst"]): r["log_likelihood"] for r in seen.collect()}
+    assert len(like) == w.size and all(like[i, i] == 0 for i in range(len(w))) and all(x == 0 for (i, _), x in like.items() if i == 3)
+    for i, j in [(0, 1), (1, 0), (5, 9), (9, 17), (17, 2)]:
+        x = PARAMETER[family](p[i, j])
+        assert abs(like[i, j] - (w[i, j] * x - LOG_PARTITION[family](x))) < 1e-8
+    never = m.likelihood(spark.createDataFrame([(3, 5, 2.0), (4, 4, 1.0)], "src long, dst long, weight double")).collect()
+    assert [r["log_likelihood"] for r in never] == [float("-inf")] * 2
+
+
+@pytest.mark.parametrize("family", ["geometric", "exponential"])
+@pytest.mark.parametrize("factor", [0.3, 1.0, 4.0])
+def test_weighted_patterns(spark, tmp_path, family, factor):
+    nodes, edges, w = weighted(spark, family)
+    m = M.degree(nodes, edges, undirected=False, family=family, weight="weight")
+    p = dense(m, len(w))
+    left, right = (nodes.filter(c).select(F.col("node_id").alias("node")) for c in ("node_id < 9", "node_id between 6 and 12"))
+    k = factor * w[:9, 6:13].sum()
+    once, shift, before, gain = m.pattern(left, right, k)
+    q = dense(once, len(w))
+    assert abs(before - p[:9, 6:13].sum()) < 1e-8 and abs(q[:9, 6:13].sum() - k) < 1e-5 and np.allclose(q[9:], p[9:]) and np.allclose(q[:, :6], p[:, :6])
+    some = np.argwhere(p[:9, 6:13] > 0) + [0, 6]
+    x, y = (PARAMETER[family](t[some[:, 0], some[:, 1]]) for t in (p, q))
+    assert np.allclose(y - x, shift) and abs(gain - (k * shift - (LOG_PARTITION[family](y) - LOG_PARTITION[family](x)).sum())) < 1e-6 and gain > -1e-9
+    once.save(str(tmp_path / "weights"))
+    again = M.Background.load(spark, str(tmp_path / "weights"))
+    assert again.family == family and np.allclose(dense(again, len(w)), q)
+    assert np.isfinite(m.pattern(left, right, 0)[1:]).all()
+    groups = cover(nodes, "node_id", [Nominal("u", "x"), Nominal("v", "q")])
+    got = {r["sg"]: tuple(r)[2:] for r in m.contents(groups, spark.createDataFrame([(0, 40.0), (1, 21.0)], "sg int, k double")).collect()}
+    for i, (c, k) in enumerate([("u = 'x'", 40.0), ("v = 'q'", 21.0)]):
+        _, shift, before, gain = m.pattern(nodes.filter(c).select(F.col("node_id").alias("node")), None, k)
+        assert np.allclose(got[i], (before, shift, gain))
+
+
+@pytest.mark.parametrize("family", ["bernoulli", "geometric", "exponential"])
+def test_weights_of_twenty_thousand_nodes(family):
+    rng = np.random.default_rng(5)
+    o = rng.integers(0, 300, 20_000).astype(float)
+    i = rng.permutation(o)
+    (r, k), n = np.unique(np.stack([o, i]), axis=1, return_counts=True)
+    a, b = prior.fit_weights(r, k, n, family, square=False)
+    mean = {"bernoulli": lambda x: 1 / (1 + np.exp(-x)), "geometric": lambda x: 1 / np.expm1(-x), "exponential": lambda x: -1 / x}[family]
+    ka, kb = (np.array([x[np.flatnonzero(v == t)[0]] for t in np.unique(v)]) for x, v in ((a, r), (b, k)))
+    got = np.array([(np.bincount(k.astype(int), n)[1:] * mean(x + kb[1:])).sum() for x in ka[1:]])
+    assert np.abs(got / np.unique(r)[1:] - 1).max() < 1e-6
+
+
+def test_margins_that_no_model_has():
+    with pytest.raises(ValueError, match="no bernoulli model"):
+        prior.fit_weights(np.array([4.0, 2.0]), np.array([3.0, 2.0]), np.array([2, 2]), "bernoulli")
+    with pytest.raises(ValueError, match="at least 0"):
+        prior.fit_weights(np.array([-1.0]), np.array([3.0]), np.array([2]), "geometric")

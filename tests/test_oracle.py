@@ -5,10 +5,10 @@ import os
 
 import pytest
 
-from lodevein import model_queries, queries
+from lodevein import model_queries, queries, weight_queries
 
-QUERIES = {**queries.queries(), **model_queries.queries()}
-SQL = {**queries.oracle_sql(), **model_queries.oracle_sql()}
+QUERIES = {**queries.queries(), **model_queries.queries(), **weight_queries.queries()}
+SQL = {**queries.oracle_sql(), **model_queries.oracle_sql(), **weight_queries.oracle_sql()}
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
