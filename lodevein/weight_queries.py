@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodevein import queries as Q0
 from lodevein.functions.selectors import cover, nominal_selectors, selector_table
 from lodevein.operators import graph_stats as G
+from lodevein.operators import metric
 from lodevein.operators import model as M
 from lodevein.sources import fixtures as X
 
@@ -111,9 +112,28 @@ e AS (SELECT x.kind, sum({_FAMILY["geometric"][0].format(x="p.a + q.b")}) AS p F
 SELECT 'event_type=' || kind AS descr, family, weight, round(coalesce(p, 0), 3) AS expected, round(uniform, 4) AS uniform, round(shift, 4) AS shift, round(ic, 4) AS ic FROM ({_uniform("geometric")} UNION ALL {_uniform("exponential")}) LEFT JOIN e USING (kind)"""
 
 
+# ---- clusters in many dimensions ---------------------------------------------------------------------------------------------------
+
+#: Dimensions, distance and neighbours of the clusters of vectors.
+DIMENSIONS, NEAR, LEAST = 50, 0.97, 3
+
+
+def dbscan_topics(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters of vectors by their first fifty entries."""
+    vectors = X.table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, DIMENSIONS).alias("v"))
+    return metric.dbscan_vectors(vectors, "vec_id", "v", NEAR, LEAST)
+
+
+DBSCAN_SQL = f"""WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding[1:{DIMENSIONS}], lambda x: x::DOUBLE) AS v FROM embeddings),
+near AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON list_distance(a.v, b.v) <= {NEAR}), cores AS (SELECT a AS c FROM near GROUP BY 1 HAVING count(*) >= {LEAST}),
+links AS (SELECT a, b FROM near JOIN cores x ON x.c = a JOIN cores y ON y.c = b), reach AS (SELECT c AS a, c AS b FROM cores UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+tops AS (SELECT a AS c, min(b) AS top FROM reach GROUP BY 1), own AS (SELECT near.a, min(top) AS cluster FROM near JOIN tops ON tops.c = near.b GROUP BY 1)
+SELECT vec_id, cluster, vec_id IN (SELECT c FROM cores) AS core FROM v LEFT JOIN own ON own.a = vec_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (cell_likelihood, weight_patterns)}
+    return {f.__name__: f for f in (cell_likelihood, weight_patterns, dbscan_topics)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"cell_likelihood": LIKELIHOOD_SQL, "weight_patterns": PATTERNS_SQL}
+    return {"cell_likelihood": LIKELIHOOD_SQL, "weight_patterns": PATTERNS_SQL, "dbscan_topics": DBSCAN_SQL}
