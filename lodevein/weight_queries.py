@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodevein import queries as Q0
 from lodevein.functions.selectors import cover, nominal_selectors, selector_table
 from lodevein.operators import graph_stats as G
-from lodevein.operators import metric
+from lodevein.operators import latent, metric
 from lodevein.operators import model as M
 from lodevein.sources import fixtures as X
 
@@ -131,9 +131,43 @@ tops AS (SELECT a AS c, min(b) AS top FROM reach GROUP BY 1), own AS (SELECT nea
 SELECT vec_id, cluster, vec_id IN (SELECT c FROM cores) AS core FROM v LEFT JOIN own ON own.a = vec_id"""
 
 
+# ---- latent topics of a sparse relation --------------------------------------------------------------------------------------------
+
+
+def topics_lsa(spark: SparkSession, sf: str) -> DataFrame:
+    """Singular values of the quantities that customers buy of brands, means taken off, and each customer's place on both axes (without its sign)."""
+    lines = X.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    orders = X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("node"))
+    brands = X.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("topic"))
+    weights = lines.join(orders, "l_orderkey").join(brands, "l_partkey").groupBy("node", "topic").agg(F.sum("l_quantity").cast("double").alias("weight"))
+    found = latent.latent_topics(weights, 2)
+    values = [F.lit(x) for x in found.values] + [F.lit(0.0)] * (2 - len(found.values))
+    place = lambda i: F.coalesce(F.abs(F.try_element_at("topics", F.lit(i))), F.lit(0.0))
+    return found.nodes.select("node", *[F.round(v, 3).alias(f"value{i + 1}") for i, v in enumerate(values)], *[F.round(place(i), 2).alias(f"place{i}") for i in (1, 2)])
+
+
+def _power(name: str, matrix: str, rounds: int) -> str:
+    """CTEs: the leading unit vector v of a matrix (list of rows), and its value e."""
+    times = lambda v: f"list_transform({matrix}, lambda r: list_sum(list_transform(range(1, len(r) + 1), lambda j: r[j] * {v}[j])))"
+    return f"""p{name} AS (SELECT 0 AS t, list_transform({matrix}, lambda r: 1 + r[1] / list_sum(list_transform(r, lambda x: abs(x)))) AS v FROM m{name} UNION ALL
+  SELECT t + 1, list_transform(u, lambda x: x / sqrt(list_sum(list_transform(u, lambda y: y * y)))) FROM (SELECT t, {times("v")} AS u FROM p{name}, m{name} WHERE t < {rounds})
+), e{name} AS (SELECT v, sqrt(list_sum(list_transform({times("v")}, lambda x: x * x))) AS e FROM p{name}, m{name} WHERE t = {rounds})"""
+
+
+LSA_SQL = f"""WITH RECURSIVE w AS (SELECT o_custkey AS node, p_brand AS topic, sum(l_quantity)::DOUBLE AS weight FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+nn AS (SELECT count(DISTINCT node)::DOUBLE AS n FROM w), mu AS (SELECT topic, sum(weight) / any_value(n) AS mean, row_number() OVER (ORDER BY topic) AS place FROM w, nn GROUP BY topic),
+xy AS (SELECT a.topic AS x, b.topic AS y, sum(a.weight * b.weight) AS s FROM w a JOIN w b USING (node) GROUP BY ALL),
+ma AS (SELECT list(r ORDER BY x) AS c FROM (SELECT a.topic AS x, list(coalesce(s, 0) - n * a.mean * b.mean ORDER BY b.topic) AS r FROM mu a CROSS JOIN mu b CROSS JOIN nn LEFT JOIN xy ON xy.x = a.topic AND xy.y = b.topic GROUP BY 1)),
+{_power("a", "c", 3000)},
+mb AS (SELECT list_transform(range(1, len(c) + 1), lambda i: list_transform(range(1, len(c) + 1), lambda k: c[i][k] - e * v[i] * v[k])) AS d FROM ma, ea),
+{_power("b", "d", 3000)},
+off AS (SELECT sum(mean * ea.v[place]) AS oa, sum(mean * eb.v[place]) AS ob FROM mu, ea, eb)
+SELECT node, round(sqrt(any_value(ea.e)), 3) AS value1, round(sqrt(any_value(eb.e)), 3) AS value2, round(abs(sum(weight * ea.v[place]) - any_value(oa)), 2) AS place1, round(abs(sum(weight * eb.v[place]) - any_value(ob)), 2) AS place2 FROM w JOIN mu USING (topic), ea, eb, off GROUP BY node"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (cell_likelihood, weight_patterns, dbscan_topics)}
+    return {f.__name__: f for f in (cell_likelihood, weight_patterns, dbscan_topics, topics_lsa)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"cell_likelihood": LIKELIHOOD_SQL, "weight_patterns": PATTERNS_SQL, "dbscan_topics": DBSCAN_SQL}
+    return {"cell_likelihood": LIKELIHOOD_SQL, "weight_patterns": PATTERNS_SQL, "dbscan_topics": DBSCAN_SQL, "topics_lsa": LSA_SQL}
