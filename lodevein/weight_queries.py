@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodevein import queries as Q0
 from lodevein.functions.selectors import cover, nominal_selectors, selector_table
 from lodevein.operators import graph_stats as G
-from lodevein.operators import latent, metric
+from lodevein.operators import latent, metric, names
 from lodevein.operators import model as M
 from lodevein.sources import fixtures as X
 
@@ -165,9 +165,25 @@ off AS (SELECT sum(mean * ea.v[place]) AS oa, sum(mean * eb.v[place]) AS ob FROM
 SELECT node, round(sqrt(any_value(ea.e)), 3) AS value1, round(sqrt(any_value(eb.e)), 3) AS value2, round(abs(sum(weight * ea.v[place]) - any_value(oa)), 2) AS place1, round(abs(sum(weight * eb.v[place]) - any_value(ob)), 2) AS place2 FROM w JOIN mu USING (topic), ea, eb, off GROUP BY node"""
 
 
+# ---- names of several words ------------------------------------------------------------------------------------------------------
+
+
+def country_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Countries in the addresses of suppliers: names are those of nations, and of their region and nation where the number is even."""
+    nation = X.table(spark, sf, "nation").join(X.table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    spoken = F.replace("n_name", F.lit("_"), F.lit(" "))
+    known = nation.select(spoken.alias("name"), F.col("n_name").alias("value")).union(nation.filter("n_nationkey % 2 = 0").select(F.concat_ws(" ", "r_name", spoken), F.concat_ws("/", "r_name", "n_name")))
+    address = F.concat("s_name", F.lit(", Institute of "), "r_name", F.lit(" "), spoken, F.lit(";"))
+    texts = X.table(spark, sf, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("id"), address.alias("text"))
+    return names.named_windows(texts, known)
+
+
+WINDOWS_SQL = """SELECT s_suppkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN r_name || '/' || n_name ELSE n_name END AS value FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (cell_likelihood, weight_patterns, dbscan_topics, topics_lsa)}
+    return {f.__name__: f for f in (cell_likelihood, weight_patterns, dbscan_topics, topics_lsa, country_windows)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"cell_likelihood": LIKELIHOOD_SQL, "weight_patterns": PATTERNS_SQL, "dbscan_topics": DBSCAN_SQL, "topics_lsa": LSA_SQL}
+    return {"cell_likelihood": LIKELIHOOD_SQL, "weight_patterns": PATTERNS_SQL, "dbscan_topics": DBSCAN_SQL, "topics_lsa": LSA_SQL, "country_windows": WINDOWS_SQL}
