@@ -114,21 +114,15 @@ SWEEP_FROM, SWEEP_SIZE = 5, 5
 
 def attribute_sweep(spark: SparkSession, sf: str) -> DataFrame:
     """The best subgroups of parts by who supplies them and who doesn't, for ever more suppliers as attributes."""
-    nodes, edges = X.parts(spark, sf), X.copurchase(spark, sf)
-    suppliers = X.table(spark, sf, "supplier").count()
-    sold = X.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("node_id")).agg(F.collect_set(F.col("l_suppkey").cast("int")).alias("by"))
-    known = nodes.join(sold, "node_id", "left").select(F.col("node_id").alias("node"), F.coalesce("by", F.array().cast("array<int>")).alias("by"))
-    out, count = [], SWEEP_FROM
-    with G.held(edges, known):
+    nodes, edges = X.parts(spark, sf), X.copurchase_once(spark, sf)
+    suppliers, sizes = X.table(spark, sf, "supplier").count(), []
+    while (count := SWEEP_FROM << len(sizes)) <= suppliers:
+        sizes.append(count)
+    some = X.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("node_id"), F.col("l_suppkey").cast("int").alias("s")).filter(F.col("s").between(0, max(sizes, default=0) - 1))
+    owned = nodes.select("node_id").join(some.groupBy("node_id").agg(F.collect_set("s").alias("by")), "node_id", "left").select(F.col("node_id").alias("node"), F.coalesce("by", F.array().cast("array<int>")).alias("by"))
+    with G.held(edges):
         n, m = G.totals(nodes, edges)
-        while count <= suppliers:
-            every = F.sequence(F.lit(0), F.lit(count - 1))
-            ids = F.concat(F.transform(F.array_intersect("by", every), lambda s: 2 * s + 1), F.transform(F.array_except(every, F.col("by")), lambda s: 2 * s))
-            names = [f"s{s}={v}" for s in range(count) for v in (0, 1)]
-            found = search.beam_covers(known.select("node", ids.alias("ids")), edges, names, search.Task([], size=SWEEP_SIZE, depth=2), search.si_uniform, n, m)
-            out += [(count, *r) for r in found.collect()]  # as many as the search keeps
-            count *= 2
-    return spark.createDataFrame(out, "attributes int, rank int, quality double, descr string, n long, k long")
+        return search.beam_owners(owned, edges, sizes, search.Task([], size=SWEEP_SIZE, depth=2), search.si_uniform, n, 2 * m)
 
 
 SWEEP_SQL = f"""

@@ -17,11 +17,17 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), "p_brand", "p_type", "p_size", "p_retailprice")
 
 
-def copurchase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Undirected: two parts in one order.  An order has a few lines, so the self-join grows with the table."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
+def copurchase_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two parts in one order, src < dst.  An order has a few lines, so the self-join grows with the table; lines move once, for all that follows."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").repartition("l_orderkey").distinct()
     other = lines.withColumnsRenamed({"l_partkey": "dst"})
-    return lines.join(other, "l_orderkey").filter("l_partkey != dst").select(F.col("l_partkey").alias("src"), "dst").distinct()
+    return lines.join(other, "l_orderkey").filter("l_partkey < dst").select(F.col("l_partkey").alias("src"), "dst").distinct()
+
+
+def copurchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Undirected: each pair of ``copurchase_once`` in both directions, which is made where the pair is."""
+    ends = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    return copurchase_once(spark, sf_dir).select(F.inline(F.array(ends("src", "dst"), ends("dst", "src"))))
 
 
 def successions(spark: SparkSession, sf_dir: str) -> DataFrame:
