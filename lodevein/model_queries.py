@@ -29,10 +29,11 @@ def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 def _single(kind: str) -> Callable:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        nodes, edges = _graph(spark, sf)
+        nodes, edges = X.parts(spark, sf), M._cut(X.copurchase_once(spark, sf))
         sel = Q0.part_selectors(nodes)
         groups = cover(nodes, "node_id", sel)
-        counts = G.group_counts(edges, groups).join(M.fit(kind, nodes, edges, **({"label": "p_type"} if kind == "blocks" else {})).expected(groups), "sg")
+        covers, between = G.by_cover(edges, groups, once=True, every=True)
+        counts = G.group_counts(between, covers).join(M.fit(kind, nodes, edges, once=True, **({"label": "p_type"} if kind == "blocks" else {})).expected(groups), "sg")
         counts = counts.join(F.broadcast(selector_table(spark, sel)), "sg").withColumn("length", F.lit(1))
         return counts.select("descr", "n", "k", F.round("p", 2).alias("expected"), F.round(search.si_model(counts, 0, 0), 3).alias("si"))
 
@@ -41,10 +42,11 @@ def _single(kind: str) -> Callable:
 
 def bi_si_degree(spark: SparkSession, sf: str) -> DataFrame:
     """Pairs of brands under the degree prior."""
-    nodes, edges = _graph(spark, sf)
+    nodes, edges = X.parts(spark, sf), M._cut(X.copurchase_once(spark, sf))
     sel = [s for s in Q0.part_selectors(nodes) if s.attribute == "p_brand"]
     groups = cover(nodes, "node_id", sel)
-    pairs = G.pair_counts(edges, groups, groups).join(M.degree(nodes, edges).expected_pairs(groups, groups), ["a", "b"]).filter("a != b")
+    covers, between = G.by_cover(edges, groups, once=True)
+    pairs = G.pair_counts(between, covers, covers).join(M.degree(nodes, edges, once=True).expected_pairs(groups, groups), ["a", "b"]).filter("a != b")
     t = selector_table(spark, sel)
     pairs = pairs.join(F.broadcast(t.select(F.col("sg").alias("a"), "descr")), "a").join(F.broadcast(t.select(F.col("sg").alias("b"), F.col("descr").alias("descr2"))), "b")
     return pairs.select("descr", "descr2", "k", "n", F.round("p", 2).alias("expected"), F.round(Q.subjective_interestingness(F.col("k"), F.col("n"), F.col("p"), 2), 3).alias("si"))
@@ -52,8 +54,8 @@ def bi_si_degree(spark: SparkSession, sf: str) -> DataFrame:
 
 def model_row(spark: SparkSession, sf: str) -> DataFrame:
     """Probabilities of the cells of node 1 under the degree prior."""
-    nodes, edges = _graph(spark, sf)
-    return M.degree(nodes, edges).row(1).select("dst", F.round("p", 5).alias("p"))
+    nodes, edges = X.parts(spark, sf), X.copurchase_once(spark, sf)
+    return M.degree(nodes, edges, once=True).row(1).select("dst", F.round("p", 5).alias("p"))
 
 
 #: DuckDB: parameters of the symmetric degree prior, by damped fixed-point steps over the classes of degrees.
@@ -78,8 +80,9 @@ SELECT descr, descr2, k, n, round(p, 2) AS expected, round({_ic('k', 'n', 'p')}
 
 def mining_rounds(spark: SparkSession, sf: str) -> DataFrame:
     """The best pattern, and the best one once the model knows it."""
-    nodes, edges = _graph(spark, sf)
-    found, _ = mining.mine(nodes, edges, search.Task(Q0.part_selectors(nodes), size=5, depth=1), M.uniform(nodes, edges), rounds=2)
+    nodes, edges = X.parts(spark, sf), X.copurchase_once(spark, sf)
+    with G.held(edges):
+        found, _ = mining.mine(nodes, edges, search.Task(Q0.part_selectors(nodes), size=5, depth=1), M.uniform(nodes, edges, once=True), rounds=2, once=True)
     return found.select("round", "descr", "n", "k", F.round("expected", 3).alias("expected"), F.round("quality", 4).alias("quality"))
 
 
@@ -92,8 +95,9 @@ SELECT 1::INT AS round, descr, n::BIGINT AS n, k::BIGINT AS k, round(p, 3) AS ex
 
 def mining_pairs(spark: SparkSession, sf: str) -> DataFrame:
     """The pair of subgroups whose mutual edges surprise most, and the best pair once the model knows it."""
-    nodes, edges = _graph(spark, sf)
-    found, _ = mining.mine_pairs(nodes, edges, search.Task(Q0.part_selectors(nodes), size=5, depth=1), M.uniform(nodes, edges), rounds=2)
+    nodes, edges = X.parts(spark, sf), X.copurchase_once(spark, sf)
+    with G.held(edges):
+        found, _ = mining.mine_pairs(nodes, edges, search.Task(Q0.part_selectors(nodes), size=5, depth=1), M.uniform(nodes, edges, once=True), rounds=2, once=True)
     return found.select("round", "descr", "descr2", "n", "k", F.round("expected", 3).alias("expected"), F.round("quality", 4).alias("quality"))
 
 
@@ -119,12 +123,12 @@ SELECT 1::INT AS round, descr, descr2, n::BIGINT AS n, k::BIGINT AS k, round(n *
 
 def summary_degree(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of the first split by every brand under the degree prior."""
-    nodes, edges = _graph(spark, sf)
+    nodes, edges = X.parts(spark, sf), X.copurchase_once(spark, sf)
     support, sel = Q0._brand_support(nodes)
     with G.held(edges):
-        model = M.degree(nodes, edges)
+        model = M.degree(nodes, edges, once=True)
         blocks = nodes.select(F.col("node_id").alias("node"), F.lit(0).alias("block"))
-        scores = summarize.split_scores(edges, blocks, support, model, {})
+        scores = summarize.split_scores(edges, blocks, support, model, {}, once=True)
         return scores.join(F.broadcast(selector_table(spark, sel)), scores["cut"] == F.col("sg")).select("descr", F.round("si", 3).alias("si"))
 
 

@@ -110,11 +110,20 @@ class Background:
 
     def row(self, node: int) -> DataFrame:
         """Probabilities of the cells from a node to all."""
-        return self.cells(self.nodes.select(F.lit(node).cast("long").alias("src"), F.col("node").alias("dst")))
+        return self._line(node, self.probabilities(), "src", "dst")
 
     def column(self, node: int) -> DataFrame:
         """Probabilities of the cells from all nodes to one."""
-        return self.cells(self.nodes.select(F.col("node").alias("src"), F.lit(node).cast("long").alias("dst")))
+        return self._line(node, self.probabilities().T, "dst", "src")
+
+    def _line(self, node: int, table: np.ndarray, own: str, other: str) -> DataFrame:
+        """Cells of one node with all, by its row of the table: its class is looked up, so that no task takes all pairs of one key."""
+        at = self.nodes.filter(F.col("node") == node).select("class").first()
+        line = table[at["class"]] if at else table[0]
+        named = self.nodes.sparkSession.createDataFrame(pa.table({"class": np.arange(len(line), dtype=np.int32), "value": line}))
+        nodes = self.nodes if at else self.nodes.filter(F.lit(False))
+        cells = nodes.join(F.broadcast(named), "class").select(F.lit(node).cast("long").alias(own), F.col("node").alias(other), "value")
+        return cells.select("src", "dst", F.when(F.col("src") == F.col("dst"), 0.0).otherwise(F.col("value")).alias("p"))
 
     def dense(self) -> DataFrame:
         """All cells, lazily; as many rows as pairs of nodes."""
@@ -271,17 +280,17 @@ def directed(nodes: DataFrame, edges: DataFrame, key: str = "node_id", family: s
     return Margins(found.join(table, ["out_degree", "in_degree"]).select("node", "a", "b"), family)
 
 
-def uniform(nodes: DataFrame, edges: DataFrame, key: str = "node_id", undirected: bool = True, family: str = "bernoulli", weight: str | None = None) -> Background:
-    """Every cell has the density of the graph, or its mean weight."""
+def uniform(nodes: DataFrame, edges: DataFrame, key: str = "node_id", undirected: bool = True, family: str = "bernoulli", weight: str | None = None, once: bool = False) -> Background:
+    """Every cell has the density of the graph, or its mean weight.  ``once``, as below: as of ``margins``."""
     n = nodes.count()
-    m = edges.count() if weight is None else edges.agg(F.coalesce(F.sum(F.col(weight).cast("double")), F.lit(0.0))).first()[0]
+    m = edges.count() * (2 if once else 1) if weight is None else edges.agg(F.coalesce(F.sum(F.col(weight).cast("double")), F.lit(0.0))).first()[0]
     logit = np.array([[families.family_of(family).start(m / (n * (n - 1)))]])
     return Background(logit, nodes.select(F.col(key).alias("node"), F.lit(0).alias("class")), undirected, family=family)
 
 
-def degree(nodes: DataFrame, edges: DataFrame, key: str = "node_id", undirected: bool = True, square: bool = True, family: str = "bernoulli", weight: str | None = None) -> Background:
+def degree(nodes: DataFrame, edges: DataFrame, key: str = "node_id", undirected: bool = True, square: bool = True, family: str = "bernoulli", weight: str | None = None, once: bool = False) -> Background:
     """Expected margins are the degrees, or sums of weights."""
-    found, rows = prior.degree_classes(margins(nodes, edges, key, weight))
+    found, rows = prior.degree_classes(_cut(margins(nodes, edges, key, weight, once)))
     sums = [np.array([r[c] for r in rows]) for c in ("out_degree", "in_degree", "n")]
     a, b = prior.fit_degrees(*sums, square=square) if family == "bernoulli" and weight is None else prior.fit_weights(*sums, family, square)
     kind = "long" if weight is None else "double"
@@ -291,16 +300,17 @@ def degree(nodes: DataFrame, edges: DataFrame, key: str = "node_id", undirected:
     return Background(np.nan_to_num(logit, nan=-np.inf, neginf=-np.inf), found.join(F.broadcast(named), ["out_degree", "in_degree"]).select("node", "class"), undirected, family=family)
 
 
-def degree_and_blocks(nodes: DataFrame, edges: DataFrame, label: str, key: str = "node_id", undirected: bool = True) -> Background:
+def degree_and_blocks(nodes: DataFrame, edges: DataFrame, label: str, key: str = "node_id", undirected: bool = True, once: bool = False) -> Background:
     """Expected margins are the degrees, and expected edges between labels the observed ones."""
     kind = nodes.select(F.col(key).alias("node"), F.col(label).cast("string").alias("label"))
-    found = margins(nodes, edges, key).join(kind, "node")
+    found = _cut(margins(nodes, edges, key, once=once).join(kind, "node"))
     _, rows = prior.degree_classes(found, ["label"])
     names = sorted({r["label"] for r in rows})
     of = np.array([names.index(r["label"]) for r in rows])
     want = np.zeros((len(names), len(names)))
     for r in edges.join(kind.toDF("src", "x"), "src").join(kind.toDF("dst", "y"), "dst").groupBy("x", "y").count().collect():
         want[names.index(r["x"]), names.index(r["y"])] = r["count"]
+    want = want + want.T if once else want
     a, b, g = prior.fit_blocks(rows, of, want)
     named = nodes.sparkSession.createDataFrame([(r["out_degree"], r["in_degree"], r["label"], i) for i, r in enumerate(rows)], "out_degree long, in_degree long, label string, class int")
     return Background(a[:, None] + b[None, :] + g[of][:, of], found.join(F.broadcast(named), ["out_degree", "in_degree", "label"]).select("node", "class"), undirected)

@@ -9,20 +9,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodevein.functions.selectors import Selector, cover, covers_all
-from lodevein.operators.graph_stats import held
+from lodevein.operators.graph_stats import held, totals
 from lodevein.operators.model import Background, _cut
 from lodevein.plans.search import Task, beam_graph, beam_pairs, si_model
 
 
-def mine(nodes: DataFrame, edges: DataFrame, task: Task, model: Background, rounds: int = 5, key: str = "node_id") -> tuple[DataFrame, Background]:
+def mine(nodes: DataFrame, edges: DataFrame, task: Task, model: Background, rounds: int = 5, key: str = "node_id", once: bool = False) -> tuple[DataFrame, Background]:
     """round, descr, n, k, expected, quality, lambda of the best pattern of each round, and the last model; stops where nothing surprises."""
     spark = nodes.sparkSession
     by_text = {s.descr: s for s in task.selectors}
     found = []
     with held(edges):
-        n, m = nodes.count(), edges.count()
+        n, m = totals(nodes, edges, once)
         for i in range(rounds):
-            best = beam_graph(nodes, edges, task, si_model, n, m, model=model).orderBy("rank").limit(1).collect()
+            best = beam_graph(nodes, edges, task, si_model, n, m, model=model, once=once).orderBy("rank").limit(1).collect()
             if not best:
                 break
             b = best[0]
@@ -33,7 +33,7 @@ def mine(nodes: DataFrame, edges: DataFrame, task: Task, model: Background, roun
     return spark.createDataFrame(found, "round int, descr string, n long, k long, expected double, quality double, lambda double"), model
 
 
-def mine_pairs(nodes: DataFrame, edges: DataFrame, task: Task, model: Background, rounds: int = 3, outer: int = 8, constrained: bool = False, key: str = "node_id") -> tuple[DataFrame, Background]:
+def mine_pairs(nodes: DataFrame, edges: DataFrame, task: Task, model: Background, rounds: int = 3, outer: int = 8, constrained: bool = False, key: str = "node_id", once: bool = False) -> tuple[DataFrame, Background]:
     """round, descr, descr2, n, k, expected, quality, lambda of the best pair of subgroups of each round, and the last model; stops where nothing surprises.
 
     A pair that is stored splits the classes of nodes by membership on both sides, so the next round's beams count on what the model believes by then.
@@ -43,9 +43,9 @@ def mine_pairs(nodes: DataFrame, edges: DataFrame, task: Task, model: Background
     members = lambda descr: nodes.filter(covers_all([by_text[x] for x in descr.split(" AND ")])).select(F.col(key).alias("node"))
     found = []
     with held(edges):
-        n, m = nodes.count(), edges.count()
+        n, m = totals(nodes, edges, once)
         for i in range(rounds):
-            best = beam_pairs(nodes, edges, task, n, m, outer=outer, constrained=constrained, model=model).orderBy("rank").limit(1).collect()
+            best = beam_pairs(nodes, edges, task, n, m, outer=outer, constrained=constrained, model=model, once=once).orderBy("rank").limit(1).collect()
             if not best:
                 break
             b = best[0]

@@ -9,13 +9,14 @@ such rows, which a task scores; of the scores the best alone is read.  Contents
 from __future__ import annotations
 
 import math
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodevein.operators.graph_stats import held
+from lodevein.operators.graph_stats import by_cover, held
 from lodevein.operators.model import Background, _cut
 from lodevein.operators.prior import uniform_logit
 
@@ -108,19 +109,35 @@ def _histograms(blocks: DataFrame, model: Background) -> dict[int, np.ndarray]:
     return out
 
 
-def split_scores(edges: DataFrame, blocks: DataFrame, support: DataFrame, model: Background, whole: dict[tuple[int, int], float]) -> DataFrame:
-    """block, cut, si, pairs of every split that parts a block; ``whole`` has the contents of the present pairs of blocks.
+def ends_of(edges: DataFrame, blocks: DataFrame, support: DataFrame, once: bool = False) -> DataFrame:
+    """bu, cu, bv, cv, k: edges by the block and the cuts of both ends, in one pass; nodes of one block and the same cuts are one."""
+    cuts = support.groupBy("node").agg(F.sort_array(F.collect_set("cut")).alias("ids"))
+    named = blocks.join(cuts, "node", "left").select("node", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), "block")
+    classes, between = by_cover(edges, named, "block", once=once, every=True)
+    end = lambda c, b, i: classes.select(F.col("node").alias(c), F.col("block").alias(b), F.col("ids").alias(i))
+    return between.join(end("src", "bu", "cu"), "src").join(end("dst", "bv", "cv"), "dst").select("bu", "cu", "bv", "cv", F.col("times").alias("k"))
+
+
+def _blocks_between(ends: DataFrame) -> dict[tuple[int, int], int]:
+    return {(r["bu"], r["bv"]): r["k"] for r in ends.groupBy("bu", "bv").agg(F.sum("k").alias("k")).collect()}
+
+
+def split_scores(edges: DataFrame, blocks: DataFrame, support: DataFrame, model: Background, whole: dict[tuple[int, int], float], ends: DataFrame | None = None, once: bool = False) -> DataFrame:
+    """block, cut, si, pairs of every split that parts a block; ``whole`` has the contents of the present pairs of blocks, ``ends`` what ``ends_of`` finds.
 
     ``pairs`` are the contents of the new ones: inside and outside of the cut with themselves and each other, then with each other block, in order.
     """
-    base = {(r["bi"], r["bj"]): r["k"] for r in block_counts(edges, blocks).collect()}
+    ends = _cut(ends_of(edges, blocks, support, once)) if ends is None else ends
+    base = defaultdict(int, _blocks_between(ends))
     size, p = _histograms(blocks, model), model.probabilities()
     names = sorted(size)
     c = len(names) + 1
     inner = blocks.join(support, "node").join(model.nodes, "node").groupBy("block", "cut", "class").agg(F.count("*").alias("n"))
     none = lambda kind: F.lit(None).cast(kind)
     held_by = inner.select("block", "cut", "class", "n", none("int").alias("bu"), none("boolean").alias("iu"), none("int").alias("bv"), none("boolean").alias("iv"))
-    counts = split_counts(edges, blocks, support).withColumn("block", F.explode(F.array_distinct(F.array("bu", "bv"))))
+    touched = ends.select("bu", "bv", "cu", "cv", "k", F.explode(F.array_union("cu", "cv")).alias("cut"))
+    counts = touched.groupBy("cut", "bu", F.array_contains("cu", F.col("cut")).alias("iu"), "bv", F.array_contains("cv", F.col("cut")).alias("iv")).agg(F.sum("k").alias("k"))
+    counts = counts.withColumn("block", F.explode(F.array_distinct(F.array("bu", "bv"))))
     counts = counts.select("block", "cut", none("int").alias("class"), F.col("k").alias("n"), "bu", "iu", "bv", "iv")
 
     def score(group: pa.Table) -> pa.Table:
@@ -152,29 +169,32 @@ def split_scores(edges: DataFrame, blocks: DataFrame, support: DataFrame, model:
     return held_by.unionByName(counts).groupBy("block", "cut").applyInArrow(score, "block int, cut int, si double, pairs array<double>")
 
 
-def _contents(edges: DataFrame, blocks: DataFrame, model: Background) -> dict[tuple[int, int], float]:
-    size, p = _histograms(blocks, model), model.probabilities()
-    return {(r["bi"], r["bj"]): content_under(r["k"], size[r["bi"]], size[r["bj"]], r["bi"] == r["bj"], p) for r in block_counts(edges, blocks).collect()}
+def _contents(ends: DataFrame, blocks: DataFrame, model: Background) -> dict[tuple[int, int], float]:
+    size, p, k = _histograms(blocks, model), model.probabilities(), _blocks_between(ends)
+    return {(i, j): content_under(k.get((i, j), 0), size[i], size[j], i == j, p) for i in size for j in size}
 
 
 def best_split(edges: DataFrame, blocks: DataFrame, support: DataFrame, prior: float | Background) -> tuple | None:
     """(si, cut, block) of the best split of any block by any cut under a density or a model; the first in order of block and cut among equals."""
     model = _flat(prior, blocks)
-    best = split_scores(edges, blocks, support, model, _contents(edges, blocks, model)).orderBy(F.desc("si"), "block", "cut").first()
+    ends = _cut(ends_of(edges, blocks, support))
+    best = split_scores(edges, blocks, support, model, _contents(ends, blocks, model), ends).orderBy(F.desc("si"), "block", "cut").first()
     return None if best is None else (best["si"], best["cut"], best["block"])
 
 
-def summarize(nodes: DataFrame, edges: DataFrame, support: DataFrame, prior: float | Background, rounds: int = 3) -> tuple[DataFrame, list[tuple]]:
+def summarize(nodes: DataFrame, edges: DataFrame, support: DataFrame, prior: float | Background, rounds: int = 3, once: bool = False) -> tuple[DataFrame, list[tuple]]:
     """blocks(node, block) after ``rounds`` splits, and a row (round, si, cut, block) for each; stops where no cut splits.
 
     ``prior`` is a density or a model; each pair of blocks gets the parameter that makes the model expect its edges, anew after each split.
+    Edges are read once: blocks are unions of nodes of the same cuts, so their counts by cuts serve all rounds.
     """
     blocks = nodes.select(F.col("node_id").alias("node"), F.lit(0).alias("block"))
     model, done = _flat(prior, blocks), []
-    with held(edges, support, model.nodes):
-        whole = _contents(edges, blocks, model)
+    with held(support, model.nodes):
+        ends = _cut(ends_of(edges, blocks, support, once))
+        whole = _contents(ends, blocks, model)
         for i in range(rounds):
-            best = split_scores(edges, blocks, support, model, whole).orderBy(F.desc("si"), "block", "cut").first()
+            best = split_scores(edges, blocks, support, model, whole, ends).orderBy(F.desc("si"), "block", "cut").first()
             if best is None:
                 break
             cut, block, new = best["cut"], best["block"], i + 1
@@ -186,5 +206,7 @@ def summarize(nodes: DataFrame, edges: DataFrame, support: DataFrame, prior: flo
             inside = support.filter(F.col("cut") == cut).select("node", F.lit(True).alias("inside"))
             number = F.when((F.col("block") == block) & F.col("inside").isNull(), F.lit(new)).otherwise(F.col("block"))
             blocks = _cut(blocks.join(inside, "node", "left").select("node", number.alias("block")))
+            moved = lambda b, c: F.when((F.col(b) == block) & ~F.array_contains(c, cut), F.lit(new)).otherwise(F.col(b)).alias(b)
+            ends = ends.select(moved("bu", "cu"), "cu", moved("bv", "cv"), "cv", "k")
             done.append((new, best["si"], cut, block))
     return blocks, done

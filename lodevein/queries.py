@@ -12,6 +12,7 @@ from lodevein.functions import quality as Q
 from lodevein.functions.selectors import Interval, Nominal, Selector, cover, create_selectors, equal_frequency_cuts, frequency_cuts, nominal_selectors, numeric_selectors, selector_table
 from lodevein.operators import graph_stats as G
 from lodevein.operators import post, prep, prior
+from lodevein.operators.model import _cut
 from lodevein.plans import search, summarize
 from lodevein.sources import fixtures as X
 from lodevein.sources.readers import coordinates
@@ -46,16 +47,18 @@ def part_selectors(nodes: DataFrame) -> list[Selector]:
 
 
 def _counts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, list[Selector]]:
-    nodes, edges = X.parts(spark, sf), X.copurchase(spark, sf)
+    """Nodes, edges (once) and counts of part_selectors, from the parts of one cover as one."""
+    nodes, edges = X.parts(spark, sf), X.copurchase_once(spark, sf)
     sel = part_selectors(nodes)
-    return nodes, edges, G.group_counts(edges, cover(nodes, "node_id", sel)).join(F.broadcast(selector_table(spark, sel)), "sg"), sel
+    groups, between = G.by_cover(edges, cover(nodes, "node_id", sel), once=True, every=True)
+    return nodes, edges, G.group_counts(between, groups).join(F.broadcast(selector_table(spark, sel)), "sg"), sel
 
 
 def _measure(expr: Callable[[], object], with_totals: bool = False) -> Callable:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         nodes, edges, counts, _ = _counts(spark, sf)
         if with_totals:
-            n, m = G.totals(nodes, edges)
+            n, m = G.totals(nodes, edges, once=True)
             counts = counts.withColumn("nodes", F.lit(n).cast("long")).withColumn("edges", F.lit(m).cast("long"))
         return counts.select("descr", F.round(expr(), 6).alias("value"))
 
@@ -82,16 +85,16 @@ def sgd_iaodf(spark: SparkSession, sf: str) -> DataFrame:
 def sgd_si_level1(spark: SparkSession, sf: str) -> DataFrame:
     """Which part attributes induce the most surprising co-purchase density?"""
     nodes, edges, counts, _ = _counts(spark, sf)
-    n, m = G.totals(nodes, edges)
+    n, m = G.totals(nodes, edges, once=True)
     counts = counts.withColumn("length", F.lit(1))
     return counts.select("descr", "n", "k", F.round(search.si_uniform(counts, n, m), 6).alias("si"))
 
 
 def sgd_si_beam(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges = X.parts(spark, sf), X.copurchase(spark, sf)
+    nodes, edges = X.parts(spark, sf), X.copurchase_once(spark, sf)
     with G.held(edges):
-        n, m = G.totals(nodes, edges)
-        return search.beam_graph(nodes, edges, search.Task(part_selectors(nodes), size=20, depth=2), search.si_uniform, n, m)
+        n, m = G.totals(nodes, edges, once=True)
+        return search.beam_graph(nodes, edges, search.Task(part_selectors(nodes), size=20, depth=2), search.si_uniform, n, m, once=True)
 
 
 BEAM_SQL = f"""
@@ -177,10 +180,10 @@ SELECT descr, descr2, k, n, round({_ic('k', 'n', f'n * {_P}')} / (0.3::DOUBLE *
 
 
 def bi_beam(spark: SparkSession, sf: str, constrained: bool = False) -> DataFrame:
-    nodes, edges = X.parts(spark, sf), X.copurchase(spark, sf)
+    nodes, edges = X.parts(spark, sf), X.copurchase_once(spark, sf)
     with G.held(edges):
-        n, m = G.totals(nodes, edges)
-        return search.beam_pairs(nodes, edges, search.Task(part_selectors(nodes), size=6, depth=2), n, m, constrained=constrained)
+        n, m = G.totals(nodes, edges, once=True)
+        return search.beam_pairs(nodes, edges, search.Task(part_selectors(nodes), size=6, depth=2), n, m, constrained=constrained, once=True)
 
 
 def bi_beam_constrained(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,8 +194,8 @@ def bi_beam_constrained(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def graph_density(spark: SparkSession, sf: str) -> DataFrame:
-    nodes, edges = X.parts(spark, sf), X.copurchase(spark, sf)
-    return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg(F.count("*").alias("edges"))).withColumn("density", F.try_divide(F.col("edges").cast("double"), (F.col("nodes") * (F.col("nodes") - 1)).cast("double")))
+    nodes, edges = X.parts(spark, sf), X.copurchase_once(spark, sf)
+    return nodes.agg(F.count("*").alias("nodes")).crossJoin(edges.agg((2 * F.count("*")).alias("edges"))).withColumn("density", F.try_divide(F.col("edges").cast("double"), (F.col("nodes") * (F.col("nodes") - 1)).cast("double")))
 
 
 def graph_margins(spark: SparkSession, sf: str) -> DataFrame:
@@ -223,7 +226,7 @@ def _fit(rows: list, square: bool = True) -> tuple[np.ndarray, np.ndarray]:
 
 def prior_degree(spark: SparkSession, sf: str) -> DataFrame:
     """Expected margins of the fitted degree prior of the undirected graph."""
-    _, rows = prior.degree_classes(G.margins(X.parts(spark, sf), X.copurchase(spark, sf)))
+    _, rows = prior.degree_classes(G.margins(X.parts(spark, sf), X.copurchase_once(spark, sf), once=True))
     return _residual_frame(spark, rows, *_fit(rows))
 
 
@@ -251,8 +254,8 @@ def prior_rectangular(spark: SparkSession, sf: str) -> DataFrame:
 
 def prior_block(spark: SparkSession, sf: str) -> DataFrame:
     """Expected and actual edges between part types under the prior of degrees and type pairs."""
-    nodes, edges = X.parts(spark, sf), X.copurchase(spark, sf)
-    labelled = G.margins(nodes, edges).join(nodes.select(F.col("node_id").alias("node"), "p_type"), "node")
+    nodes, edges = X.parts(spark, sf), _cut(X.copurchase_once(spark, sf))
+    labelled = G.margins(nodes, edges, once=True).join(nodes.select(F.col("node_id").alias("node"), "p_type"), "node")
     _, rows = prior.degree_classes(labelled, ["p_type"])
     names = sorted({r["p_type"] for r in rows})
     label = np.array([names.index(r["p_type"]) for r in rows])
@@ -261,6 +264,7 @@ def prior_block(spark: SparkSession, sf: str) -> DataFrame:
     want = np.zeros((len(names), len(names)))
     for r in got:
         want[names.index(r["a"]), names.index(r["b"])] = r["count"]
+    want = want + want.T
     a, b, g = prior.fit_blocks(rows, label, want)
     n = np.array([r["n"] for r in rows], float)
     e = prior.sigmoid(a[:, None] + b[None, :] + g[label][:, label]) * n[:, None] * (n[None, :] - np.eye(len(n)))
@@ -271,13 +275,14 @@ def prior_block(spark: SparkSession, sf: str) -> DataFrame:
 
 def pattern_update(spark: SparkSession, sf: str) -> DataFrame:
     """After the update, the model expects the edges that the most surprising pattern has: iterated mining with a degree prior."""
-    nodes, edges = X.parts(spark, sf), X.copurchase(spark, sf)
-    degrees, rows = prior.degree_classes(G.margins(nodes, edges))
+    nodes, edges = X.parts(spark, sf), _cut(X.copurchase_once(spark, sf))
+    degrees, rows = prior.degree_classes(_cut(G.margins(nodes, edges, once=True)))
     a, b = _fit(rows)
     sel = part_selectors(nodes)
     at = {(r["out_degree"], r["in_degree"]): i for i, r in enumerate(rows)}
     logit = a[:, None] + b[None, :]
-    counts = G.group_counts(edges, cover(nodes, "node_id", sel)).collect()
+    groups, between = G.by_cover(edges, cover(nodes, "node_id", sel), once=True, every=True)
+    counts = G.group_counts(between, groups).collect()
     hist: dict[int, np.ndarray] = {r["sg"]: np.zeros(len(rows)) for r in counts}
     for r in cover(nodes, "node_id", sel).join(degrees, "node").select("out_degree", "in_degree", F.explode("ids").alias("sg")).groupBy("sg", "out_degree", "in_degree").count().collect():
         hist[r["sg"]][at[r["out_degree"], r["in_degree"]]] = r["count"]
@@ -493,10 +498,11 @@ def _brand_support(nodes: DataFrame) -> tuple[DataFrame, list[Selector]]:
 
 def summary_split_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of the first split by every brand."""
-    nodes, edges = X.parts(spark, sf), X.copurchase(spark, sf)
-    n, m = G.totals(nodes, edges)
+    nodes, edges = X.parts(spark, sf), _cut(X.copurchase_once(spark, sf))
+    n, m = G.totals(nodes, edges, once=True)
     sel = nominal_selectors(nodes, "p_brand")
-    c = G.group_counts(edges, cover(nodes, "node_id", sel)).join(F.broadcast(selector_table(spark, sel)), "sg")
+    groups, between = G.by_cover(edges, cover(nodes, "node_id", sel), once=True, every=True)
+    c = G.group_counts(between, groups).join(F.broadcast(selector_table(spark, sel)), "sg")
     p, k, a = F.lit(m / (n * (n - 1))), F.col("k"), F.col("n")
     o = F.lit(n).cast("long") - a
     part = lambda kk, nn: Q.information_content(kk, nn, nn * p)
@@ -510,11 +516,11 @@ SPLIT_SQL = f"WITH {GRAPH} SELECT descr, round(({_ic('k', 'n * (n - 1)', f'n * (
 
 def summary_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """The three splits of a summary: what is cut off, from which block, and how surprising the blocks are then."""
-    nodes, edges = X.parts(spark, sf), X.copurchase(spark, sf)
+    nodes, edges = X.parts(spark, sf), X.copurchase_once(spark, sf)
     support, sel = _brand_support(nodes)
     with G.held(edges, support):
-        n, m = G.totals(nodes, edges)
-        done = summarize.summarize(nodes, edges, support, m / (n * (n - 1)))[1]
+        n, m = G.totals(nodes, edges, once=True)
+        done = summarize.summarize(nodes, edges, support, m / (n * (n - 1)), once=True)[1]
     return spark.createDataFrame([(i, sel[cut].descr, block, si) for i, si, cut, block in done], "round int, descr string, split_block int, si double")
 
 

@@ -17,11 +17,17 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"), "p_brand", "p_type", "p_size", "p_retailprice")
 
 
+#: Lines of orders that one task pairs: tasks grow in number with the table, and not in size.
+LINES = 300_000
+
+
 def copurchase_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two parts in one order, src < dst.  An order has a few lines, so the self-join grows with the table; lines move once, for all that follows."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").repartition("l_orderkey").distinct()
+    table_of = table(spark, sf_dir, "lineitem")
+    parts = max(spark.sparkContext.defaultParallelism, -(-table_of.count() // LINES))
+    lines = table_of.select("l_orderkey", "l_partkey").repartition(parts, "l_orderkey").distinct()
     other = lines.withColumnsRenamed({"l_partkey": "dst"})
-    return lines.join(other, "l_orderkey").filter("l_partkey < dst").select(F.col("l_partkey").alias("src"), "dst").distinct()
+    return lines.join(other, "l_orderkey").filter("l_partkey < dst").select(F.col("l_partkey").alias("src"), "dst").repartition(parts, "src", "dst").distinct()
 
 
 def copurchase(spark: SparkSession, sf_dir: str) -> DataFrame:
