@@ -152,9 +152,10 @@ SELECT descr, round(sum(v) / 55, 3) AS si FROM ic GROUP BY 1"""
 
 def summary_contents(spark: SparkSession, sf: str) -> DataFrame:
     """Parameter and information content of every pair of part types under the uniform prior."""
-    nodes, edges = _graph(spark, sf)
+    nodes, once = X.parts(spark, sf), M._cut(X.copurchase_once(spark, sf))
+    edges = X.mirrored(once)
     blocks = nodes.select(F.col("node_id").alias("node"), F.col("p_type").alias("block"))
-    found = mining.block_contents(edges, blocks, M.uniform(nodes, edges))
+    found = mining.block_contents(edges, blocks, M.uniform(nodes, once, once=True))
     return found.select("bi", "bj", "k", "n", F.round("expected", 3).alias("expected"), F.round("lambda", 5).alias("lambda"), F.round("ic", 4).alias("ic"))
 
 

@@ -31,9 +31,14 @@ def copurchase_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def copurchase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Undirected: each pair of ``copurchase_once`` in both directions, which is made where the pair is."""
+    """Undirected: each pair of ``copurchase_once`` in both directions."""
+    return mirrored(copurchase_once(spark, sf_dir))
+
+
+def mirrored(once: DataFrame) -> DataFrame:
+    """Pairs in both directions, made where the pair is."""
     ends = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
-    return copurchase_once(spark, sf_dir).select(F.inline(F.array(ends("src", "dst"), ends("dst", "src"))))
+    return once.select(F.inline(F.array(ends("src", "dst"), ends("dst", "src"))))
 
 
 def successions(spark: SparkSession, sf_dir: str) -> DataFrame:
