@@ -191,3 +191,29 @@ def effective_sample_size(weight: Column) -> Column:
 def outside(members: DataFrame, group: DataFrame) -> DataFrame:
     """Members that the group lacks."""
     return members.join(group.select("node"), "node", "left_anti")
+
+
+#: Cells between the least and the largest value of a group, of which those of the median alone are ordered.
+CELLS = 4096
+
+
+def exact_medians(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """key, median of each group's finite values, for groups that have any: the mean of both middle ones where their number is even.
+
+    No task holds the values of a group: counts of equal cells say where the middle is, and the values of those cells alone are ordered, equal ones as one.
+    """
+    x = F.col(value).cast("double")
+    some = rows.select(F.col(key).alias("g"), x.alias("x")).filter(F.abs("x") < float("inf"))
+    span = F.broadcast(some.groupBy("g").agg(F.min("x").alias("low"), F.max("x").alias("high"), F.count("*").alias("n")))
+    width = F.col("high") / CELLS - F.col("low") / CELLS
+    cell = F.when(width > 0, F.least(F.floor(F.col("x") / width - F.col("low") / width), F.lit(CELLS - 1).cast("long"))).otherwise(F.lit(0).cast("long"))
+    placed = some.join(span, "g").select("g", "n", "x", cell.alias("cell"))
+    run = W.partitionBy("g").orderBy("cell")
+    upto = placed.groupBy("g", "n", "cell").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(run))
+    first, last = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)  # places of the middle ones, from 0
+    middle = F.broadcast(upto.withColumn("before", F.col("upto") - F.col("c")).filter((F.col("before") <= last) & (F.col("upto") > first)).select("g", "cell", "before"))
+    # Cells of a group that are neither its first nor its last middle one lie between both and hold none.
+    values = placed.join(middle, ["g", "cell"]).groupBy("g", "n", "cell", "before", "x").agg(F.count("*").alias("c"))
+    values = values.withColumn("upto", F.col("before") + F.sum("c").over(W.partitionBy("g", "cell").orderBy("x")))
+    at = lambda place: F.min(F.when(F.col("upto") > place, F.col("x")))
+    return values.groupBy("g").agg((at(first) / 2 + at(last) / 2).alias("median")).withColumnRenamed("g", key)

@@ -370,9 +370,12 @@ def sd_stats_numeric(spark: SparkSession, sf: str) -> DataFrame:
     data, sel = line_data(spark, sf)
     hits = F.explode(F.array_compact(F.array(*[F.when(s.covers(), F.lit(s.descr)) for s in sel])))
     x = F.col("l_extendedprice")
-    mean, median = data.select(F.avg(x), F.median(x)).first()
-    g = data.select(hits.alias("descr"), x.alias("x")).groupBy("descr")
-    s = g.agg(F.count("*").alias("size_sg"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.median("x").alias("median"), F.max("x").alias("max"), F.min("x").alias("min"))
+    mean = data.agg(F.avg(x)).first()[0]
+    whole = post.exact_medians(data.select(F.lit("").alias("descr"), x.alias("x")), "descr", "x").first()
+    median = whole["median"] if whole else None
+    long = data.select(hits.alias("descr"), x.alias("x"))
+    s = long.groupBy("descr").agg(F.count("*").alias("size_sg"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.max("x").alias("max"), F.min("x").alias("min"))
+    s = s.join(post.exact_medians(long, "descr", "x"), "descr", "left")
     return s.select("descr", "size_sg", *[F.round(c, 4).alias(f"{c}_sg") for c in ("mean", "std", "median", "max", "min")], F.round(F.col("mean") / mean, 6).alias("mean_lift"), F.round(F.col("median") / median, 6).alias("median_lift"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodevein.operators import graph_stats as G
 from lodevein.operators import model as M
+from lodevein.operators import post
 from lodevein.plans import summarize
 from lodevein.sources import fixtures as X
 
@@ -68,3 +69,13 @@ def test_a_summary_reads_its_edges_once(graph, monkeypatch):
     fresh = summarize.split_scores(both, got[0], support, summarize._flat(0.2, got[0]), {})
     ends = summarize.ends_of(both, got[0], support)
     assert rows(summarize.split_scores(both, got[0], support, summarize._flat(0.2, got[0]), {}, ends)) == rows(fresh)
+
+
+def test_medians_without_a_task_for_a_group(spark, monkeypatch):
+    """Odd, even, equal, negative, one and no values, more than cells or fewer; nulls and what is not finite are left out."""
+    monkeypatch.setattr(post, "CELLS", 7)
+    rng = np.random.default_rng(4)
+    groups = {"a": rng.normal(size=101).tolist(), "b": rng.integers(0, 5, 60).tolist(), "c": [3.5], "d": [2.0, 2.0], "e": [-1e9, 1.0, 2.0, 1e9], "f": [0.1] * 50 + [0.2] * 50, "g": rng.random(1000).tolist(), "h": [5.0, 1e300, -1e300]}
+    rows = [(k, float(v)) for k, some in groups.items() for v in some] + [("a", None), ("a", float("inf")), ("none", None)]
+    got = dict(post.exact_medians(spark.createDataFrame(rows, "k string, x double"), "k", "x").collect())
+    assert got == pytest.approx({k: float(np.median(v)) for k, v in groups.items()})
