@@ -32,7 +32,7 @@ def _single(kind: str) -> Callable:
         nodes, edges = X.parts(spark, sf), M._cut(X.copurchase_once(spark, sf))
         sel = Q0.part_selectors(nodes)
         groups = cover(nodes, "node_id", sel)
-        covers, between = G.by_cover(edges, groups, once=True, every=True)
+        covers, between = G.by_cover(edges, groups, once=True, every=True, parts=X.pair_tasks(spark, sf))
         counts = G.group_counts(between, covers).join(M.fit(kind, nodes, edges, once=True, **({"label": "p_type"} if kind == "blocks" else {})).expected(groups), "sg")
         counts = counts.join(F.broadcast(selector_table(spark, sel)), "sg").withColumn("length", F.lit(1))
         return counts.select("descr", "n", "k", F.round("p", 2).alias("expected"), F.round(search.si_model(counts, 0, 0), 3).alias("si"))
@@ -45,7 +45,7 @@ def bi_si_degree(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = X.parts(spark, sf), M._cut(X.copurchase_once(spark, sf))
     sel = [s for s in Q0.part_selectors(nodes) if s.attribute == "p_brand"]
     groups = cover(nodes, "node_id", sel)
-    covers, between = G.by_cover(edges, groups, once=True)
+    covers, between = G.by_cover(edges, groups, once=True, parts=X.pair_tasks(spark, sf))
     pairs = G.pair_counts(between, covers, covers).join(M.degree(nodes, edges, once=True).expected_pairs(groups, groups), ["a", "b"]).filter("a != b")
     t = selector_table(spark, sel)
     pairs = pairs.join(F.broadcast(t.select(F.col("sg").alias("a"), "descr")), "a").join(F.broadcast(t.select(F.col("sg").alias("b"), F.col("descr").alias("descr2"))), "b")

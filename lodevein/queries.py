@@ -50,7 +50,7 @@ def _counts(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFra
     """Nodes, edges (once) and counts of part_selectors, from the parts of one cover as one."""
     nodes, edges = X.parts(spark, sf), X.copurchase_once(spark, sf)
     sel = part_selectors(nodes)
-    groups, between = G.by_cover(edges, cover(nodes, "node_id", sel), once=True, every=True)
+    groups, between = G.by_cover(edges, cover(nodes, "node_id", sel), once=True, every=True, parts=X.pair_tasks(spark, sf))
     return nodes, edges, G.group_counts(between, groups).join(F.broadcast(selector_table(spark, sel)), "sg"), sel
 
 
@@ -281,7 +281,7 @@ def pattern_update(spark: SparkSession, sf: str) -> DataFrame:
     sel = part_selectors(nodes)
     at = {(r["out_degree"], r["in_degree"]): i for i, r in enumerate(rows)}
     logit = a[:, None] + b[None, :]
-    groups, between = G.by_cover(edges, cover(nodes, "node_id", sel), once=True, every=True)
+    groups, between = G.by_cover(edges, cover(nodes, "node_id", sel), once=True, every=True, parts=X.pair_tasks(spark, sf))
     counts = G.group_counts(between, groups).collect()
     hist: dict[int, np.ndarray] = {r["sg"]: np.zeros(len(rows)) for r in counts}
     for r in cover(nodes, "node_id", sel).join(degrees, "node").select("out_degree", "in_degree", F.explode("ids").alias("sg")).groupBy("sg", "out_degree", "in_degree").count().collect():
@@ -504,7 +504,7 @@ def summary_split_scores(spark: SparkSession, sf: str) -> DataFrame:
     nodes, edges = X.parts(spark, sf), _cut(X.copurchase_once(spark, sf))
     n, m = G.totals(nodes, edges, once=True)
     sel = nominal_selectors(nodes, "p_brand")
-    groups, between = G.by_cover(edges, cover(nodes, "node_id", sel), once=True, every=True)
+    groups, between = G.by_cover(edges, cover(nodes, "node_id", sel), once=True, every=True, parts=X.pair_tasks(spark, sf))
     c = G.group_counts(between, groups).join(F.broadcast(selector_table(spark, sel)), "sg")
     p, k, a = F.lit(m / (n * (n - 1))), F.col("k"), F.col("n")
     o = F.lit(n).cast("long") - a

@@ -21,11 +21,15 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES = 300_000
 
 
+def pair_tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks that make pairs of parts, or take these on."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // LINES))
+
+
 def copurchase_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two parts in one order, src < dst.  An order has a few lines, so the self-join grows with the table; lines move once, for all that follows."""
-    table_of = table(spark, sf_dir, "lineitem")
-    parts = max(spark.sparkContext.defaultParallelism, -(-table_of.count() // LINES))
-    lines = table_of.select("l_orderkey", "l_partkey").repartition(parts, "l_orderkey").distinct()
+    parts = pair_tasks(spark, sf_dir)
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").repartition(parts, "l_orderkey").distinct()
     other = lines.withColumnsRenamed({"l_partkey": "dst"})
     return lines.join(other, "l_orderkey").filter("l_partkey < dst").select(F.col("l_partkey").alias("src"), "dst").repartition(parts, "src", "dst").distinct()
 

@@ -1,5 +1,7 @@
 """Undirected graphs whose edges are there once: the same counts as from both directions, in tasks whose number follows the table."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +49,25 @@ def test_counts_from_edges_once(graph):
     assert rows(G.pair_counts(between, covers, covers)) == rows(G.pair_counts(both, groups, groups))
 
 
+def test_edges_meet_their_ends_in_tasks_that_follow_the_table(spark, monkeypatch):
+    """Spark's own number of partitions is 4 here."""
+    from lodevein import queries
+
+    lines = X.table(spark, SF, "lineitem").count()
+    monkeypatch.setattr(X, "LINES", 100)
+    used, read = [], G.by_cover
+    monkeypatch.setattr(G, "by_cover", lambda *a, **k: used.append(read(*a, **k)) or used[-1])
+    counts = rows(queries._counts(spark, SF)[2])
+    plan = used[0][1]._jdf.queryExecution().executedPlan().toString()
+    assert all(f"hashpartitioning({c}#" in plan for c in ("src", "dst"))
+    for c in ("src", "dst"):
+        assert {int(n) for n in re.findall(rf"hashpartitioning\({c}#\d+L?, (\d+)\)", plan)} == {-(-lines // 100)}
+    nodes, edges = X.parts(spark, SF), X.copurchase(spark, SF)
+    sel = queries.part_selectors(nodes)
+    want = G.group_counts(edges, queries.cover(nodes, "node_id", sel)).join(queries.selector_table(spark, sel), "sg")
+    assert counts == rows(want)
+
+
 def test_models_from_edges_once(graph):
     nodes, once, both, groups = graph
     labelled = nodes.withColumn("label", F.col("node_id") % 2)
