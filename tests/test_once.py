@@ -40,6 +40,28 @@ def test_pairs_of_parts_are_made_in_tasks_of_so_many_lines(spark, monkeypatch):
     assert made.filter("src >= dst").isEmpty()
 
 
+def test_twice_the_table_takes_twice_the_tasks(spark, monkeypatch, tmp_path):
+    """No exchange of prior_uniform that holds lines or pairs stays at Spark's own number of partitions."""
+    from lodevein import queries
+
+    monkeypatch.setattr(X, "LINES", 100, raising=False)
+    for name, keys in (("lineitem", ("l_orderkey", "l_partkey")), ("part", ("p_partkey",))):
+        one = X.table(spark, SF, name)
+        one.union(one.withColumns({c: F.col(c) + 1_000_000 for c in keys})).write.parquet(f"{tmp_path}/{name}.parquet")
+    lines = X.table(spark, SF, "lineitem").select("l_orderkey", "l_partkey")
+    own, count = lines.collect(), X.table(spark, SF, "part").count()
+    by_order = {}
+    for order, part in own:
+        by_order.setdefault(order, set()).add(part)
+    pairs = len({(a, b) for some in by_order.values() for a in some for b in some if a != b})
+    for sf, times in ((SF, 1), (str(tmp_path), 2)):
+        logit = queries.prior_uniform(spark, sf)
+        plan = logit._jdf.queryExecution().executedPlan().toString()
+        assert {int(n) for n in re.findall(r"hashpartitioning\([^)]*, (\d+)\)", plan)} == {-(-times * len(own) // 100)}
+        density = times * pairs / (times * count * (times * count - 1))
+        assert logit.first()["logit"] == pytest.approx(np.log(density / (1 - density)), abs=1e-9)
+
+
 def test_counts_from_edges_once(graph):
     nodes, once, both, groups = graph
     assert G.totals(nodes, once, once=True) == G.totals(nodes, both)
