@@ -158,6 +158,29 @@ def test_copies_of_a_passage_are_sampled_one_by_one(spark):
     assert 800 < n < 1200
 
 
+def test_rows_of_words_are_no_larger_than_documents(spark):
+    """Readers and Arrow put thousands of rows in a batch, so a row that packs a megabyte of documents makes one as large as its task's input."""
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit(PASSAGE + " "), 15).alias("text"))
+    n = 4 * 15 * len(decontam.word_ids(PASSAGE.encode()))
+    words = decontam.tokenised(docs)
+    assert words.agg(F.max(F.length("ids")), F.sum(F.length("ids"))).first()[:] == (n, 3000 * n)
+
+
+def test_words_of_odd_texts_and_of_groups(spark):
+    """Each document has its own words, wherever its batch is cut; what a task works on at a time has few bytes, or is one document."""
+    odd = frame(spark).coalesce(1)
+    got = decontam.tokenised(odd)
+    pairs = lambda rows: sorted((str(i), bytes(x)) for i, x in rows)
+    want = pairs((r["doc_id"], decontam.word_ids((r["text"] or "").encode()).tobytes()) for r in odd.collect())
+    assert pairs((r["doc_id"], r["ids"]) for r in got.collect()) == want
+    table = got.toArrow().combine_chunks().to_batches()[0]
+    for part in (table, table.slice(3), table.slice(5, 4), table.slice(2, 0)):
+        read = [(i, x) for names, counts, ids in decontam._rows([part]) for i, x in zip(names, np.split(ids, np.cumsum(counts)[:-1]), strict=True)]
+        assert pairs(read) == pairs((r["doc_id"], r["ids"]) for r in part.to_pylist())
+    starts = np.array([0, 4, 4, 12, 40, 44, 48])
+    assert list(decontam._groups(starts, 12)) == [(0, 3), (3, 4), (4, 6)] and list(decontam._groups(starts[:1], 12)) == []
+
+
 def test_sums_of_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "FAN_IN", 2)
     words = decontam.tokenised(texts(spark, [(i, "a b c d " * i) for i in range(40)])).repartition(7)
