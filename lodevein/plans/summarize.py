@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodevein.operators.graph_stats import by_cover, held
+from lodevein.operators.graph_stats import by_cover, held, merged
 from lodevein.operators.model import Background, _cut
 from lodevein.operators.prior import uniform_logit
 
@@ -104,7 +104,7 @@ def _flat(prior: float | Background, blocks: DataFrame) -> Background:
 def _histograms(blocks: DataFrame, model: Background) -> dict[int, np.ndarray]:
     """Nodes of each block by class: as many numbers as blocks, which the splits fix, times classes, which the model bounds."""
     out: dict[int, np.ndarray] = {}
-    for r in blocks.join(model.nodes, "node").groupBy("block", "class").agg(F.count("*").alias("n")).collect():
+    for r in blocks.join(merged(model.nodes), "node").groupBy("block", "class").agg(F.count("*").alias("n")).collect():
         out.setdefault(r["block"], np.zeros(len(model.logit), np.int64))[r["class"]] = r["n"]
     return out
 
@@ -112,7 +112,7 @@ def _histograms(blocks: DataFrame, model: Background) -> dict[int, np.ndarray]:
 def ends_of(edges: DataFrame, blocks: DataFrame, support: DataFrame, once: bool = False) -> DataFrame:
     """bu, cu, bv, cv, k: edges by the block and the cuts of both ends, in one pass; nodes of one block and the same cuts are one."""
     cuts = support.groupBy("node").agg(F.sort_array(F.collect_set("cut")).alias("ids"))
-    named = blocks.join(cuts, "node", "left").select("node", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), "block")
+    named = blocks.join(merged(cuts), "node", "left").select("node", F.coalesce("ids", F.array().cast("array<int>")).alias("ids"), "block")
     classes, between = by_cover(edges, named, "block", once=once, every=True)
     end = lambda c, b, i: classes.select(F.col("node").alias(c), F.col("block").alias(b), F.col("ids").alias(i))
     return between.join(end("src", "bu", "cu"), "src").join(end("dst", "bv", "cv"), "dst").select("bu", "cu", "bv", "cv", F.col("times").alias("k"))
@@ -132,7 +132,7 @@ def split_scores(edges: DataFrame, blocks: DataFrame, support: DataFrame, model:
     size, p = _histograms(blocks, model), model.probabilities()
     names = sorted(size)
     c = len(names) + 1
-    inner = blocks.join(support, "node").join(model.nodes, "node").groupBy("block", "cut", "class").agg(F.count("*").alias("n"))
+    inner = blocks.join(merged(support), "node").join(merged(model.nodes), "node").groupBy("block", "cut", "class").agg(F.count("*").alias("n"))
     none = lambda kind: F.lit(None).cast(kind)
     held_by = inner.select("block", "cut", "class", "n", none("int").alias("bu"), none("boolean").alias("iu"), none("int").alias("bv"), none("boolean").alias("iv"))
     touched = ends.select("bu", "bv", "cu", "cv", "k", F.explode(F.array_union("cu", "cv")).alias("cut"))
@@ -205,7 +205,7 @@ def summarize(nodes: DataFrame, edges: DataFrame, support: DataFrame, prior: flo
             whole |= dict(zip(pairs, best["pairs"], strict=True))
             inside = support.filter(F.col("cut") == cut).select("node", F.lit(True).alias("inside"))
             number = F.when((F.col("block") == block) & F.col("inside").isNull(), F.lit(new)).otherwise(F.col("block"))
-            blocks = _cut(blocks.join(inside, "node", "left").select("node", number.alias("block")))
+            blocks = _cut(blocks.join(merged(inside), "node", "left").select("node", number.alias("block")))
             moved = lambda b, c: F.when((F.col(b) == block) & ~F.array_contains(c, cut), F.lit(new)).otherwise(F.col(b)).alias(b)
             ends = ends.select(moved("bu", "cu"), "cu", moved("bv", "cv"), "cv", "k")
             done.append((new, best["si"], cut, block))
