@@ -158,6 +158,27 @@ def test_copies_of_a_passage_are_sampled_one_by_one(spark):
     assert 800 < n < 1200
 
 
+def test_the_space_is_fitted_on_all_passages(spark, monkeypatch):
+    """A few passages among many copies of another shape the space as all passages do by dense arithmetic; none is drawn."""
+    rng = np.random.default_rng(2)
+    rows = [(i, PASSAGE) for i in range(300)] + [(1000 + i, " ".join(f"w{x}" for x in rng.integers(0, 90, n))) for i, n in enumerate([0, 1, 64, 65, 200, 700])]
+    words = decontam.tokenised(texts(spark, rows))
+    monkeypatch.setattr(decontam, "sample_passages", None)
+    idf = 1 + rng.random(decontam.FEATURES)
+    dense = []
+    for _, text in rows:
+        f = decontam.features(decontam.word_ids(text.encode()))
+        for at in range(0, len(f), decontam.PASSAGE):
+            own = f[at : at + decontam.PASSAGE]
+            dense.append(np.bincount(own, idf[own], decontam.FEATURES) / np.sqrt((idf[own] ** 2).sum()))
+    x, basis = np.array(dense), np.random.default_rng(decontam.SEED).standard_normal((decontam.FEATURES, 4))
+    for _ in range(2):
+        basis, r = np.linalg.qr(x.T @ (x @ basis))
+    turn, squares, _ = np.linalg.svd(r)
+    want, got = basis @ turn / np.sqrt(squares), decontam.latent_space(words, idf, rank=4)
+    assert np.abs(np.abs(want) - np.abs(got)).max() < 1e-3 * np.abs(want).max()
+
+
 def test_rows_of_words_are_no_larger_than_documents(spark):
     """Readers and Arrow put thousands of rows in a batch, so a row that packs a megabyte of documents makes one as large as its task's input."""
     docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit(PASSAGE + " "), 15).alias("text"))
